@@ -9,6 +9,7 @@ import math
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 _TINY = 1e-300
 
@@ -91,16 +92,16 @@ def _each(function, *series: pd.Series) -> pd.Series:
     return pd.Series([one(*row) for row in zip(*series)], dtype="float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_p_value(t: pd.Series, dof: pd.Series) -> pd.Series:
     return _each(t_two_sided, t, dof)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def f_p_value(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _each(f_upper, f, d1, d2)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def chi2_p_value(x: pd.Series, dof: pd.Series) -> pd.Series:
     return _each(chi2_upper, x, dof)

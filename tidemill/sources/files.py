@@ -17,10 +17,14 @@ def detect_file_type(path: str) -> str:
     return next((kind for suffix, kind in _SUFFIXES.items() if bare.endswith(suffix)), "unknown")
 
 
-def load_table(spark: SparkSession, path: str, format: str = "auto", schema=None) -> DataFrame:
+def load_table(
+    spark: SparkSession, path: str, format: str = "auto", schema=None, normalise: bool = True
+) -> DataFrame:
     """Read a table; an unknown suffix is read as CSV.
 
-    Pass ``schema`` on large CSV/JSON inputs: inference reads them once more.
+    Pass ``schema`` on large CSV/JSON inputs: inference reads them once more.  ``normalise``
+    turns float NaN into NULL; switch it off for tables known to hold none, so that filters on
+    float columns still reach the Parquet reader.
     """
     kind = detect_file_type(path.rstrip("/")) if format == "auto" else format
     if kind == "excel":
@@ -35,7 +39,7 @@ def load_table(spark: SparkSession, path: str, format: str = "auto", schema=None
         separator = "\t" if kind == "tsv" else ","
         infer = schema is None
         df = reader.csv(path, sep=separator, header=True, inferSchema=infer, multiLine=False, escape='"')
-    return nan_to_null(df)
+    return nan_to_null(df) if normalise else df
 
 
 def _is_directory(path: str) -> bool:
