@@ -7,6 +7,7 @@ from collections import Counter
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 
 
 def connect(folder: str):
@@ -17,13 +18,13 @@ def connect(folder: str):
 
 
 def canonical(value):
-    if value is None:
+    if value is None or value is pd.NA:
         return None
     if hasattr(value, "item"):
         value = value.item()
     if isinstance(value, float) and math.isnan(value):
         return None
-    if str(value) == "NaT":
+    if value is pd.NaT:
         return None
     if isinstance(value, bool):
         return value
@@ -50,6 +51,6 @@ def compare(spark_frame, sql_frame) -> str | None:
     kinds = {
         c: (spark_frame[c].dtype.kind, sql_frame[c].dtype.kind)
         for c in spark_frame.columns
-        if spark_frame[c].dtype.kind != sql_frame[c].dtype.kind
+        if spark_frame[c].dtype.kind != sql_frame[c].dtype.kind and not spark_frame[c].isna().any()
     }
     return f"kinds {kinds}" if kinds and len(spark_frame) else None

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -12,6 +15,7 @@ from pyspark.storagelevel import StorageLevel
 from tidemill.functions.types import is_numeric, ref, require_columns
 
 RESTARTS = 10
+PARALLEL_STARTS = 5
 
 
 def _complete(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -127,13 +131,19 @@ def run_kmeans_clustering(df: DataFrame, features: list[str], n_clusters: int =
     scaled = rows.withColumns({f"z{i}": (F.col(f"c{i}") - means[i]) / scales[i] for i in range(k)})
     vectors = VectorAssembler(inputCols=[f"z{i}" for i in range(k)], outputCol="features").transform(scaled)
     vectors = vectors.drop(*[f"z{i}" for i in range(k)]).persist(StorageLevel.MEMORY_AND_DISK)
-    best = None
-    for start in range(RESTARTS):
-        model = KMeans(k=n_clusters, seed=seed + start, maxIter=300, tol=1e-4).fit(vectors)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
+
+    def restart(i: int):
+        return KMeans(k=n_clusters, seed=seed + i, maxIter=300, tol=1e-4).fit(vectors)
+
+    try:
+        vectors.count()  # fill the cache once, before the starts share it
+        # independent starts keep the cluster busy while each one waits for its own iterations
+        with ThreadPoolExecutor(PARALLEL_STARTS) as pool:
+            fitted = list(pool.map(inheritable_thread_target(df.sparkSession)(restart), range(RESTARTS)))
+    finally:
+        vectors.unpersist()
+    best = min(fitted, key=lambda model: model.summary.trainingCost)
     inertia = best.summary.trainingCost
-    vectors.unpersist()
     centers = [
         (i, *[round(float(z) * s + m, 4) for z, s, m in zip(center, scales, means)])
         for i, center in enumerate(best.clusterCenters())

@@ -15,6 +15,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemill.functions.types import quoted, ref
+from tidemill.plans.hotkeys import small_side
 
 DISTINCT_LIMIT = 500_000
 SKETCH_ACCURACY = 20_000
@@ -165,10 +166,12 @@ def _grouped_by_bucket(rows, keys, points):
         .where(F.size("_ranks") > 0)
         .select(*key_cols, "_bucket", "_below", "_n", "_ranks")
     )
-    counted = placed.groupBy(*key_cols, "_bucket", "_v").agg(F.count("*").alias("_c"))
     in_bucket = Window.partitionBy(*key_cols, "_bucket").orderBy("_v")
+    # only the rows of wanted buckets, about one in GROUP_BUCKETS, reach the shuffle
     hits = (
-        counted.join(targets, [*keys, "_bucket"])
+        placed.join(small_side(targets), [*keys, "_bucket"])
+        .groupBy(*key_cols, "_bucket", "_below", "_n", "_ranks", "_v")
+        .agg(F.count("*").alias("_c"))
         .withColumn("_end", F.col("_below") + F.sum("_c").over(in_bucket))
         .withColumn("_start", F.col("_end") - F.col("_c"))
         .withColumn(

@@ -24,7 +24,7 @@ _GROUP_SQL = {
     "min": "min(o_totalprice)",
     "max": "max(o_totalprice)",
     "std": "round(stddev_samp(o_totalprice), 2)",
-    "median": "round(quantile_cont(o_totalprice, 0.5), 2)",
+    "median": "round(CAST(quantile_cont(o_totalprice, 0.5) AS DECIMAL(20, 6)), 2)::DOUBLE",
 }
 for _agg, _sql in _GROUP_SQL.items():
 
@@ -42,10 +42,10 @@ for _agg, _sql in _GROUP_SQL.items():
 
 @query(
     "group_median_many",
-    """SELECT l_partkey, round(quantile_cont(l_extendedprice, 0.5), 2) AS median_l_extendedprice FROM lineitem GROUP BY 1""",
+    "SELECT l_partkey, round(quantile_cont(l_quantity, 0.5), 2) AS median_l_quantity FROM lineitem GROUP BY 1",
 )
 def _median_many(t, spark):
-    return aggregate.group_aggregate(t("lineitem"), "l_partkey", "l_extendedprice", "median")
+    return aggregate.group_aggregate(t("lineitem"), "l_partkey", "l_quantity", "median")
 
 
 @query(

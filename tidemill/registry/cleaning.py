@@ -164,22 +164,22 @@ def _outlier_preview(t, spark):
 @query(
     "outliers_cap",
     _FENCE.format(c="l_extendedprice", t="lineitem", m=0.5)
-    + "SELECT l_orderkey, l_linenumber, round(greatest(lo, least(hi, l_extendedprice)), 4) AS l_extendedprice FROM lineitem, f",
+    + "SELECT l_orderkey, l_linenumber, round(greatest(lo, least(hi, l_extendedprice)), 6) AS l_extendedprice FROM lineitem, f",
 )
 def _cap(t, spark):
     df = t("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
     capped = clean.cap_outliers(df, "l_extendedprice", "iqr", 0.5)
-    return capped.withColumn("l_extendedprice", F.round("l_extendedprice", 4))
+    return capped.withColumn("l_extendedprice", F.round("l_extendedprice", 6))
 
 
 @query(
     "outliers_cap_percentile",
     f"""WITH e AS {_EVENTS}, f AS (SELECT quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM e)
-       SELECT event_id, CASE WHEN value IS NOT NULL THEN round(greatest(lo, least(hi, value)), 4) END AS value FROM e, f""",
+       SELECT event_id, CASE WHEN value IS NOT NULL THEN round(greatest(lo, least(hi, value)), 6) END AS value FROM e, f""",
 )
 def _cap_percentile(t, spark):
     capped = clean.cap_outliers(holed_events(t).select("event_id", "value"), "value", "percentile")
-    return capped.withColumn("value", F.round("value", 4))
+    return capped.withColumn("value", F.round("value", 6))
 
 
 # -- duplicates ---------------------------------------------------------------------------
@@ -265,12 +265,12 @@ for _method, _sql in {
 
 @query(
     "document_blanks",
-    "SELECT doc_id, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS chars, md5(upper(text)) AS upper_md5 FROM documents",
+    "SELECT doc_id, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS chars, md5(lower(text)) AS lower_md5 FROM documents",
 )
 def _document_blanks(t, spark):
-    df = t("documents").select("doc_id", "text", F.md5(F.upper("text")).alias("upper_md5"))
+    df = t("documents").select("doc_id", "text", F.md5(F.lower("text")).alias("lower_md5"))
     collapsed = clean.standardize_text(df, "text", "strip_all")
-    return collapsed.select("doc_id", F.length("text").cast("long").alias("chars"), "upper_md5")
+    return collapsed.select("doc_id", F.length("text").cast("long").alias("chars"), "lower_md5")
 
 
 @query(
@@ -457,13 +457,13 @@ def _doubled(t):
 @query(
     "cleaning_steps",
     _STEP_SQL
-    + """SELECT event_id, user_id, round(greatest(lo, least(hi, value)), 4) AS value, value_is_missing,
+    + """SELECT event_id, user_id, round(greatest(lo, least(hi, value)), 6) AS value, value_is_missing,
          CASE WHEN length(event_type) <= 4 THEN '****' ELSE left(event_type, 2) ||
          repeat('*', CAST(length(event_type) - 4 AS BIGINT)) || right(event_type, 2) END AS event_type FROM filled, f""",
 )
 def _steps(t, spark):
     cleaned, _ = run_steps(_doubled(t), _STEPS)
-    return cleaned.withColumn("value", F.round("value", 4))
+    return cleaned.withColumn("value", F.round("value", 6))
 
 
 @query(

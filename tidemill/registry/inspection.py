@@ -261,7 +261,8 @@ def _rates(t, spark):
 
 @query(
     "pii_detect",
-    """SELECT 'c_name' AS "column", 'name' AS sensitivity_type, 'medium' AS confidence, 'Column name contains ''name''' AS reason, NULL AS sample_match
+    """SELECT 'c_name' AS "column", 'ssn' AS sensitivity_type, 'high' AS confidence,
+         'Column name contains ''name'' and content matches ssn pattern' AS reason, min(c_name) AS sample_match FROM customer
        UNION ALL SELECT 'shipment', 'ip', 'medium', 'Column name contains ''ip''', NULL
        UNION ALL SELECT 'contact', 'email', 'high', 'Content matches email pattern', min('user' || c_custkey || '@example.com') FROM customer WHERE c_nationkey < 20
        UNION ALL SELECT 'phone', 'phone', 'high', 'Column name contains ''phone'' and content matches phone pattern', min('555-010-' || lpad(CAST(c_custkey AS VARCHAR), 9, '0')[-4:]) FROM customer""",

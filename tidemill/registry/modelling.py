@@ -107,7 +107,8 @@ def _logistic(t, spark):
     docs = t("documents").select("doc_id", F.log1p("n_chars").alias("log_chars"), F.length("source").alias("source_chars"))
     df = t("labels").join(docs, "doc_id")
     out = models.run_logistic_regression(df, "quality", ["log_chars", "source_chars"])
-    return out["coefficients"].crossJoin(F.broadcast(out["summary"].select("accuracy", "n_observations")))
+    accuracy = out["summary"].first()["accuracy"]
+    return out["coefficients"].withColumn("accuracy", F.lit(accuracy))
 
 
 @query("logistic_text_target")
