@@ -18,7 +18,7 @@ def _errors(y: np.ndarray, season: int, params: np.ndarray) -> tuple[np.ndarray,
     Returns the errors for a zero start state (C, n), their derivatives by each start
     component (C, n, k) and the final state (C, 1 + k, k).
     """
-    alpha, beta, gamma = params.T[:, :, None] if params.ndim == 2 else params
+    alpha, beta, gamma = params.T[:, :, None]
     count, n, k = len(params), len(y), 2 + season
     # column 0: response to the data with a zero start; columns 1..k: to unit start states
     state = np.zeros((count, k, 1 + k))
@@ -49,11 +49,12 @@ def _fit(y: np.ndarray, season: int):
         grid = np.stack(np.meshgrid(*axes), -1).reshape(-1, free)
         params = np.column_stack([grid, np.zeros(len(grid))]) if free == 2 else grid
         base, slopes, final = _errors(y, season, params)
-        for i in range(len(grid)):
-            start, *_ = np.linalg.lstsq(-slopes[i], base[i], rcond=None)
-            sse = float(np.sum((base[i] + slopes[i] @ start) ** 2))
-            if sse < best[0]:
-                best = (sse, grid[i], final[i, :, 0] + final[i, :, 1:] @ start)
+        # level and season offsets can trade places: the pseudo-inverse takes the smallest start
+        starts = np.einsum("cij,cj->ci", np.linalg.pinv(-slopes), base)
+        losses = ((base + np.einsum("cij,cj->ci", slopes, starts)) ** 2).sum(axis=1)
+        i = int(losses.argmin())
+        if losses[i] < best[0]:
+            best = (float(losses[i]), grid[i], final[i, :, 0] + final[i, :, 1:] @ starts[i])
         centre, reach = best[1], reach / 2
     sse, weights, state = best
     n = len(y)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -34,30 +34,38 @@ def _error(df: DataFrame, text: str) -> dict[str, DataFrame]:
 
 
 def run_linear_regression(df: DataFrame, target: str, features: list[str]) -> dict[str, DataFrame]:
-    """Least squares with intercept on complete rows: ``coefficients`` and ``summary``."""
+    """Least squares with intercept on complete rows: ``coefficients`` and ``summary``.
+
+    One aggregation yields all means and covariances; the driver solves a system as large as
+    the number of features.  Collinear features get the smallest weights.
+    """
     rows = _complete(df, [*features, target])
     p = len(features)
-    data = _vectors(rows, p).select("features", F.col(f"c{p}").cast("double").alias("label"))
-    means = rows.agg(F.count("*").alias("n"), *[F.avg(f"c{i}").alias(f"m{i}") for i in range(p + 1)]).first()
-    n = means["n"]
+    x = [F.col(f"c{i}").cast("double") for i in range(p + 1)]
+    row = rows.agg(
+        F.count("*").alias("n"),
+        *[F.avg(x[i]).alias(f"m{i}") for i in range(p + 1)],
+        *[F.covar_pop(x[i], x[j]).alias(f"s{i}_{j}") for i in range(p + 1) for j in range(i, p + 1)],
+    ).first()
+    n = row["n"]
     if n < p + 2:
         return _error(df, "Not enough observations for regression.")
-    model = LinearRegression(solver="normal").fit(data)
-    r2 = model.summary.r2
+    spread = np.array([[row[f"s{min(i, j)}_{max(i, j)}"] for j in range(p + 1)] for i in range(p + 1)])
+    means = [row[f"m{i}"] for i in range(p + 1)]
+    # unit scale, so that the rank decision does not depend on the columns' units
+    scale = np.sqrt(np.diag(spread)[:p])
+    scale[scale == 0] = 1.0
+    scaled, *_ = np.linalg.lstsq(spread[:p, :p] / np.outer(scale, scale), spread[:p, p] / scale, rcond=1e-12)
+    weights = [float(w) for w in scaled / scale]
+    intercept = means[p] - sum(w * m for w, m in zip(weights, means))
+    total = float(spread[p, p])
+    error = max(0.0, total - float(np.dot(weights, spread[:p, p])))
+    r2 = 1 - error / total if total else 1.0
     adjusted = 1 - (1 - r2) * (n - 1) / (n - p - 1)
-    mse = model.summary.meanSquaredError
-    weights = [float(w) for w in model.coefficients]
-    # a mean residual follows from the column means
-    mean_residual = means[f"m{p}"] - model.intercept - sum(w * means[f"m{i}"] for i, w in enumerate(weights))
+    mean_residual = means[p] - intercept - sum(w * m for w, m in zip(weights, means))
+    terms = [("intercept", round(intercept, 4))] + [(c, round(w, 4)) for c, w in zip(features, weights)]
+    summary = (round(r2, 4), round(adjusted, 4), n, round(mean_residual, 6) + 0.0, round(error**0.5, 4))
     spark = df.sparkSession
-    terms = [("intercept", round(model.intercept, 4))] + [(c, round(w, 4)) for c, w in zip(features, weights)]
-    summary = (
-        round(r2, 4),
-        round(adjusted, 4),
-        n,
-        round(mean_residual, 6) + 0.0,
-        round(max(0.0, mse - mean_residual**2) ** 0.5, 4),
-    )
     return {
         "coefficients": spark.createDataFrame(terms, "term string, coefficient double"),
         "summary": spark.createDataFrame(
@@ -94,12 +102,12 @@ def run_logistic_regression(df: DataFrame, target: str, features: list[str]) ->
         indexer = StringIndexer(inputCol="text_label", outputCol="label", stringOrderType="alphabetAsc")
         data = data.withColumn("text_label", label.cast("string"))
         data = indexer.fit(data).transform(data)
-    data = data.select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = LogisticRegression(
             regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-9
-        ).fit(data)
-        accuracy = model.transform(data).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+        ).fit(data.select("features", "label"))
+        accuracy = data.agg(F.avg((_predicted(model, p) == F.col("label")).cast("double"))).first()[0]
     finally:
         data.unpersist()
     weights = [float(w) for w in model.coefficientMatrix.toArray()[0]]
@@ -114,6 +122,20 @@ def run_logistic_regression(df: DataFrame, target: str, features: list[str]) ->
     }
 
 
+def _predicted(model, features: int):
+    """The class a fitted model assigns, as an expression over the feature columns."""
+    margins = []
+    for weights, intercept in zip(model.coefficientMatrix.toArray(), model.interceptVector.toArray()):
+        margin = F.lit(float(intercept))
+        for i in range(features):
+            margin = margin + F.col(f"c{i}") * float(weights[i])
+        margins.append(margin)
+    if len(margins) == 1:
+        return (margins[0] > 0).cast("double")
+    scores = F.array(*margins)
+    return (F.array_position(scores, F.array_max(scores)) - 1).cast("double")
+
+
 def run_kmeans_clustering(df: DataFrame, features: list[str], n_clusters: int = 3, seed: int = 42) -> dict[str, DataFrame]:
     """K-means on z-scores, best of ten starts: ``labels`` per complete row, ``centers``, ``summary``."""
     rows = _complete(df, features).select(*[F.col(f"c{i}").cast("double").alias(f"c{i}") for i in range(len(features))])
@@ -132,8 +154,11 @@ def run_kmeans_clustering(df: DataFrame, features: list[str], n_clusters: int =
     vectors = VectorAssembler(inputCols=[f"z{i}" for i in range(k)], outputCol="features").transform(scaled)
     vectors = vectors.drop(*[f"z{i}" for i in range(k)]).persist(StorageLevel.MEMORY_AND_DISK)
 
+    # stop when the centres together move less than 1e-4 (squared) of the unit variance
+    tolerance = (1e-4 / n_clusters) ** 0.5
+
     def restart(i: int):
-        return KMeans(k=n_clusters, seed=seed + i, maxIter=300, tol=1e-4).fit(vectors)
+        return KMeans(k=n_clusters, seed=seed + i, maxIter=300, tol=tolerance).fit(vectors)
 
     try:
         vectors.count()  # fill the cache once, before the starts share it

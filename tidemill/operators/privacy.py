@@ -35,27 +35,43 @@ def _name_keyword(column: str) -> str | None:
     return next((k for k in NAME_KEYWORDS if k in lowered), None)
 
 
+# A cheaper test every match must pass, where there is one.
+_PREFILTERS = {
+    "email": lambda text: text.contains("@"),
+    "phone": lambda text: text.rlike(r"\d{3}[-.\s]?\d{4}"),
+}
+
+
+def _matches(text, kind: str):
+    full = text.rlike(CONTENT_PATTERNS[kind])
+    return _PREFILTERS[kind](text) & full if kind in _PREFILTERS else full
+
+
 def content_match_rates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per text column and pattern: the share of non-null values it occurs in, and one such value.
 
     All columns and patterns share a single scan of the whole column.
     """
     columns = text_columns(df) if columns is None else columns
-    cells = []
-    for c in columns:
-        for kind, pattern in CONTENT_PATTERNS.items():
-            hit = ref(c).rlike(pattern)
-            cells.append(
-                F.struct(
-                    F.lit(c).alias("column"),
-                    F.lit(kind).alias("kind"),
-                    F.avg(hit.cast("double")).alias("match_rate"),
-                    F.min(F.when(hit, ref(c))).alias("sample_match"),
-                )
-            )
-    if not cells:
-        return df.sparkSession.createDataFrame([], "column string, kind string, match_rate double, sample_match string")
-    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+    schema = "column string, kind string, match_rate double, sample_match string"
+    if not columns:
+        return df.sparkSession.createDataFrame([], schema)
+    # every pattern is matched once, here; rates and samples read the flags
+    flags = df.select(
+        *[ref(c).alias(f"t{i}") for i, c in enumerate(columns)],
+        *[_matches(ref(c), kind).alias(f"{kind}{i}") for i, c in enumerate(columns) for kind in CONTENT_PATTERNS],
+    )
+    cells = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.lit(kind).alias("kind"),
+            F.avg(F.col(f"{kind}{i}").cast("double")).alias("match_rate"),
+            F.min(F.when(F.col(f"{kind}{i}"), F.col(f"t{i}"))).alias("sample_match"),
+        )
+        for i, c in enumerate(columns)
+        for kind in CONTENT_PATTERNS
+    ]
+    return flags.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
 def detect_sensitive_columns(df: DataFrame) -> DataFrame:

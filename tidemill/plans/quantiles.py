@@ -1,15 +1,17 @@
 """Exact linear-interpolation quantiles that never gather a large column in one task.
 
-The built-in ``percentile`` keeps one counter per distinct value, which is ideal for columns
-with few distinct values and impossible for billions of them.  A first aggregation estimates
-the number of distinct values; beyond ``DISTINCT_LIMIT`` the value at the wanted rank is
-bracketed by approximate quantiles (whose rank error is bounded) until the bracket is small
-enough for the exact aggregate.  Each round is one map-side-combined scan.
+The built-in ``percentile`` keeps one counter per distinct value: fine for few distinct values,
+slow for many and impossible for billions.  The first scan estimates the number of distinct
+values and takes approximate quantiles a little below and above each wanted rank.  Their rank
+error is bounded, so they bracket the exact value; brackets are narrowed further while they
+hold too many values, and the exact aggregate sees only what is left.  Every scan serves all
+columns and is combined on the map side; no row is shuffled.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
@@ -17,9 +19,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidemill.functions.types import quoted, ref
 from tidemill.plans.hotkeys import small_side
 
-DISTINCT_LIMIT = 500_000
+DISTINCT_LIMIT = 10_000
+GROUP_DISTINCT_LIMIT = 500_000
 SKETCH_ACCURACY = 20_000
 GROUP_BUCKETS = 1_000
+# a bracket reaches this share of its rows beyond the wanted rank, well over the sketch's error
+MARGIN = 4.0 / SKETCH_ACCURACY
 
 
 def _as_double(column: str):
@@ -27,6 +32,25 @@ def _as_double(column: str):
     return F.when(~F.isnan(value), value)
 
 
+@dataclass
+class _Target:
+    """One wanted rank of one column and the value range known to hold it."""
+
+    column: int
+    slot: int
+    rank: float
+    inside: int
+    below: int = 0
+    lo: float = -math.inf
+    hi: float = math.inf
+
+    def covers(self, below: int, inside: int) -> bool:
+        return below <= math.floor(self.rank) and math.ceil(self.rank) < below + inside
+
+    def fraction(self, rank: float) -> float:
+        return (rank - self.below) / self.inside
+
+
 def column_quantiles(
     df: DataFrame, wanted: dict[str, list[float]], distinct_limit: int = DISTINCT_LIMIT
 ) -> dict[str, list[float | None]]:
@@ -34,75 +58,82 @@ def column_quantiles(
     columns = list(wanted)
     if not columns:
         return {}
-    sizes = df.agg(
-        *[F.count(_as_double(c)).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.approx_count_distinct(_as_double(c)).alias(f"d{i}") for i, c in enumerate(columns)],
-    ).first()
-    small = [c for i, c in enumerate(columns) if sizes[f"d{i}"] <= distinct_limit]
-    found: dict[str, list[float | None]] = {}
-    if small:
-        row = df.agg(
-            *[
-                F.percentile(_as_double(c), F.array(*[F.lit(float(p)) for p in wanted[c]])).alias(
-                    f"q{i}"
-                )
-                for i, c in enumerate(small)
-            ]
-        ).first()
-        for i, c in enumerate(small):
-            found[c] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(wanted[c])
+    values = df.select(*[_as_double(c).alias(f"v{i}") for i, c in enumerate(columns)])
+    first = []
     for i, c in enumerate(columns):
-        if c not in found:
-            found[c] = _bracketed(df, c, wanted[c], sizes[f"n{i}"], distinct_limit)
-    return found
-
-
-def _bracketed(df, column, points, total, distinct_limit):
-    value = _as_double(column)
-    values = df.select(value.alias("v")).where("v is not null")
-    v = F.col("v")
-    brackets = [
-        {"p": p, "rank": p * (total - 1), "lo": -math.inf, "hi": math.inf, "below": 0, "inside": total}
-        for p in points
-    ]
-    open_targets = list(brackets)
-    while open_targets:
-        exprs = []
-        for i, t in enumerate(open_targets):
-            first = max(0.0, (math.floor(t["rank"]) - t["below"]) / t["inside"] - 2.0 / SKETCH_ACCURACY)
-            last = min(1.0, (math.ceil(t["rank"]) + 1 - t["below"]) / t["inside"] + 2.0 / SKETCH_ACCURACY)
-            inside = F.when(v.between(t["lo"], t["hi"]), v)
-            exprs.append(
-                F.percentile_approx(inside, [first, last], SKETCH_ACCURACY).alias(f"b{i}")
-            )
-        edges = values.agg(*exprs).first()
+        around = [min(1.0, max(0.0, p + side)) for p in wanted[c] for side in (-MARGIN, MARGIN)]
+        first += [
+            F.count(f"v{i}").alias(f"n{i}"),
+            F.approx_count_distinct(f"v{i}").alias(f"d{i}"),
+            F.percentile_approx(f"v{i}", around, SKETCH_ACCURACY).alias(f"e{i}"),
+        ]
+    sizes = values.agg(*first).first()
+    targets, direct, edges = [], [], []
+    for i, c in enumerate(columns):
+        n = sizes[f"n{i}"]
+        if sizes[f"d{i}"] <= distinct_limit or n < 2 / MARGIN:
+            direct.append(i)
+            continue
+        for slot, p in enumerate(wanted[c]):
+            targets.append(_Target(i, slot, p * (n - 1), n))
+            edges.append(tuple(sizes[f"e{i}"][2 * slot : 2 * slot + 2]))
+    _narrow(values, targets, edges, distinct_limit)
+    return _read(values, columns, wanted, direct, targets)
+
+
+def _narrow(values, targets, edges, distinct_limit):
+    """Tighten brackets until each holds few distinct values."""
+    pending = list(zip(targets, edges))
+    while pending:
         checks = []
-        for i, t in enumerate(open_targets):
-            lo, hi = edges[f"b{i}"]
+        for k, (t, (lo, hi)) in enumerate(pending):
+            v = F.col(f"v{t.column}")
+            within = v.between(lo, hi)
             checks += [
-                F.count_if(v < lo).alias(f"below{i}"),
-                F.count_if(v.between(lo, hi)).alias(f"inside{i}"),
-                F.approx_count_distinct(F.when(v.between(lo, hi), v)).alias(f"d{i}"),
+                F.count_if(v < lo).alias(f"b{k}"),
+                F.count_if(within).alias(f"i{k}"),
+                F.approx_count_distinct(F.when(within, v)).alias(f"d{k}"),
             ]
         row = values.agg(*checks).first()
-        pending = []
-        for i, t in enumerate(open_targets):
-            lo, hi = edges[f"b{i}"]
-            below, inside = row[f"below{i}"], row[f"inside{i}"]
-            covers = below <= math.floor(t["rank"]) and math.ceil(t["rank"]) < below + inside
-            shrinks = inside < t["inside"]
-            if covers and shrinks:
-                t.update(lo=lo, hi=hi, below=below, inside=inside)
-            if not (covers and row[f"d{i}"] <= distinct_limit) and covers and shrinks:
-                pending.append(t)
-        open_targets = pending
+        crowded = []
+        for k, (t, (lo, hi)) in enumerate(pending):
+            below, inside = row[f"b{k}"], row[f"i{k}"]
+            if t.covers(below, inside) and inside < t.inside:
+                t.lo, t.hi, t.below, t.inside = lo, hi, below, inside
+                if row[f"d{k}"] > distinct_limit:
+                    crowded.append(t)
+        if not crowded:
+            return
+        sketches = []
+        for k, t in enumerate(crowded):
+            v = F.col(f"v{t.column}")
+            low = max(0.0, t.fraction(math.floor(t.rank)) - MARGIN)
+            high = min(1.0, t.fraction(math.ceil(t.rank) + 1) + MARGIN)
+            inside = F.when(v.between(t.lo, t.hi), v)
+            sketches.append(F.percentile_approx(inside, [low, high], SKETCH_ACCURACY).alias(f"e{k}"))
+        found = values.agg(*sketches).first()
+        pending = [(t, tuple(found[f"e{k}"])) for k, t in enumerate(crowded)]
+
+
+def _read(values, columns, wanted, direct, targets):
+    """The exact values, all columns in one scan."""
     exprs = []
-    for i, t in enumerate(brackets):
-        inside = F.when(v.between(t["lo"], t["hi"]), v)
-        position = (t["rank"] - t["below"]) / (t["inside"] - 1) if t["inside"] > 1 else 0.0
-        exprs.append(F.percentile(inside, F.lit(min(1.0, max(0.0, position)))).alias(f"q{i}"))
+    for i in direct:
+        points = F.array(*[F.lit(float(p)) for p in wanted[columns[i]]])
+        exprs.append(F.percentile(f"v{i}", points).alias(f"q{i}"))
+    for k, t in enumerate(targets):
+        v = F.col(f"v{t.column}")
+        position = (t.rank - t.below) / (t.inside - 1) if t.inside > 1 else 0.0
+        inside = F.when(v.between(t.lo, t.hi), v)
+        exprs.append(F.percentile(inside, F.lit(min(1.0, max(0.0, position)))).alias(f"t{k}"))
     row = values.agg(*exprs).first()
-    return [row[f"q{i}"] for i in range(len(brackets))]
+    found = {c: [None] * len(wanted[c]) for c in columns}
+    for i in direct:
+        if row[f"q{i}"] is not None:
+            found[columns[i]] = list(row[f"q{i}"])
+    for k, t in enumerate(targets):
+        found[columns[t.column]][t.slot] = row[f"t{k}"]
+    return found
 
 
 def fences(df: DataFrame, columns: list[str], multiplier: float = 1.5) -> dict[str, tuple]:
@@ -122,7 +153,7 @@ def grouped_quantiles(
     keys: list[str],
     column: str,
     points: dict[str, float],
-    distinct_limit: int = DISTINCT_LIMIT,
+    distinct_limit: int = GROUP_DISTINCT_LIMIT,
 ) -> DataFrame:
     """Exact quantiles per group: ``keys`` plus one column per entry of ``points``."""
     rows = df.select(*[ref(k) for k in keys], _as_double(column).alias("_v"))
