@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidemill.functions import wording
 from tidemill.functions.types import INTEGER_TYPES, is_numeric, numeric_columns, ref, require_columns
 from tidemill.plans.quantiles import column_quantiles
 from tidemill.plans.roworder import with_row_index
@@ -91,20 +92,15 @@ def value_position(df: DataFrame, column: str, value) -> DataFrame:
 def explain_this_number(df: DataFrame, column: str, value) -> str:
     """One sentence on a value; wording follows the column's kind and the value's band."""
     if column not in df.columns:
-        return "Cannot explain: column not found."
+        return wording.NO_COLUMN
     row = value_position(df, column, value).first().asDict()
+    if row.get("percentile", row.get("share_pct")) is None:
+        return wording.NO_VALUES
+    shown = {"value": value, "column": column}
     if "percentile" not in row:
-        if row["share_pct"] is None:
-            return "Cannot explain: column has no data."
-        return f"'{value}' appears {row['frequency']} times in '{column}' ({row['share_pct']:.1f}% of all values)."
-    if row["percentile"] is None:
-        return "Cannot explain: column has no data."
-    mean, share = row["mean"], row["percentile"]
-    away = "an undefined number of" if row["std_distance"] is None else f"{row['std_distance']:.1f}"
+        return wording.TEXT_SHARE.format(count=row["frequency"], pct=row["share_pct"], **shown)
     if row["band"] == "middle":
-        return f"This value ({value}) is at the {share:.0f}th percentile for '{column}'. The mean is {mean:.2f} and median is {row['median']:.2f}."
+        return wording.MIDDLE.format(share=row["percentile"], mean=row["mean"], median=row["median"], **shown)
     edge, mark, side = ("top", "95th", "above") if row["band"] == "top 5%" else ("bottom", "5th", "below")
-    return (
-        f"This value ({value}) is in the {edge} 5% for '{column}' ({mark} percentile). "
-        f"It is {away} standard deviations {side} the mean of {mean:.2f}."
-    )
+    away = "an undefined number of" if row["std_distance"] is None else f"{row['std_distance']:.1f}"
+    return wording.EDGE.format(edge=edge, mark=mark, side=side, away=away, mean=row["mean"], **shown)

@@ -12,6 +12,7 @@ from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 from pyspark.storagelevel import StorageLevel
 
+from tidemill.functions import wording
 from tidemill.functions.types import is_numeric, ref, require_columns
 
 RESTARTS = 10
@@ -49,7 +50,7 @@ def run_linear_regression(df: DataFrame, target: str, features: list[str]) -> di
     ).first()
     n = row["n"]
     if n < p + 2:
-        return _error(df, "Not enough observations for regression.")
+        return _error(df, wording.OLS_SMALL)
     spread = np.array([[row[f"s{min(i, j)}_{max(i, j)}"] for j in range(p + 1)] for i in range(p + 1)])
     means = [row[f"m{i}"] for i in range(p + 1)]
     # unit scale, so that the rank decision does not depend on the columns' units
@@ -88,9 +89,9 @@ def run_logistic_regression(df: DataFrame, target: str, features: list[str]) ->
     if len(levels) > 1_000:
         return _error(df, "Target has too many classes.")
     if n < 10:
-        return _error(df, "Need at least 10 observations for logistic regression.")
+        return _error(df, wording.LOGISTIC_SMALL)
     if len(levels) < 2:
-        return _error(df, "Target must have at least 2 classes.")
+        return _error(df, wording.LOGISTIC_CLASSES)
     classes = [r["v"] for r in levels]
     data = _vectors(rows, p)
     if is_numeric(df.schema[target].dataType):
@@ -147,7 +148,7 @@ def run_kmeans_clustering(df: DataFrame, features: list[str], n_clusters: int =
     ).first()
     n = stats["n"]
     if n < n_clusters:
-        return _error(df, f"Need at least {n_clusters} observations for {n_clusters} clusters.")
+        return _error(df, wording.KMEANS_SMALL.format(k=n_clusters))
     means = [stats[f"m{i}"] for i in range(k)]
     scales = [stats[f"s{i}"] or 1.0 for i in range(k)]
     scaled = rows.withColumns({f"z{i}": (F.col(f"c{i}") - means[i]) / scales[i] for i in range(k)})
@@ -194,5 +195,5 @@ def describe_clusters(centers: DataFrame) -> str:
         values = row.asDict()
         cluster = values.pop("cluster")
         top = sorted(values.items(), key=lambda kv: kv[1], reverse=True)[:3]
-        lines.append(f"Cluster {cluster}: Characterized by " + ", ".join(f"{c}={v}" for c, v in top))
-    return "\n".join(lines) if lines else "No cluster information available."
+        lines.append(wording.CLUSTER_LINE.format(cluster=cluster, features=", ".join(f"{c}={v}" for c, v in top)))
+    return "\n".join(lines) if lines else wording.NO_CLUSTERS

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Row, functions as F
 
+from tidemill.functions import wording
 from tidemill.functions.scalars import number_like, share_pct
 from tidemill.functions.types import numeric_columns, ref, text_columns
 from tidemill.operators.aggregate import value_census
@@ -182,20 +183,21 @@ def validate_table(df: DataFrame) -> DataFrame:
     """Load check: one row with ``is_valid`` and the list of issues."""
     spark = df.sparkSession
     if not df.columns:
-        empty = ["The dataset has no columns."]
+        empty = [wording.NO_COLUMNS]
         if df.isEmpty():
-            empty.insert(0, "The dataset is empty (no rows).")
+            empty.insert(0, wording.NO_ROWS)
         return spark.createDataFrame([Row(is_valid=False, issues=empty)])
     row = df.agg(F.count("*").alias("rows"), *[F.count(ref(c)).alias(f"n{i}") for i, c in enumerate(df.columns)]).first()
     issues = []
     if row["rows"] == 0:
-        issues.append("The dataset is empty (no rows).")
+        issues.append(wording.NO_ROWS)
     if row["rows"] > VERY_LARGE_ROWS:
-        issues.append(f"The dataset is very large ({row['rows']:,} rows). Performance may be affected.")
+        issues.append(wording.VERY_LARGE.format(rows=row["rows"]))
     blank = [c for i, c in enumerate(df.columns) if row[f"n{i}"] == 0]
     if blank:
-        issues.append(f"The following columns are entirely empty: {', '.join(blank)}")
-    valid = not issues or (len(issues) == 1 and "very large" in issues[0])
+        issues.append(wording.ALL_EMPTY.format(columns=", ".join(blank)))
+    # size alone is a warning
+    valid = row["rows"] > 0 and not blank
     return spark.createDataFrame([(valid, issues)], "is_valid boolean, issues array<string>")
 
 

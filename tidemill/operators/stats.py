@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidemill.functions import wording
 from tidemill.functions.pvalues import chi2_p_value, f_p_value, t_p_value
 from tidemill.functions.types import ref, require_columns
 
@@ -38,7 +39,7 @@ def run_ttest(df: DataFrame, column: str, group_col: str, group_a, group_b) -> D
         "n_a",
         "n_b",
         (F.col("p") < SIGNIFICANCE).alias("significant"),
-        F.when(~enough, "Each group needs at least 2 observations.").alias("error"),
+        F.when(~enough, wording.TTEST_SMALL).alias("error"),
     )
 
 
@@ -81,7 +82,7 @@ def run_chi_square(df: DataFrame, col_a: str, col_b: str) -> DataFrame:
         F.round("p", 6).alias("p_value"),
         "dof",
         (F.col("p") < SIGNIFICANCE).alias("significant"),
-        F.when(~enough, "Need at least 2 categories in each column.").alias("error"),
+        F.when(~enough, wording.CHI2_SMALL).alias("error"),
     )
 
 
@@ -117,7 +118,7 @@ def run_anova(df: DataFrame, value_col: str, group_col: str) -> DataFrame:
         F.round("p", 6).alias("p_value"),
         F.col("k").alias("n_groups"),
         (F.col("p") < SIGNIFICANCE).alias("significant"),
-        F.when(~enough, "Need at least 2 groups with 2+ observations each.").alias("error"),
+        F.when(~enough, wording.ANOVA_SMALL).alias("error"),
     )
 
 

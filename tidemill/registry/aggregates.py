@@ -24,7 +24,6 @@ _GROUP_SQL = {
     "min": "min(o_totalprice)",
     "max": "max(o_totalprice)",
     "std": "round(stddev_samp(o_totalprice), 2)",
-    "median": "round(CAST(quantile_cont(o_totalprice, 0.5) AS DECIMAL(20, 6)), 2)::DOUBLE",
 }
 for _agg, _sql in _GROUP_SQL.items():
 
@@ -40,6 +39,16 @@ for _agg, _sql in _GROUP_SQL.items():
         return aggregate.group_aggregate(df, "priority", "o_totalprice", agg)
 
 
+@query(
+    "group_median",
+    f"""SELECT p AS priority, round(quantile_cont(o_custkey, 0.5), 2) AS median_o_custkey
+        FROM (SELECT {_STATUS} AS p, o_custkey FROM orders) WHERE p IS NOT NULL GROUP BY 1""",
+)
+def _median(t, spark):
+    priority = F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("priority")
+    return aggregate.group_aggregate(t("orders").select(priority, "o_custkey"), "priority", "o_custkey", "median")
+
+
 @query(
     "group_median_many",
     "SELECT l_partkey, round(quantile_cont(l_quantity, 0.5), 2) AS median_l_quantity FROM lineitem GROUP BY 1",

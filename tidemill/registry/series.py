@@ -64,18 +64,17 @@ for _freq in _PERIOD:
 
 @query(
     "time_by_event_type",
-    """WITH g AS (SELECT event_type, date_trunc('day', ts) AS p, sum(value) AS v FROM events GROUP BY 1, 2),
+    """WITH g AS (SELECT event_type, date_trunc('day', ts) AS p, count(value) AS v FROM events GROUP BY 1, 2),
        s AS (SELECT event_type, unnest(generate_series(min(p), max(p), INTERVAL 1 DAY)) AS p FROM g GROUP BY 1),
        series AS (SELECT event_type, p AS "Period", coalesce(v, 0) AS v FROM s LEFT JOIN g USING (event_type, p))
-       SELECT event_type, "Period", round(v, 2) AS value,
+       SELECT event_type, "Period", v AS value,
               round((v / nullif(lag(v) OVER w, 0) - 1) * 100, 2) AS "DoD %",
               round((v / nullif(lag(v, 365) OVER w, 0) - 1) * 100, 2) AS "YoY %",
               round(avg(v) OVER (PARTITION BY event_type ORDER BY "Period" ROWS 6 PRECEDING), 2) AS "7-Period Rolling Avg"
        FROM series WINDOW w AS (PARTITION BY event_type ORDER BY "Period")""",
 )
 def _by_type(t, spark):
-    out = ts.compute_time_intelligence(t("events"), "ts", "value", "D", "sum", 7, "event_type")
-    return out.withColumn("value", F.round("value", 2))
+    return ts.compute_time_intelligence(t("events"), "ts", "value", "D", "count", 7, "event_type")
 
 
 _YEARLY = "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, avg(o_totalprice) AS m FROM orders GROUP BY 1"
@@ -83,7 +82,7 @@ _YEARLY = "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, avg(o_totalprice)
 
 @query(
     "trend_points",
-    f"""SELECT year, round(m, 2) AS average, round(m / lag(m) OVER (ORDER BY year) - 1, 4) AS change FROM ({_YEARLY})""",
+    f"""SELECT year, round(m, 2) AS average, round(m / nullif(lag(m) OVER (ORDER BY year), 0) - 1, 4) AS change FROM ({_YEARLY})""",
 )
 def _points(t, spark):
     df = t("orders").select(F.year("o_orderdate").alias("year"), "o_totalprice")
@@ -92,12 +91,13 @@ def _points(t, spark):
 
 @query(
     "trend_points_many_keys",
-    """SELECT o_orderdate, round(m, 2) AS average, round(m / lag(m) OVER (ORDER BY o_orderdate) - 1, 4) AS change
-       FROM (SELECT o_orderdate, avg(o_custkey) AS m FROM orders GROUP BY 1)""",
+    """SELECT o_orderdate, round(m, 2) AS average, round(m / nullif(lag(m) OVER (ORDER BY o_orderdate), 0) - 1, 4) AS change
+       FROM (SELECT o_orderdate, avg(sqrt(o_totalprice)) AS m FROM orders GROUP BY 1)""",
 )
 def _many_points(t, spark):
     # a low limit exercises the route for keys too many for one window
-    return ts.trend_points(t("orders"), "o_orderdate", "o_custkey", window_keys=100)
+    df = t("orders").select("o_orderdate", F.sqrt("o_totalprice").alias("root"))
+    return ts.trend_points(df, "o_orderdate", "root", window_keys=100)
 
 
 _TREND = """SELECT 'year' AS key, '{m}' AS measure, count(*) AS points, round(first(m), 2) AS first_average, round(last(m), 2) AS last_average,

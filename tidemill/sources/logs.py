@@ -8,6 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemill.functions.types import ref
+from tidemill.plans.session import materialize
 
 LOG_SCHEMA = "id string, user_id string, action string, details string, page string, created_at timestamp"
 FEEDBACK_SCHEMA = "id string, user_id string, rating int, comment string, page string, created_at timestamp"
@@ -51,10 +52,11 @@ def activity(
 
     The limit comes first, so a filter searches the newest entries only.
     """
-    latest = newest(log, limit)
-    emails = users.select(F.col("id").alias("_user"), "email")
-    # at most `limit` rows on this side, so it is the side to send; no email is an empty text
-    found = emails.join(F.broadcast(latest), emails["_user"] == latest["user_id"], "right")
+    latest = materialize(newest(log, limit))
+    wanted = latest.select(F.col("user_id").alias("_user")).distinct()
+    # both broadcasts hold at most `limit` rows; the user table is only filtered, never shuffled
+    emails = users.select(F.col("id").alias("_user"), "email").join(F.broadcast(wanted), "_user")
+    found = latest.join(F.broadcast(emails), latest["user_id"] == emails["_user"], "left")
     if user_filter:
         found = found.where(F.coalesce(F.lower("email"), F.lit("")).contains(user_filter.lower()))
     if action_filter:
