@@ -5,8 +5,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidemill.operators.aggregate import value_census
+from tidemill.operators.clean import duplicate_count
+from tidemill.operators.quality import quality_score
 from tidemill.operators.timeseries import trend_points
-from tidemill.operators.validate import run_validation
+from tidemill.operators.validate import run_validation, violating_rows
 from tidemill.plans.hotkeys import hot_keys
 from tidemill.plans.quantiles import column_quantiles, grouped_quantiles
 from tidemill.plans.roworder import carry_fill, with_row_index
@@ -84,6 +87,30 @@ def test_hot_keys_are_counted_exactly(uneven):
     assert (pdf["k"] == "hot").sum() >= 5_000
 
 
+def test_approximate_quantiles_stay_close_in_rank(uneven):
+    pdf, df = uneven
+    found = column_quantiles(df, {"y": [0.25, 0.5]}, approx=True)["y"]
+    for p, v in zip([0.25, 0.5], found):
+        assert abs((pdf["y"] <= v).mean() - p) < 0.001
+
+
+def test_long_texts_group_by_digest(spark):
+    import hashlib
+
+    long = "7" * 64
+    digest = hashlib.sha256(long.encode()).hexdigest()
+    values = [long, long, digest, "7" * 63, "7" * 63, None, None, "x" * 200]
+    df = spark.createDataFrame([(v,) for v in values], "s string")
+    assert duplicate_count(df).first()[0] == 3
+    assert value_census(df, whole_values=False).first()["distinct"] == 4
+    assert value_census(df).first()["top_value"] == "7" * 63
+    row = quality_score(df).first()
+    assert (row["duplicates"], row["missing"], row["type_points"]) == (3, 2, 0.0)
+    rule = {"column": "s", "rule_type": "unique"}
+    assert run_validation(df, [rule]).first()["violations"] == 4
+    assert violating_rows(df, rule).count() == 4
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

@@ -74,6 +74,19 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     )
 
 
-def value_text(column):
-    """Text form of a value that is the same for 0.0 and -0.0, for distinct counting."""
-    return column.cast("string")
+DIGEST_LENGTH = 64
+
+
+def grouping_key(df: DataFrame, column: str):
+    """A stand-in with the same equality as the column, for grouping and matching only.
+
+    Long texts are replaced by their SHA-256 digest, so whole documents are not shuffled just
+    to be compared; shorter texts stay below the digest's length and cannot be mistaken for one.
+    -0.0 and 0.0 are one value.
+    """
+    value, dtype = ref(column), df.schema[column].dataType
+    if is_text(dtype):
+        return F.when(F.length(value) >= DIGEST_LENGTH, F.sha2(value, 256)).otherwise(value)
+    if isinstance(dtype, FLOATING_TYPES):
+        return value + F.lit(0.0).cast(dtype)
+    return value

@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidemill.functions.scalars import full_sum, sample_kurtosis, sample_skewness
 from tidemill.functions.types import (
     flat_columns,
+    grouping_key,
     is_numeric,
+    is_text,
     numeric_columns,
     quoted,
     ref,
     require_columns,
     require_operand,
     text_columns,
-    value_text,
 )
 from tidemill.plans.quantiles import column_quantiles, grouped_quantiles
 from tidemill.plans.session import materialize
@@ -118,10 +119,10 @@ def contingency_table(df: DataFrame, a: str, b: str) -> DataFrame:
 # -- summaries ----------------------------------------------------------------------------
 
 
-def describe(df: DataFrame, columns: list[str] | None = None, percentiles=(0.25, 0.5, 0.75), digits: int = 2) -> DataFrame:
-    """One row per numeric column: count, mean, std, min, percentiles, max."""
+def describe(df: DataFrame, columns: list[str] | None = None, percentiles=(0.25, 0.5, 0.75), digits: int = 2, approx: bool = False) -> DataFrame:
+    """One row per numeric column: count, mean, std, min, percentiles (exact by default), max."""
     columns = numeric_columns(df) if columns is None else columns
-    points = column_quantiles(df, {c: list(percentiles) for c in columns})
+    points = column_quantiles(df, {c: list(percentiles) for c in columns}, approx=approx)
     cells = []
     for c in columns:
         x = ref(c).cast("double")
@@ -157,18 +158,20 @@ def shape_statistics(df: DataFrame, columns: list[str] | None = None, digits: in
     return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
-def value_census(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def value_census(df: DataFrame, columns: list[str] | None = None, whole_values: bool = True) -> DataFrame:
     """Distinct count, most and least frequent value of each column, from one shuffle.
 
     Values are counted under (column, value), combined before the shuffle, so a dominant
-    value costs no more than a rare one.
+    value costs no more than a rare one.  Without ``whole_values`` long texts are counted by
+    digest: enough for distinct counts, not for showing the values.
     """
     columns = flat_columns(df) if columns is None else columns
     if not columns:
         return df.sparkSession.createDataFrame(
             [], "column string, distinct long, top_value string, top_count long, bottom_value string, bottom_count long"
         )
-    pairs = [F.struct(F.lit(i).alias("_i"), value_text(_plus_zero(df, c)).alias("_v")) for i, c in enumerate(columns)]
+    shown = {c: ref(c) if whole_values and is_text(df.schema[c].dataType) else grouping_key(df, c) for c in columns}
+    pairs = [F.struct(F.lit(i).alias("_i"), shown[c].cast("string").alias("_v")) for i, c in enumerate(columns)]
     counted = (
         df.select(F.inline(F.array(*pairs)))
         .where("_v is not null")
@@ -197,12 +200,6 @@ def value_census(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
 
 
-def _plus_zero(df: DataFrame, column: str):
-    """-0.0 and 0.0 are one value."""
-    kind = df.schema[column].dataType.typeName()
-    return ref(column) + F.lit(0.0).cast(kind) if kind in ("float", "double") else ref(column)
-
-
 def categorical_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Distinct values with the most and least common one per text column."""
     columns = text_columns(df) if columns is None else columns
@@ -216,8 +213,12 @@ def categorical_summary(df: DataFrame, columns: list[str] | None = None) -> Data
     )
 
 
-def column_overview(df: DataFrame) -> DataFrame:
-    """Per column: type, rows, non-null, null and distinct counts."""
+def column_overview(df: DataFrame, approx: bool = False) -> DataFrame:
+    """Per column: type, rows, non-null, null and distinct counts.
+
+    Exact distinct counts shuffle every distinct value once; ``approx`` counts them within 5 %
+    in the same scan as the rest.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     cells = [
         F.struct(
@@ -227,9 +228,12 @@ def column_overview(df: DataFrame) -> DataFrame:
             F.count("*").alias("rows"),
             F.count(ref(c)).alias("non_null"),
             F.count_if(ref(c).isNull()).alias("nulls"),
+            (F.approx_count_distinct(ref(c)) if approx else F.lit(None).cast("long")).alias("distinct"),
         )
         for i, c in enumerate(df.columns)
     ]
     basic = df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
-    census = value_census(df).select("column", "distinct")
-    return basic.join(census, "column", "left").orderBy("position").drop("position")
+    if approx:
+        return basic.orderBy("position").drop("position")
+    census = value_census(df, whole_values=False).select("column", "distinct")
+    return basic.drop("distinct").join(census, "column", "left").orderBy("position").drop("position")

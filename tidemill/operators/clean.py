@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemill.functions.expressions import arithmetic_text, column_expression
 from tidemill.functions.scalars import collapse_blanks, strip, title_case, to_datetime, to_number
-from tidemill.functions.types import dtype_of, is_numeric, is_text, ref, require_columns, require_operand
+from tidemill.functions.types import dtype_of, grouping_key, is_numeric, is_text, ref, require_columns, require_operand
 from tidemill.plans.quantiles import column_quantiles, fences
 from tidemill.plans.roworder import carry_fill
 
@@ -181,7 +181,8 @@ def duplicate_groups(df: DataFrame) -> DataFrame:
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """``duplicate_rows``: rows beyond the first of each group of equal rows."""
-    return duplicate_groups(df).agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_rows"))
+    keys = df.select(*[grouping_key(df, c).alias(f"k{i}") for i, c in enumerate(df.columns)])
+    return duplicate_groups(keys).agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
 def duplicate_rows(df: DataFrame, limit: int = 20) -> DataFrame:

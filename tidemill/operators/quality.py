@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Row, functions as F
 
 from tidemill.functions import wording
 from tidemill.functions.scalars import number_like, share_pct
-from tidemill.functions.types import numeric_columns, ref, text_columns
+from tidemill.functions.types import grouping_key, numeric_columns, ref, text_columns
 from tidemill.operators.aggregate import value_census
 from tidemill.operators.clean import outlier_rows
 from tidemill.plans.quantiles import fences
@@ -17,23 +17,36 @@ VERY_LARGE_ROWS = 1_000_000
 
 
 def _weighted(df: DataFrame) -> DataFrame:
-    """Distinct rows with their number of copies: one shuffle serves counts and duplicates."""
-    return df.groupBy(*[ref(c) for c in df.columns]).agg(F.count("*").alias("_copies"))
+    """Distinct rows with their number of copies: one shuffle serves counts and duplicates.
+
+    Columns ``k{i}`` stand in for the table's columns; ``like{i}`` says whether the i-th text
+    column reads as a number.
+    """
+    keys = [grouping_key(df, c).alias(f"k{i}") for i, c in enumerate(df.columns)]
+    likes = [number_like(ref(c)).alias(f"like{i}") for i, c in enumerate(text_columns(df))]
+    rows = df.select(*keys, *likes)
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("_copies"))
+
+
+def _weighted_missing(df: DataFrame):
+    """Missing cells counted over the output of ``_weighted``."""
+    holes = [F.when(F.col(f"k{i}").isNull(), 1).otherwise(0) for i in range(len(df.columns))]
+    return F.coalesce(F.sum(reduce(lambda a, b: a + b, holes) * F.col("_copies")), F.lit(0))
 
 
 def quality_score(df: DataFrame) -> DataFrame:
     """Completeness (50), duplicates (25) and type consistency (25) as one row with the score."""
     w = F.col("_copies")
     texts = text_columns(df)
-    missing = sum((F.when(ref(c).isNull(), w).otherwise(0) for c in df.columns), F.lit(0))
     aggs = [
         F.coalesce(F.sum(w), F.lit(0)).alias("rows"),
         F.coalesce(F.sum(w - 1), F.lit(0)).alias("duplicates"),
-        F.coalesce(F.sum(missing), F.lit(0)).alias("missing"),
+        _weighted_missing(df).alias("missing"),
     ]
     for i, c in enumerate(texts):
-        aggs.append(F.sum(F.when(ref(c).isNotNull(), w)).alias(f"n{i}"))
-        aggs.append(F.sum(F.when(ref(c).isNotNull() & number_like(ref(c)), w).otherwise(0)).alias(f"l{i}"))
+        present = F.col(f"k{df.columns.index(c)}").isNotNull()
+        aggs.append(F.sum(F.when(present, w)).alias(f"n{i}"))
+        aggs.append(F.sum(F.when(present & F.col(f"like{i}"), w).otherwise(0)).alias(f"l{i}"))
     totals = _weighted(df).agg(*aggs)
     cells = F.col("rows") * len(df.columns)
     completeness = F.try_divide((cells - F.col("missing")).cast("double"), cells.cast("double")) * 50
@@ -127,7 +140,7 @@ def quality_report(df: DataFrame) -> DataFrame:
         for i, c in enumerate(df.columns)
     ]
     basic = df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
-    census = value_census(df).select("column", F.col("distinct").alias("unique_count"))
+    census = value_census(df, whole_values=False).select("column", F.col("distinct").alias("unique_count"))
     return (
         basic.join(census, "column", "left")
         .withColumn("unique_percentage", share_pct(F.col("unique_count"), F.col("rows")))
@@ -139,11 +152,10 @@ def quality_report(df: DataFrame) -> DataFrame:
 def quality_totals(df: DataFrame) -> DataFrame:
     """Rows, columns, cells, duplicates and completeness of the whole table in one row."""
     w = F.col("_copies")
-    missing = sum((F.when(ref(c).isNull(), w).otherwise(0) for c in df.columns), F.lit(0))
     totals = _weighted(df).agg(
         F.coalesce(F.sum(w), F.lit(0)).alias("total_rows"),
         F.coalesce(F.sum(w - 1), F.lit(0)).alias("duplicate_rows"),
-        F.coalesce(F.sum(missing), F.lit(0)).alias("missing_values"),
+        _weighted_missing(df).alias("missing_values"),
     )
     width = F.lit(len(df.columns))
     cells = F.col("total_rows") * width

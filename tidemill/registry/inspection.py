@@ -237,7 +237,7 @@ def _tagged(t, spark):
 
 @query(
     "validation_summary",
-    f"""WITH e AS {_EVENTS} SELECT 3 AS total_rules, CAST((count(*) FILTER (WHERE value IS NULL) = 0)::INTEGER + 1 AS BIGINT) AS passed,
+    f"""WITH e AS {_EVENTS} SELECT CAST(3 AS BIGINT) AS total_rules, CAST((count(*) FILTER (WHERE value IS NULL) = 0)::INTEGER + 1 AS BIGINT) AS passed,
         3 - CAST((count(*) FILTER (WHERE value IS NULL) = 0)::INTEGER + 1 AS BIGINT) AS failed FROM e""",
 )
 def _summary(t, spark):

@@ -10,7 +10,7 @@ from tidemill.sources.versions import VersionStore
 _ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders"
 
 
-@query("csv_round_trip", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, CASE WHEN c_mktsegment <> 'MACHINERY' THEN c_mktsegment END AS c_mktsegment FROM customer")
+@query("csv_round_trip", "SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_name, c_nationkey, c_acctbal, CASE WHEN c_mktsegment <> 'MACHINERY' THEN c_mktsegment END AS c_mktsegment FROM customer")
 def _csv(t, spark):
     path = scratch_path(spark, "csv")
     df = t("customer").withColumn("c_mktsegment", F.nullif("c_mktsegment", F.lit("MACHINERY")))
