@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators.aggregate import value_census
 from tidemill.operators.clean import duplicate_count
+from tidemill.operators.combine import join_datasets
 from tidemill.operators.quality import quality_score
 from tidemill.operators.timeseries import trend_points
 from tidemill.operators.validate import run_validation, violating_rows
@@ -137,3 +138,35 @@ def test_filters_reach_the_scan(tables):
     plan = plan_of(remove_outliers_iqr(tables("lineitem").select("l_orderkey", "l_extendedprice"), "l_extendedprice"))
     assert "PushedFilters: [IsNotNull(l_extendedprice), GreaterThanOrEqual(l_extendedprice" in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_extendedprice:double>" in plan
+
+
+EAGER_SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.shuffle.partitions": "16",
+}
+
+
+@pytest.mark.parametrize("how", ["left", "outer"])
+def test_heavy_optional_side_is_split(spark, how):
+    """A key with 40 % of the rows on the optional side: only the routed join is split."""
+    before = {k: spark.conf.get(k) for k in EAGER_SKEW}
+    for k, v in EAGER_SKEW.items():
+        spark.conf.set(k, v)
+    try:
+        left = spark.range(2000).select(F.col("id").alias("k"), F.rand(1).alias("a"))
+        spread = (F.rand(3) * 2500).cast("long")
+        right = spark.range(300_000, numPartitions=8).select(
+            F.when(F.rand(2) < 0.4, F.lit(7)).otherwise(spread).alias("k"), F.rand(4).alias("b")
+        )
+        plain = join_datasets(left, right, "k", "k", how, hot_rows=10**9)
+        routed = join_datasets(left, right, "k", "k", how, hot_rows=50_000)
+        assert len(plain.collect()) == len(routed.collect())
+        assert "skew=true" not in plan_of(plain)
+        assert "skew=true" in plan_of(routed)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
