@@ -5,7 +5,6 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from tidemill.operators import aggregate, charts, kpi
-from tidemill.operators.combine import join_datasets
 from tidemill.registry import query
 
 LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
