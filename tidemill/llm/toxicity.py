@@ -11,9 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemill.llm.common import prepare, stored, text_slices
+from tidemill.llm.common import bucket_of, prepare, stored, text_slices
 from tidemill.llm.grams import characters, gram_ids
 
 SIZES = (3, 4, 5)
@@ -159,5 +159,33 @@ class ToxicityModel:
         prepare(rows.sparkSession)
         sizes, bits = self.sizes, self.bits
         sent = rows.sparkSession.sparkContext.broadcast((self.slot, self.weight, self.intercept))
-        kind = rows.schema["key"].dataType.simpleString()
-        return rows.select("key", "text").mapInArrow(lambda it: _score(it, sizes, bits, sent), f"key {kind}, score double")
+        schema = T.StructType([T.StructField("key", rows.schema["key"].dataType), T.StructField("score", T.DoubleType())])
+        return rows.select("key", "text").mapInArrow(lambda it: _score(it, sizes, bits, sent), schema)
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> ToxicityModel:
+    """A model from the labels outside the held-out third (crc32 of the id modulo 3 is 1)."""
+    return ToxicityModel.fit(training_rows(docs, labels, bucket_of("doc_id", 3) != 1, per_class))
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document: doc_id, held_out, score (0 to 1), predicted.
+
+    Whole texts are scored; null counts as empty, and texts without n-grams get the score of no
+    evidence.  Ties and repeated rows get equal scores.  Labels, languages, sources and ids are no
+    inputs of a score.  Without labels of both classes every score is 0.5; an empty table gives an
+    empty result; other columns are ignored.
+    """
+    model = fit_toxicity(docs, labels)
+    scored = model.score(docs.select(F.struct("doc_id").alias("key"), "text"))
+    return scored.select(
+        "key.doc_id", (bucket_of("key.doc_id", 3) == 1).alias("held_out"), "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents scored below the threshold, with all their columns."""
+    model = fit_toxicity(docs, labels)
+    scored = model.score(docs.select(F.struct("*").alias("key"), "text"))
+    return scored.where(F.col("score") < threshold).select("key.*")
