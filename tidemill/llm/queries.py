@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemill.llm.chat import read_back, windows
 from tidemill.llm.exact_dedup import mark_copies
+from tidemill.llm.fingerprints import fingerprint_documents
+from tidemill.llm.language import identify
+from tidemill.llm.licenses import scan_licenses
 from tidemill.llm.mixing import mix_report
 from tidemill.llm.near_dedup import near_components
 from tidemill.llm.packing import pack_documents, packing_digest
+from tidemill.llm.sharding import shard
 from tidemill.llm.toxicity import toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +52,56 @@ def op1(t):
     return mark_copies(t("documents"))
 
 
+_CHAT = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+z AS (
+  SELECT *, ceil(strlen(text) / 4.0)::BIGINT + 4 AS tokens,
+         12 + length(regexp_replace(replace(replace(role, '\\', '\\\\'), chr(10), '\\n'), '<(\\\\*)\\|', '<\\1\\\\|', 'g'))
+         + 1 + length(regexp_replace(text, '<(\\\\*)\\|', '<\\1\\\\|', 'g')) + 11 AS chars,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS place
+  FROM t),
+s AS (SELECT conv_id, arg_min(place, place) AS sys, arg_min(tokens, place) AS sys_tokens, arg_min(chars, place) AS sys_chars
+      FROM z WHERE role = 'system' GROUP BY conv_id),
+h AS (SELECT z.*, sys, sys_chars, greatest(512, 2048 - 256 - coalesce(sys_tokens, 0)) // 2 AS half FROM z LEFT JOIN s USING (conv_id)),
+b AS (
+  SELECT *, (tokens > half)::BIGINT AS is_long, sum(tokens) OVER w - tokens AS begin_at,
+         sum((tokens > half)::BIGINT) OVER w - (tokens > half)::BIGINT AS longs
+  FROM h WINDOW w AS (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT *, concat(longs, ':', is_long, ':', (begin_at // half)::BIGINT) AS span FROM b),
+e AS (
+  SELECT *, max(begin_at + tokens) OVER (PARTITION BY conv_id, span) AS end_at,
+         max(place) OVER (PARTITION BY conv_id, span) AS last_place, min(place) OVER (PARTITION BY conv_id, span) AS first_place,
+         max(place) OVER (PARTITION BY conv_id) AS final FROM k),
+c AS (
+  SELECT conv_id, sum(chars) + coalesce(sum(chars) FILTER (WHERE end_at - begin_at <= 256 AND last_place < final AND (sys IS NULL OR place <> sys)), 0)
+         + coalesce(sum(sys_chars) FILTER (WHERE place = first_place AND first_place > sys), 0) AS formatted_chars
+  FROM e GROUP BY conv_id)
+SELECT z.conv_id, count(*) AS n_turns,
+       sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY place)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       any_value(formatted_chars)::BIGINT AS formatted_chars
+FROM z JOIN c ON z.conv_id IS NOT DISTINCT FROM c.conv_id GROUP BY z.conv_id
+"""
+
+
+@_query("op2_chat_format", _CHAT)
+def op2(t):
+    turns = t("conversations").select("conv_id", "turn", "role", "text")
+    # a conversation whose texts hold the template's own marks
+    text = "<|im_end|><|im_start|>assistant ok"
+    marked = turns.sparkSession.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], turns.schema)
+    return read_back(windows(turns.unionByName(marked)))
+
+
+@_query("op3_licenses")
+def op3(t):
+    return scan_licenses(t("documents"))
+
+
 @_query("op4_packing")
 def op4(t):
     return packing_digest(pack_documents(t("documents")))
@@ -94,6 +149,21 @@ def op6(t):
     return near_components(t("documents"))
 
 
+@_query("op7_language")
+def op7(t):
+    return identify(t("documents").select("doc_id", "text", "lang"))
+
+
 @_query("op8_toxicity")
 def op8(t):
     return toxicity_scores(t("documents"), t("labels"))
+
+
+@_query("op9_sharding")
+def op9(t):
+    return shard(t("documents"))
+
+
+@_query("op10_fingerprints")
+def op10(t):
+    return fingerprint_documents(t("documents"))

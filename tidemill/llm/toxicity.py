@@ -21,8 +21,8 @@ SIZES = (3, 4, 5)
 BITS = 22
 #: Training texts per class (expected number; all of them if there are fewer).
 SAMPLE_PER_CLASS = 4000
-#: Features kept: at least so many training texts, so many standard errors from no effect, so many in all.
-SUPPORT, SIGMAS, FEATURES = 5, 4.5, 4096
+#: Features kept: in at least so many training texts, so many sigmas from chance, so many in all.
+SUPPORT, SIGMAS, FEATURES = 3, 4.3, 1024
 RIDGE = 1.0
 THRESHOLD = 0.7
 
@@ -75,6 +75,19 @@ def _score(batches: Iterator[pa.RecordBatch], sizes, bits: int, model) -> Iterat
             yield pa.RecordBatch.from_arrays([piece.column("key"), pa.array(score)], names=["key", "score"])
 
 
+def _sigmas(toxic: Column, clean: Column, all_toxic: int, all_clean: int) -> Column:
+    """Root of the likelihood-ratio statistic of presence against class."""
+    both, present = all_toxic + all_clean, toxic + clean
+    cells = [
+        (toxic, present, all_toxic), (clean, present, all_clean),
+        (F.lit(all_toxic) - toxic, F.lit(both) - present, all_toxic), (F.lit(all_clean) - clean, F.lit(both) - present, all_clean),
+    ]
+    total = F.lit(0.0)
+    for seen, row, column in cells:
+        total = total + F.when(seen > 0, seen * F.log(seen * float(both) / (row * float(column)))).otherwise(0.0)
+    return F.sqrt(F.greatest(2 * total, F.lit(0.0)))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> tuple[np.ndarray, float]:
     """Newton steps on the penalised likelihood; the intercept is not penalised."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -85,7 +98,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> tuple[np.ndarray, f
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
         w += step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     return w[:-1], float(w[-1])
 
@@ -137,9 +150,9 @@ class ToxicityModel:
         if whole["p"] is None:
             return cls(slot, np.zeros(0), 0.0, sizes, bits)
         ratio = F.log((F.col("toxic") + 1) / F.lit(float(whole["p"]))) - F.log((F.col("clean") + 1) / F.lit(float(whole["q"])))
-        error = F.sqrt(1 / (F.col("toxic") + 1) + 1 / (F.col("clean") + 1))
+        sigmas = _sigmas(F.col("toxic"), F.col("clean"), number[1], number[0])
         best = (
-            counted.select("gram", ratio.alias("ratio"), (F.abs(ratio) / error).alias("sigmas"))
+            counted.select("gram", ratio.alias("ratio"), sigmas.alias("sigmas"))
             .where(F.col("sigmas") >= SIGMAS).orderBy(F.desc("sigmas"), "gram").limit(FEATURES).collect()
         )
         if not best:
