@@ -46,14 +46,14 @@ def heavy_winners(rows: DataFrame, share: int = SHARE, tracked: int = TRACKED) -
         .agg(F.expr("approx_top_k_combine(s)").alias("s"))
     )
     maybe = merged.select(F.explode(F.expr(f"approx_top_k_estimate(s, {2 * share})")).alias("top")).select("top.item")
-    total = rows.agg(F.count("*").alias("total"))
+    total = rows.count()
     counted = (
         rows.join(F.broadcast(maybe), F.xxhash64("text_sha256") == F.col("item"), "left_semi")
         .groupBy("text_sha256")
         .agg(F.count("*").alias("heavy_size"), F.min(_rank()).alias("best"))
     )
-    # one row with the number of rows; never more than ``share`` digests pass
-    return counted.join(F.broadcast(total), F.col("heavy_size") * share > F.col("total")).select(
+    # never more than ``share`` digests pass
+    return counted.where(F.col("heavy_size") * share > total).select(
         "text_sha256", "heavy_size", F.col("best.doc_id").alias("heavy_id"), F.col("best.uid").alias("heavy_uid")
     )
 

@@ -2,8 +2,9 @@
 
 The lexicon holds the terms whose document frequency lies in a chosen band.  A document's distinct
 lexicon terms are sorted and every randomised subset of the lexicon gives a hash of those that
-belong to it.  Subsets come in sizes that halve; a document uses the two sizes that keep less than
-one of its terms on average, so a change of some terms leaves the hashes of many subsets alone.
+belong to it.  Subsets come in sizes that halve; a document uses three sizes around the one that
+keeps one of its terms on average, so a change of some terms leaves the hashes of many subsets alone
+and texts whose numbers of terms differ up to fourfold can be compared.
 
 Document frequencies are counted over all documents in 2**BITS hashed counters, so the lexicon is a
 bitmap of fixed size whatever the vocabulary; terms that share a counter share its frequency.
@@ -25,8 +26,10 @@ from tidemill.llm.shingles import Words, distinct_per_document, mix
 BITS = 24
 #: The band: terms of at least so many documents and at most this share of them.
 LEAST_DOCUMENTS, LARGEST_SHARE = 2, 0.1
-#: Lexicon subsets per size.
-SUBSETS = 32
+#: Lexicon subsets per size, and sizes of a document.
+SUBSETS, STEPS = 32, 3
+#: A text with fewer lexicon terms uses all its terms.
+LEAST_TERMS = 8
 #: Counters per row of the frequency table.
 SEGMENT = 1 << 14
 _SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -80,24 +83,21 @@ def lexicon(docs: DataFrame, least: int = LEAST_DOCUMENTS, share: float = LARGES
 
 
 def fingerprints(texts: list, inside: np.ndarray, bits: int, subsets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per text its size class and its (2, subsets) hashes; 0 stands for a subset without terms.
-
-    A text none of whose terms are in the lexicon uses all its terms.
-    """
+    """Per text its size class and its (STEPS, subsets) hashes; 0 stands for a subset without terms."""
     hashes, bounds = _terms(pa.array(texts, pa.string()))
     owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
     known = inside[(hashes >> np.uint64(64 - bits)).astype(np.int64)]
     count = np.bincount(owner[known], minlength=len(texts))
-    use = known | (count[owner] == 0)
+    use = known | (count[owner] < LEAST_TERMS)
     hashes, owner = hashes[use], owner[use]
     count = np.bincount(owner, minlength=len(texts))
-    size = np.round(np.log2(np.maximum(count, 1))).astype(np.int64) + 1
-    out = np.zeros((len(texts), 2, subsets), np.uint32)
-    low = (np.uint64(1) << (size[owner]).astype(np.uint64)) - np.uint64(1)
+    size = np.round(np.log2(np.maximum(count, 1))).astype(np.int64)
+    out = np.zeros((len(texts), STEPS, subsets), np.uint32)
+    kept = [(np.uint64(1) << (size[owner] + j).astype(np.uint64)) - np.uint64(1) for j in range(STEPS)]
     for k in range(subsets):
         drawn = mix(hashes ^ _SEEDS[k])
-        for j in (0, 1):
-            member = np.flatnonzero((drawn & (low * np.uint64(2) + np.uint64(1) if j else low)) == 0)
+        for j in range(STEPS):
+            member = np.flatnonzero((drawn & kept[j]) == 0)
             if len(member):
                 at = owner[member]
                 first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
@@ -107,15 +107,15 @@ def fingerprints(texts: list, inside: np.ndarray, bits: int, subsets: int) -> tu
 
 
 def likeness(size_a, a, size_b, b) -> np.ndarray:
-    """Share of equal hashes among subsets that hold terms of either text, at the sizes both use."""
-    best = np.zeros(len(a))
-    for i in (0, 1):
-        for j in (0, 1):
+    """Share of equal hashes among the subsets, of all sizes both use, that hold terms of either text."""
+    equal, either = np.zeros(len(a)), np.zeros(len(a))
+    for i in range(STEPS):
+        for j in range(STEPS):
             x, y = a[:, i], b[:, j]
-            either = ((x != 0) | (y != 0)).sum(axis=1)
-            equal = ((x == y) & (x != 0)).sum(axis=1)
-            usable = (size_a + i == size_b + j) & (either > 0)
-            best = np.maximum(best, np.where(usable, equal / np.maximum(either, 1), 0))
+            same_size = size_a + i == size_b + j
+            either += np.where(same_size, ((x != 0) | (y != 0)).sum(axis=1), 0)
+            equal += np.where(same_size, ((x == y) & (x != 0)).sum(axis=1), 0)
+    best = equal / np.maximum(either, 1)
     return np.where((size_a == size_b) & (a == b).all(axis=(1, 2)), 1.0, best)
 
 

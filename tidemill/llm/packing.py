@@ -103,11 +103,9 @@ def pack(
             raise ValueError("every source needs a positive weight")
     else:
         totals = totals.withColumn("weight", F.col("tokens").cast("double"))
-    whole = totals.agg(F.sum("weight").alias("all_weight"))
-    # one row; the quantum of a source is its share of a window
-    quanta = totals.join(F.broadcast(whole)).select(
-        F.col("source").alias("queue"), (F.col("weight") / F.col("all_weight") * window).alias("quantum")
-    )
+    all_weight = totals.agg(F.sum("weight")).first()[0] or 1.0
+    # the quantum of a source is its share of a window
+    quanta = totals.select(F.col("source").alias("queue"), (F.col("weight") / all_weight * window).alias("quantum"))
     earned = streams.join(quanta, F.col("source").eqNullSafe(F.col("queue")))
     pieces = earned.select("doc_id", "source", "ids", "doc_tokens", "before", "quantum").mapInArrow(
         lambda it: _grains(it, grain),
