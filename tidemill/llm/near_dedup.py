@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemill.llm.common import numbered, prepare, stored, text_slices
+from tidemill.llm.common import numbered, prepare, release, stored, text_slices
 from tidemill.llm.graph import components
 from tidemill.llm.shingles import Words, distinct_per_document, minhash, mix, shingle_hashes
 
@@ -30,6 +30,10 @@ PERCENT = 75
 BANDS, ROWS = 32, 4
 #: Minima per signature (16 bits each), read in batches.
 SIGNATURE, BATCH = 256, 32
+#: Further minima (8 bits each) for the pairs that remain within a bucket after its pivot.
+LONGER = 512
+#: Bits of the table that tells whose texts are read again; a full table only reads more of them.
+FILTER_BITS = 26
 #: A pair is dropped when its posterior chance of reaching the threshold is below this.
 MISS = 1e-5
 #: Members of a block when a bucket's remaining pairs are compared.
@@ -73,12 +77,12 @@ def _surviving(a: np.ndarray, b: np.ndarray, percent: int, miss: float, batch: i
     return left
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """A binary column of equally long values as rows of 16-bit numbers."""
+def _matrix(column: pa.Array, width: int, kind=np.uint16) -> np.ndarray:
+    """A binary column of equally long values as rows of numbers."""
     column = column.cast(pa.large_binary())
-    first, n = column.offset, len(column)
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[first : first + n + 1]
-    return np.frombuffer(column.buffers()[2], np.uint16)[offsets[0] // 2 : offsets[-1] // 2].reshape(n, width)
+    first, n, bytes_each = column.offset, len(column), np.dtype(kind).itemsize
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[first : first + n + 1] // bytes_each
+    return np.frombuffer(column.buffers()[2], kind)[offsets[0] : offsets[-1]].reshape(n, width)
 
 
 def _binary_rows(table: np.ndarray) -> pa.Array:
@@ -139,8 +143,12 @@ def _bands(batches: Iterator[pa.RecordBatch], count: int, bands: int, rows: int)
             )
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], size: int, wanted) -> Iterator[pa.RecordBatch]:
+    """Digests and sets of the texts whose place in the filter is taken."""
+    bits = wanted.value
     for batch in batches:
+        place = batch.column("place").to_numpy(zero_copy_only=False) - 1
+        batch = batch.take(pa.array(np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)))
         for piece in text_slices(batch, "text"):
             hashes, bounds = distinct_per_document(*shingle_hashes(Words(piece.column("text")), size))
             d1, d2 = _set_digest(hashes, bounds)
@@ -149,6 +157,16 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             )
 
 
+def _longer(batches: Iterator[pa.RecordBatch], count: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            column = batch.column("shingles").cast(pa.large_binary())
+            offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // 8
+            hashes = np.frombuffer(column.buffers()[2], np.uint64)[offsets[0] : offsets[-1]]
+            minima = (minhash(hashes, offsets - offsets[0], count, seed=2) & np.uint32(0xFF)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), _binary_rows(minima)], names=["cid", "longer"])
+
+
 def _prune(batches: Iterator[pa.RecordBatch], count: int, percent: int, miss: float, step: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
@@ -192,7 +210,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(
-    batches: Iterator[pa.RecordBatch], count: int, bands: int, rows: int, percent: int, miss: float, step: int
+    batches: Iterator[pa.RecordBatch], count: int, longer: int, bands: int, rows: int, percent: int, miss: float, step: int
 ) -> Iterator[pa.RecordBatch]:
     for cell in _cells(batches):
         ci, cj = cell.column("ci")[0].as_py(), cell.column("cj")[0].as_py()
@@ -202,6 +220,7 @@ def _compare(
         cid = cell.column("cid").to_numpy(zero_copy_only=False)
         pivot = cell.column("pivot")[0].as_py()
         signature = _matrix(cell.column("signature"), count)
+        minima = np.hstack([signature, _matrix(cell.column("longer"), longer, np.uint8)])
         one = np.flatnonzero(block == ci)
         two = np.flatnonzero(block == cj)
         found_a, found_b = [], []
@@ -210,7 +229,7 @@ def _compare(
             others = others[(label[others] != label[i]) & (cid[others] != pivot)]
             if cid[i] == pivot or not len(others):
                 continue
-            left = others[_surviving(np.broadcast_to(signature[i], (len(others), count)), signature[others], percent, miss, step)]
+            left = others[_surviving(np.broadcast_to(minima[i], (len(others), count + longer)), minima[others], percent, miss, step)]
             if len(left):
                 found_a.append(np.full(len(left), i))
                 found_b.append(left)
@@ -228,11 +247,11 @@ def _compare(
 class Search:
     """The parameters of one run and its steps."""
 
-    def __init__(self, shingle=SHINGLE, percent=PERCENT, bands=BANDS, rows=ROWS, signature=SIGNATURE, batch=BATCH, miss=MISS, block=BLOCK):
-        if bands * rows > signature or signature % batch:
+    def __init__(self, shingle=SHINGLE, percent=PERCENT, bands=BANDS, rows=ROWS, signature=SIGNATURE, batch=BATCH, miss=MISS, block=BLOCK, longer=LONGER):
+        if bands * rows > signature or signature % batch or longer % batch:
             raise ValueError("bands * rows must fit the signature, and batches must divide it")
         self.shingle, self.percent, self.bands, self.rows = shingle, percent, bands, rows
-        self.signature, self.batch, self.miss, self.block = signature, batch, miss, block
+        self.signature, self.batch, self.miss, self.block, self.longer = signature, batch, miss, block, longer
 
     def features(self, texts: DataFrame) -> DataFrame:
         """uid, doc_id, n_shingles, set digest and signature of rows (uid, doc_id, text)."""
@@ -276,10 +295,10 @@ class Search:
             .select("key", (-F.col("top.less")).alias("pivot"))
         )
 
-    def rest(self, buckets: DataFrame, pivots: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    def rest(self, buckets: DataFrame, pivots: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
         """Surviving pairs of different components that meet in a bucket and exclude its pivot."""
         count, bands, rows, block = self.signature, self.bands, self.rows, self.block
-        percent, miss, step = self.percent, self.miss, self.batch
+        percent, miss, step, longer = self.percent, self.miss, self.batch, self.longer
         named = (
             buckets.where("n > 2")
             .join(labels.withColumnRenamed("node", "cid"), "cid", "left")
@@ -287,18 +306,51 @@ class Search:
         )
         mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
         blocks = F.ceil(F.col("n") / block).cast("int")
+        remaining = stored(named.join(mixed, "key").join(pivots, "key"), "remaining")
+        more = (
+            sets.join(remaining.select("cid").distinct(), "cid", "left_semi").select("cid", "shingles")
+            .mapInArrow(lambda it: _longer(it, longer), "cid long, longer binary")
+        )
+        signatures = classes.select("cid", "signature").join(more, "cid")
         placed = (
-            named.join(mixed, "key").join(pivots, "key")
+            remaining
             .withColumn("block", F.pmod(F.xxhash64("cid", F.lit(7)), blocks).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
             .select("key", F.least("block", "other").alias("ci"), F.greatest("block", "other").alias("cj"), "block", "cid", "label", "pivot")
-            .join(classes.select("cid", "signature"), "cid")
+            .join(signatures, "cid")
         )
         parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return (
             placed.repartition(parts, "key", "ci", "cj")
             .sortWithinPartitions("key", "ci", "cj")
-            .mapInArrow(lambda it: _compare(it, count, bands, rows, percent, miss, step), "a long, b long")
+            .mapInArrow(lambda it: _compare(it, count, longer, bands, rows, percent, miss, step), "a long, b long")
+        )
+
+    def sets(self, texts: DataFrame, wanted: DataFrame) -> DataFrame:
+        """(cid, shingles) of the wanted classes, read again from the texts.
+
+        A bitmap of fixed size over hashed ids tells which texts to look at; the digest of its set
+        tells the class of a text, so chance hits and repeated ids do no harm.
+        """
+        spark, size = texts.sparkSession, self.shingle
+        place = lambda name: F.pmod(F.xxhash64(name), F.lit(1 << FILTER_BITS)) + 1
+        segments = (
+            wanted.select(place("first_id").alias("place"))
+            .groupBy(F.bitmap_bucket_number("place").alias("segment"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+        )
+        bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+        for r in segments.toLocalIterator():
+            # segment 1 holds the places 1 to 32768, one bit each
+            bits[(r["segment"] - 1) * 4096 : r["segment"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+        sent = spark.sparkContext.broadcast(bits)
+        found = texts.select(place("doc_id").alias("place"), "text").mapInArrow(
+            lambda it: _sets(it, size, sent), "d1 long, d2 long, shingles binary"
+        )
+        once = F.row_number().over(Window.partitionBy("d1", "d2").orderBy("cid"))
+        return (
+            found.join(wanted.select("cid", "d1", "d2"), ["d1", "d2"])
+            .withColumn("copy", once).where("copy = 1").select("cid", "shingles")
         )
 
     def run(self, texts: DataFrame) -> DataFrame:
@@ -318,25 +370,18 @@ class Search:
         buckets = stored(self.buckets(classes), "buckets")
         pivots = stored(self.pivots(buckets), "pivots")
         met = buckets.select("cid").distinct()
-        wanted = stored(classes.join(met, "cid", "left_semi").select("cid", "d1", "d2", "first_id"), "wanted")
-        size = self.shingle
-        # texts are fetched by id and recognised by the digest of their set, so repeated ids do no harm
-        ids = wanted.select(F.col("first_id").alias("wanted_id")).distinct()
-        found = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
-        once = F.row_number().over(Window.partitionBy("d1", "d2").orderBy("cid"))
-        sets = stored(
-            found.mapInArrow(lambda it: _sets(it, size), "d1 long, d2 long, shingles binary")
-            .join(wanted.select("cid", "d1", "d2"), ["d1", "d2"])
-            .withColumn("copy", once).where("copy = 1").select("cid", "shingles"),
-            "sets",
-        )
+        wanted = stored(classes.join(met, "cid", "left_semi"), "wanted")
+        release(texts.sparkSession)
+        sets = stored(self.sets(texts, wanted), "sets")
+        release(texts.sparkSession)
         star = (
             buckets.join(pivots, "key").where("cid <> pivot")
             .select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
         )
-        links = stored(self.confirm(stored(self.prune(star, classes), "star"), sets), "links")
+        links = stored(self.confirm(stored(self.prune(star, wanted), "star"), sets), "links")
         labels = components(links)
-        more = stored(self.rest(buckets, pivots, labels, classes), "rest")
+        release(texts.sparkSession)
+        more = stored(self.rest(buckets, pivots, labels, wanted, sets), "rest")
         extra = stored(self.confirm(more, sets), "links")
         labels = components(links.unionByName(extra))
         return self.members(narrow, groups, labels)
