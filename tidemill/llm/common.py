@@ -45,6 +45,16 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Tables of a few numbers per row are broadcast up to this many rows, about 10 MB.
+SMALL_ROWS = 200_000
+
+
+def if_small(df: DataFrame, label: str) -> DataFrame:
+    """``df`` stored, counted, and broadcast in joins only if it has at most SMALL_ROWS rows."""
+    kept = stored(df, label)
+    return F.broadcast(kept) if kept.count() <= SMALL_ROWS else kept
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -119,11 +129,11 @@ def running_totals(df: DataFrame, value: str, group: str | None = None, label: s
     keys = ["part"] + ([group] if group else [])
     sums = kept.groupBy(*keys).agg(F.sum(value).alias("amount"))
     order = Window.partitionBy(*([group] if group else [])).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(
+    base = if_small(sums.select(
         F.col("part").alias("base_part"),
         *([F.col(group).alias("base_group")] if group else []),
         F.coalesce(F.sum("amount").over(order), F.lit(0)).alias("base"),
-    )
+    ), f"{label}-base")
     match = F.col("part") == F.col("base_part")
     if group:
         match = match & F.col(group).eqNullSafe(F.col("base_group"))

@@ -14,13 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemill.llm.common import ordered, prepare, running_totals, text_slices
+from tidemill.llm.common import ordered, prepare, running_totals, stored, text_slices
 
 WINDOW = 2048
 #: Tokens that a source is served at a time.
 GRAIN = 128
+#: Up to so many sources their table is broadcast and pieces are placed by formula; beyond, by a range sort.  Results agree.
+MOST_QUEUES = 4096
 #: The id that ends each document.
 END = 1
 
@@ -39,8 +41,42 @@ def _encode(batches: Iterator[pa.RecordBatch], ranks: str, pattern: str, end: in
             )
 
 
-def _grains(batches: Iterator[pa.RecordBatch], grain: int) -> Iterator[pa.RecordBatch]:
-    """Cut documents where the round of their grains changes."""
+def _turn(k: np.ndarray, grain: int, quantum: np.ndarray) -> np.ndarray:
+    """The round that serves a source's grain k: the first by whose end k + 1 grains are earned."""
+    return np.ceil((k + 1) * grain / quantum).astype(np.int64) - 1
+
+
+class Queues:
+    """Quantum and length of every source, in order; closed forms of what rounds have served."""
+
+    def __init__(self, rank: np.ndarray, quantum: np.ndarray, tokens: np.ndarray, grain: int):
+        order = np.argsort(rank)
+        self.quantum, self.tokens, self.grain = quantum[order], tokens[order], grain
+
+    def served(self, rounds: np.ndarray) -> np.ndarray:
+        """(round, source) tokens served before each round: its grains of earlier turns, as far as there are any."""
+        count = np.floor(rounds[:, None] * self.quantum / self.grain).astype(np.int64)
+        count -= (count > 0) & (_turn(count - 1, self.grain, self.quantum) >= rounds[:, None])
+        count += _turn(count, self.grain, self.quantum) < rounds[:, None]
+        return np.minimum(count * self.grain, self.tokens)
+
+    def offsets(self, turn: np.ndarray, rank: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Where in the packed stream the token at ``place`` of source ``rank``, served in round ``turn``, lies."""
+        out = np.empty(len(turn), np.int64)
+        rounds, which = np.unique(turn, return_inverse=True)
+        step = max(1, (1 << 21) // max(1, len(self.tokens)))
+        for at in range(0, len(rounds), step):
+            part = rounds[at : at + step]
+            before, after = self.served(part), self.served(part + 1)
+            ahead = np.cumsum(after - before, axis=1) - (after - before)
+            mine = np.flatnonzero((which >= at) & (which < at + step))
+            row, column = which[mine] - at, rank[mine]
+            out[mine] = before.sum(axis=1)[row] + ahead[row, column] + place[mine] - before[row, column]
+        return out
+
+
+def _grains(batches: Iterator[pa.RecordBatch], grain: int, queues) -> Iterator[pa.RecordBatch]:
+    """Cut documents where the round of their grains changes; place the pieces if all queues are known."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -52,7 +88,7 @@ def _grains(batches: Iterator[pa.RecordBatch], grain: int) -> Iterator[pa.Record
         grains = last - first + 1
         row = np.repeat(np.arange(n), grains)
         k = np.arange(len(row)) - np.repeat(np.cumsum(grains) - grains, grains) + first[row]
-        turn = np.ceil((k + 1) * grain / quantum[row]).astype(np.int64) - 1
+        turn = _turn(k, grain, quantum[row])
         opens = np.ones(len(row), bool)
         opens[1:] = (row[1:] != row[:-1]) | (turn[1:] != turn[:-1])
         at, owner = np.flatnonzero(opens), row[opens]
@@ -68,15 +104,17 @@ def _grains(batches: Iterator[pa.RecordBatch], grain: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id").take(index), batch.column("source").take(index), pa.array(turn[at]),
              pa.array(before[owner] + start), pa.array(start), pa.array(stop - start),
-             batch.column("doc_tokens").take(index), sliced],
-            names=["doc_id", "source", "turn", "place", "start", "length", "doc_tokens", "ids"],
+             batch.column("doc_tokens").take(index), sliced, batch.column("rank").take(index),
+             pa.array(queues.value.offsets(turn[at], batch.column("rank").to_numpy(zero_copy_only=False)[owner], before[owner] + start))
+             if queues else pa.nulls(len(owner), pa.int64())],
+            names=["doc_id", "source", "turn", "place", "start", "length", "doc_tokens", "ids", "rank", "before"],
         )
 
 
 def pack(
     docs: DataFrame, vocabulary: str, pattern: str, weights: DataFrame | None = None,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    window: int = WINDOW, grain: int = GRAIN, end: int = END,
+    window: int = WINDOW, grain: int = GRAIN, end: int = END, most_queues: int = MOST_QUEUES,
 ) -> DataFrame:
     """Pieces of sequences: doc_id, start, length, doc_tokens, sequence_id, offset, ids.
 
@@ -105,14 +143,30 @@ def pack(
         totals = totals.withColumn("weight", F.col("tokens").cast("double"))
     all_weight = totals.agg(F.sum("weight")).first()[0] or 1.0
     # the quantum of a source is its share of a window
-    quanta = totals.select(F.col("source").alias("queue"), (F.col("weight") / all_weight * window).alias("quantum"))
-    earned = streams.join(quanta, F.col("source").eqNullSafe(F.col("queue")))
-    pieces = earned.select("doc_id", "source", "ids", "doc_tokens", "before", "quantum").mapInArrow(
-        lambda it: _grains(it, grain),
-        f"{lead}, turn long, place long, start long, length long, doc_tokens long, ids binary",
+    quanta = stored(
+        totals.select(
+            F.col("source").alias("queue"), (F.col("weight") / all_weight * window).alias("quantum"), "tokens",
+            (F.row_number().over(Window.orderBy(F.asc_nulls_first("source"))) - 1).cast("long").alias("rank"),
+        ),
+        "queues",
     )
-    served = ordered(pieces, F.col("turn"), F.asc_nulls_first("source"), F.col("place"))
-    placed = running_totals(served, "length", None, "pieces")
+    few = quanta.count() <= most_queues
+    queues = None
+    if few:
+        known = quanta.drop("queue").toPandas()
+        queues = docs.sparkSession.sparkContext.broadcast(
+            Queues(known["rank"].to_numpy(), known["quantum"].to_numpy(), known["tokens"].to_numpy(), grain)
+        )
+    earned = streams.join(F.broadcast(quanta) if few else quanta, F.col("source").eqNullSafe(F.col("queue")))
+    pieces = earned.select("doc_id", "source", "ids", "doc_tokens", "before", "quantum", "rank").mapInArrow(
+        lambda it: _grains(it, grain, queues),
+        f"{lead}, turn long, place long, start long, length long, doc_tokens long, ids binary, rank long, before long",
+    )
+    if few:
+        placed = pieces
+    else:
+        served = ordered(pieces.drop("before"), F.col("turn"), F.col("rank"), F.col("place"))
+        placed = running_totals(served, "length", None, "pieces")
     stop = F.col("before") + F.col("length")
     cut = placed.withColumn(
         "sequence_id", F.explode(F.sequence(F.floor(F.col("before") / window), F.floor((stop - 1) / window)))

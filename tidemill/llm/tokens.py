@@ -14,18 +14,26 @@ import re
 
 import numpy as np
 
-_IRREGULAR = re.compile(r"\s\s|^ | $")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Cached parts per worker and their longest length.
-CACHE, CACHED_LENGTH = 200_000, 40
+CACHE, CACHED_LENGTH = 1_000_000, 40
+
+
+class _Irregular(Exception):
+    """A part begins or ends with white space, so cutting at every space was wrong."""
 
 
 class _Parts(dict):
     def __init__(self, encode, lead: str):
         self.encode, self.lead = encode, lead
 
+    def ids(self, part: str) -> bytes:
+        return np.array(self.encode(self.lead + part), "<u4").tobytes()
+
     def __missing__(self, part: str) -> bytes:
-        ids = np.array(self.encode(self.lead + part), "<u4").tobytes()
+        if not part or part[0].isspace() or part[-1].isspace():
+            raise _Irregular
+        ids = self.ids(part)
         if len(part) <= CACHED_LENGTH:
             self[part] = ids
         return ids
@@ -45,11 +53,15 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        parts = _CUT.split(text) if _IRREGULAR.search(text) else text.split(" ")
-        for cache in (self.first, self.rest):
-            if len(cache) > CACHE:
-                cache.clear()
-        return self.first[parts[0]] + b"".join(map(self.rest.__getitem__, parts[1:]))
+        if len(self.first) + len(self.rest) > CACHE:
+            self.first.clear()
+            self.rest.clear()
+        try:
+            head, *rest = text.split(" ")
+            return self.first[head] + b"".join(map(self.rest.__getitem__, rest))
+        except _Irregular:
+            head, *rest = _CUT.split(text)
+            return self.first.ids(head) + b"".join(map(self.rest.ids, rest))
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
