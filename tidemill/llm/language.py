@@ -29,6 +29,8 @@ OUTLIERS, MARGIN = 0.01, 0.15
 UNKNOWN = "und"
 #: Texts per dense block in a task.
 ROWS = 256
+#: Bytes of text per slice; n-gram arrays take some 100 times that.
+SLICE = 1 << 20
 
 
 def _term_counts(texts: list, sizes, bits: int) -> np.ndarray:
@@ -56,7 +58,7 @@ def _blocks(texts: list) -> Iterator[list]:
 def _frequencies(batches: Iterator[pa.RecordBatch], sizes, bits: int) -> Iterator[pa.RecordBatch]:
     total, n = np.zeros(1 << bits, np.int64), 0
     for batch in batches:
-        for piece in text_slices(batch, "text"):
+        for piece in text_slices(batch, "text", SLICE):
             for texts in _blocks(piece.column("text").to_pylist()):
                 total += (_term_counts(texts, sizes, bits) > 0).sum(axis=0)
                 n += len(texts)
@@ -66,7 +68,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch], sizes, bits: int) -> Iterato
 
 def _sample_vectors(batches: Iterator[pa.RecordBatch], sizes, bits: int, idf) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for piece in text_slices(batch, "text"):
+        for piece in text_slices(batch, "text", SLICE):
             at = 0
             for texts in _blocks(piece.column("text").to_pylist()):
                 x = _vectors(texts, sizes, bits, idf.value).astype(np.float16)
@@ -79,7 +81,7 @@ def _sample_vectors(batches: Iterator[pa.RecordBatch], sizes, bits: int, idf) ->
 def _predict(batches: Iterator[pa.RecordBatch], sizes, bits: int, model) -> Iterator[pa.RecordBatch]:
     idf, centroids, owner, reach, names = model.value
     for batch in batches:
-        for piece in text_slices(batch, "text"):
+        for piece in text_slices(batch, "text", SLICE):
             lang, score, far = [], [], []
             for texts in _blocks(piece.column("text").to_pylist()):
                 close = _vectors(texts, sizes, bits, idf) @ centroids.T

@@ -16,7 +16,7 @@ import numpy as np
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Cached parts per worker and their longest length.
-CACHE, CACHED_LENGTH = 1_000_000, 40
+CACHE, CACHED_LENGTH = 500_000, 40
 
 
 class _Irregular(Exception):

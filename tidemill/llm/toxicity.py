@@ -25,6 +25,8 @@ SAMPLE_PER_CLASS = 4000
 SUPPORT, SIGMAS, FEATURES = 3, 4.3, 1024
 RIDGE = 1.0
 THRESHOLD = 0.7
+#: Bytes of text per slice; n-gram arrays take some 100 times that.
+SLICE = 1 << 20
 
 
 def _distinct(texts: list, sizes, bits: int, slot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +47,7 @@ def _distinct(texts: list, sizes, bits: int, slot: np.ndarray | None = None) ->
 
 def _counts(batches: Iterator[pa.RecordBatch], sizes, bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for piece in text_slices(batch, "text"):
+        for piece in text_slices(batch, "text", SLICE):
             toxic = piece.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
             row, gram = _distinct(piece.column("text").to_pylist(), sizes, bits)
             key, n = np.unique(gram << 1 | toxic[row], return_counts=True)
@@ -57,7 +59,7 @@ def _counts(batches: Iterator[pa.RecordBatch], sizes, bits: int) -> Iterator[pa.
 
 def _present(batches: Iterator[pa.RecordBatch], sizes, bits: int, slot) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for piece in text_slices(batch, "text"):
+        for piece in text_slices(batch, "text", SLICE):
             row, column = _distinct(piece.column("text").to_pylist(), sizes, bits, slot.value)
             cuts = np.searchsorted(row, np.arange(piece.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -68,7 +70,7 @@ def _present(batches: Iterator[pa.RecordBatch], sizes, bits: int, slot) -> Itera
 def _score(batches: Iterator[pa.RecordBatch], sizes, bits: int, model) -> Iterator[pa.RecordBatch]:
     slot, weight, intercept = model.value
     for batch in batches:
-        for piece in text_slices(batch, "text"):
+        for piece in text_slices(batch, "text", SLICE):
             row, column = _distinct(piece.column("text").to_pylist(), sizes, bits, slot)
             total = intercept + np.bincount(row, weight[column], minlength=piece.num_rows)
             score = 1 / (1 + np.exp(-np.clip(total, -500, 500)))
