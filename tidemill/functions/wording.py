@@ -136,3 +136,16 @@ LOGISTIC_CLASSES = "Target must have at least 2 classes."
 KMEANS_SMALL = "Need at least {k} observations for {k} clusters."
 CLUSTER_LINE = "Cluster {cluster}: Characterized by {features}"
 NO_CLUSTERS = "No cluster information available."
+
+# Texts of validation rules by type; a range by the bounds it has.
+RULE_TEXTS = {
+    "not_null": "`{column}` has no missing values",
+    "unique": "`{column}` values are all unique",
+    "range:": "`{column}` is numeric",
+    "range:min": "`{column}` ≥ {min}",
+    "range:max": "`{column}` ≤ {max}",
+    "range:minmax": "`{column}` between {min} and {max}",
+    "allowed_values": "`{column}` only in [{allowed}]",
+    "regex": "`{column}` matches /{pattern}/",
+}
+RULE_OTHER = "`{column}`: {kind}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemill.functions.scalars import full_sum, sample_kurtosis, sample_skewness
 from tidemill.functions.types import (
@@ -75,9 +75,9 @@ def pivot_table(
     headers = [r[0] for r in cells.select("_c").distinct().orderBy("_c").limit(MAX_PIVOT_COLUMNS + 1).collect()]
     if len(headers) > MAX_PIVOT_COLUMNS:
         raise ValueError(f"'{columns}' has more than {MAX_PIVOT_COLUMNS} distinct values")
-    wide = cells.groupBy("_i").agg(
-        *[F.round(F.max(F.when(F.col("_c") == h, F.col("_v"))), 2).alias(str(h)) for h in headers]
-    )
+    numeric = isinstance(cells.schema["_v"].dataType, T.NumericType)
+    kept = [F.max(F.when(F.col("_c") == h, F.col("_v"))) for h in headers]
+    wide = cells.groupBy("_i").agg(*[(F.round(k, 2) if numeric else k).alias(str(h)) for h, k in zip(headers, kept)])
     return wide.withColumnRenamed("_i", index).orderBy(ref(index))
 
 
@@ -103,8 +103,8 @@ def value_counts(df: DataFrame, column: str, k: int | None = None) -> DataFrame:
 
 def contingency_table(df: DataFrame, a: str, b: str) -> DataFrame:
     """Counts of ``a`` by ``b``; pairs that never occur count 0."""
-    counted = _present(df, [a, b]).groupBy(ref(a), ref(b)).agg(F.count("*").alias("_n"))
-    headers = [r[0] for r in df.where(ref(b).isNotNull()).select(ref(b)).distinct().limit(MAX_PIVOT_COLUMNS + 1).collect()]
+    counted = materialize(_present(df, [a, b]).groupBy(ref(a), ref(b)).agg(F.count("*").alias("_n")))
+    headers = [r[0] for r in counted.select(ref(b)).distinct().limit(MAX_PIVOT_COLUMNS + 1).collect()]
     if len(headers) > MAX_PIVOT_COLUMNS:
         raise ValueError(f"'{b}' has more than {MAX_PIVOT_COLUMNS} distinct values")
     cells = [

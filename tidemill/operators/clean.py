@@ -6,7 +6,8 @@ import math
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemill.functions.expressions import arithmetic_text, column_expression
 from tidemill.functions.scalars import collapse_blanks, strip, title_case, to_datetime, to_number
@@ -242,6 +243,15 @@ def usable_pattern(pattern: str | None) -> bool:
     return True
 
 
+def compiles(spark: SparkSession, pattern: str) -> bool:
+    """Whether the engine that runs patterns accepts this one; its syntax is not Python's."""
+    try:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except Py4JJavaError:
+        return False
+    return True
+
+
 def string_operations(df: DataFrame, column: str, operation: str, pattern: str | None = None) -> DataFrame:
     """lowercase / uppercase / trim in place, or ``extract_regex`` into ``{column}_extracted``."""
     require_operand(df, column)
@@ -249,9 +259,9 @@ def string_operations(df: DataFrame, column: str, operation: str, pattern: str |
     simple = {"lowercase": "lowercase", "uppercase": "uppercase", "trim": "strip"}
     if operation in simple:
         return standardize_text(df, column, simple[operation])
-    if operation != "extract_regex" or not usable_pattern(pattern):
+    if operation != "extract_regex" or not usable_pattern(pattern) or not compiles(df.sparkSession, pattern):
         return df
-    found = F.regexp_extract(text, f"({pattern})", 1)
+    found = F.regexp_extract(text, pattern, 0)
     return df.withColumn(f"{column}_extracted", F.when(text.rlike(pattern), found))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidemill.functions import wording
 from tidemill.functions.pvalues import chi2_p_value, f_p_value, t_p_value
 from tidemill.functions.types import ref, require_columns
+from tidemill.plans.session import materialize
 
 SIGNIFICANCE = 0.05
 
@@ -101,14 +102,16 @@ def run_anova(df: DataFrame, value_col: str, group_col: str) -> DataFrame:
     """One-way analysis of variance over the groups with at least two values."""
     require_columns(df, [value_col, group_col])
     n, mean = F.col("n").cast("double"), F.col("mean")
-    sums = anova_groups(df, value_col, group_col).agg(
+    groups = materialize(anova_groups(df, value_col, group_col))
+    # deviations from the grand mean: sums of squares would cancel where means are large
+    grand = groups.agg(F.try_divide(F.sum(n * mean), F.sum(n))).first()[0] or 0.0
+    sums = groups.agg(
         F.count("*").alias("k"),
         F.sum(n).alias("total"),
-        F.sum(n * mean).alias("s1"),
-        F.sum(n * mean * mean).alias("s2"),
+        F.sum(n * (mean - grand) * (mean - grand)).alias("between"),
         F.sum((n - 1) * F.col("variance")).alias("within"),
     )
-    between = F.col("s2") - F.try_divide(F.col("s1") * F.col("s1"), F.col("total"))
+    between = F.col("between")
     d1, d2 = (F.col("k") - 1).cast("double"), F.col("total") - F.col("k")
     enough = F.col("k") >= 2
     f = F.when(enough, F.try_divide(F.try_divide(between, d1), F.try_divide(F.col("within"), d2)))

@@ -41,6 +41,7 @@ def load_all() -> None:
         cleaning,
         combining,
         inspection,
+        lossless,
         modelling,
         series,
         sources,

@@ -19,9 +19,7 @@ CUT_NOTE = "\n\n[... Content truncated for analysis. First 30,000 characters sho
 def read_documents(spark: SparkSession, paths) -> DataFrame:
     """Text files as (path, text), undecodable bytes replaced."""
     files = spark.read.format("binaryFile").load(paths)
-    # UTF-8 decoding in the engine refuses bad bytes, so replacement is done per Arrow batch
-    decode = F.pandas_udf(lambda raw: raw.map(lambda b: bytes(b).decode("utf-8", errors="replace")), "string")
-    return files.select("path", decode("content").alias("text"))
+    return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def truncate_for_context(df: DataFrame, column: str = "text", limit: int = CONTEXT_CHARS) -> DataFrame:

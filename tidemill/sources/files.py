@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from urllib.parse import urlsplit
+import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemill.functions.types import nan_to_null
 
@@ -18,13 +18,18 @@ def detect_file_type(path: str) -> str:
 
 
 def load_table(
-    spark: SparkSession, path: str, format: str = "auto", schema=None, normalise: bool = True
+    spark: SparkSession, path: str, format: str = "auto", schema=None, normalise: bool = True,
+    multiline: bool | None = None,
 ) -> DataFrame:
     """Read a table; an unknown suffix is read as CSV.
 
     Pass ``schema`` on large CSV/JSON inputs: inference reads them once more.  ``normalise``
     turns float NaN into NULL; switch it off for tables known to hold none, so that filters on
     float columns still reach the Parquet reader.
+
+    ``multiline``: whether a record may span lines.  Left open, CSV is read that way, because quoted
+    line ends cannot be told beforehand, and JSON by what its first line holds.  Such files are read
+    one per task; pass False for large files known to hold one record per line.
     """
     kind = detect_file_type(path.rstrip("/")) if format == "auto" else format
     if kind == "excel":
@@ -33,18 +38,35 @@ def load_table(
     if kind == "parquet":
         df = reader.parquet(path)
     elif kind in ("json", "jsonl"):
-        # a single document or array needs multiLine; line-delimited output is splittable
-        df = reader.json(path, multiLine=kind == "json" and not _is_directory(path))
+        whole = multiline if multiline is not None else kind == "json" and _spans_lines(spark, path)
+        df = reader.json(path, multiLine=whole)
     else:
         separator = "\t" if kind == "tsv" else ","
         infer = schema is None
-        df = reader.csv(path, sep=separator, header=True, inferSchema=infer, multiLine=False, escape='"')
+        df = reader.csv(path, sep=separator, header=True, inferSchema=infer, multiLine=multiline is not False, escape='"')
     return nan_to_null(df) if normalise else df
 
 
-def _is_directory(path: str) -> bool:
-    """Spark writes a folder of line-delimited parts; a named file is one document."""
-    return "." not in urlsplit(path).path.rstrip("/").rsplit("/", 1)[-1]
+def _spans_lines(spark: SparkSession, path: str) -> bool:
+    """False if the first line that is not blank is a record by itself."""
+    first = spark.read.text(path).where(F.trim("value") != "").head()
+    if first is None:
+        return False
+    try:
+        return not isinstance(json.loads(first[0]), dict)
+    except ValueError:
+        return True
+
+
+def _records(text: str) -> list[str]:
+    """Lines of pasted text, joined while a quote is open."""
+    out, held = [], ""
+    for line in text.strip("\n").splitlines():
+        held = f"{held}\n{line}" if held else line
+        if held.count('"') % 2 == 0:
+            out.append(held)
+            held = ""
+    return out + [held] if held else out
 
 
 def load_file_flexible(spark: SparkSession, path: str | None) -> tuple[DataFrame | None, str | None]:
@@ -65,7 +87,7 @@ def parse_pasted_csv(spark: SparkSession, text: str | None) -> tuple[DataFrame |
     if not text or not text.strip():
         return None, "No data pasted."
     try:
-        lines = spark.createDataFrame([(line,) for line in text.strip("\n").splitlines()], "value string")
+        lines = spark.createDataFrame([(record,) for record in _records(text)], "value string")
         separator = "\t" if "\t" in text else ","
         df = spark.read.csv(lines.coalesce(1).rdd.map(lambda r: r[0]), sep=separator, header=True, inferSchema=True, escape='"')
         return (None, "Parsed data is empty.") if df.isEmpty() else (nan_to_null(df), None)
