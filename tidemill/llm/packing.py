@@ -2,9 +2,9 @@
 
 A source's documents form one stream of tokens.  Every window gives each source a quantum, its
 target share of the window; what has been earned and not yet served is the source's deficit and is
-carried on.  Sources are served whole grains of ``grain`` tokens, so after any window the tokens
-served to a source that still has some differ from its target by less than a grain and a token.
-The round in which a grain is served follows from its place in the stream alone, so no window has
+carried on.  Sources are served whole grains of ``grain`` tokens, each in the round by which half
+of it is earned, so after any round a source that has tokens left is at most half a grain from its
+target.  Rounds follow each other without gaps and are cut into full windows.  The round in which a grain is served follows from its place in the stream alone, so no window has
 to wait for the one before, and deficits carry across partitions without any state.
 """
 
@@ -42,8 +42,8 @@ def _encode(batches: Iterator[pa.RecordBatch], ranks: str, pattern: str, end: in
 
 
 def _turn(k: np.ndarray, grain: int, quantum: np.ndarray) -> np.ndarray:
-    """The round that serves a source's grain k: the first by whose end k + 1 grains are earned."""
-    return np.ceil((k + 1) * grain / quantum).astype(np.int64) - 1
+    """The round that serves a source's grain k: the first by whose end half of it is earned."""
+    return np.ceil((k + 0.5) * grain / quantum).astype(np.int64) - 1
 
 
 class Queues:
@@ -55,7 +55,7 @@ class Queues:
 
     def served(self, rounds: np.ndarray) -> np.ndarray:
         """(round, source) tokens served before each round: its grains of earlier turns, as far as there are any."""
-        count = np.floor(rounds[:, None] * self.quantum / self.grain).astype(np.int64)
+        count = np.floor(rounds[:, None] * self.quantum / self.grain + 0.5).astype(np.int64)
         count -= (count > 0) & (_turn(count - 1, self.grain, self.quantum) >= rounds[:, None])
         count += _turn(count, self.grain, self.quantum) < rounds[:, None]
         return np.minimum(count * self.grain, self.tokens)
