@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemill.llm.common import bucket_of, prepare, stored, text_slices
+from tidemill.llm.common import bucket_of, if_small, prepare, stored, text_slices
 from tidemill.llm.grams import characters, gram_ids
 
 SIZES = (1, 2, 3)
@@ -127,9 +127,9 @@ class LanguageModel:
         spark = rows.sparkSession
         prepare(spark)
         rows = rows.where(F.col("lang").isNotNull() & has_letter(F.col("text")))
-        known = rows.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))
+        # one row per language, counted before it is broadcast: texts must not be dealt by language
+        known = if_small(rows.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n")), "language-sizes")
         place = F.pmod(F.xxhash64("text", F.lit(13)), F.lit(1 << 30)) / float(1 << 30)
-        # one row per language
         sample = stored(
             rows.join(known, F.col("lang") == F.col("of")).where(place < per_language / F.col("n")).select("lang", "text").distinct(), "languages"
         )
