@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from tidemill.operators import aggregate, clean, stats, validate
 from tidemill.sources import files
 
@@ -52,3 +54,61 @@ def test_patterns_run_as_written(spark):
 def test_pivot_of_text(spark):
     df = spark.createDataFrame([("a", "k", "z"), ("a", "k", "y")], "i string, c string, v string")
     assert aggregate.pivot_table(df, "i", "v", "min", "c").first()["k"] == "y"
+
+
+def test_every_column_is_examined_by_default(spark):
+    from tidemill.operators import charts, insights, kpi, timeseries
+
+    n = [f"x{i}" for i in range(9)]
+    # the last column alone holds far outliers
+    rows = [(i, *[float(i % 7 + k) for k in range(8)], 1000.0 * (i % 10 == 0) + i % 5) for i in range(200)]
+    df = spark.createDataFrame(rows, ["year", *n])
+    titles = [r["title"] for r in insights.insight_cards(df).collect()]
+    assert "Outliers in x8" in titles
+    assert kpi.detect_kpi_columns(df).count() == 10 and kpi.detect_kpi_columns(df, shown=4).count() == 4
+    assert timeseries.detect_trends(df).count() == 10
+    assert len(charts.scatter_pairs(df)) == 45 and len(charts.scatter_pairs(df, 3)) == 3
+    kinds = {r["type"]: r["x"] for r in insights.dashboard_charts(df).collect()}
+    assert set(kinds) == {"histogram", "heatmap", "scatter", "line"} and kinds["heatmap"].count(",") == 9
+
+
+def test_header_limits_can_be_lifted(spark):
+    from tidemill.operators import aggregate, clean
+
+    df = spark.createDataFrame([(i % 2, i, 1) for i in range(12)], "a int, b int, v int")
+    for table in (aggregate.pivot_table(df, "a", "v", "sum", "b", max_columns=None), aggregate.contingency_table(df, "a", "b", max_columns=None)):
+        assert len(table.columns) == 13
+    with pytest.raises(ValueError):
+        aggregate.contingency_table(df, "a", "b", max_columns=5)
+    assert len(clean.one_hot_encode(df, "b", max_columns=None).columns) == 15
+
+
+@pytest.mark.parametrize("dof", [1e6, 1e8, 1e10, 1e14])
+def test_tails_do_not_drift_with_the_number_of_rows(dof):
+    from tidemill.functions import pvalues
+
+    assert pvalues.t_two_sided(1.0, dof) == pytest.approx(0.317311, abs=1e-6)
+    assert pvalues.f_upper(1.0, 1.0, dof) == pytest.approx(0.317311, abs=1e-6)
+    assert pvalues.f_upper(2.0, 4.0, dof) == pytest.approx(pvalues.chi2_upper(8.0, 4.0), abs=1e-6)
+    # a chi-square value one deviation above its mean
+    assert pvalues.chi2_upper(dof + (2 * dof) ** 0.5, dof) == pytest.approx(0.158655, abs=3e-4)
+
+
+def test_tail_routes_agree_at_their_borders():
+    from tidemill.functions import pvalues
+
+    for below, above, f in ((1e6, 1e6 * (1 + 1e-9), lambda d: pvalues.t_two_sided(2.3, d)), (1e6, 1e6 * (1 + 1e-9), lambda d: pvalues.f_upper(3.1, 5.0, d))):
+        assert f(below) == pytest.approx(f(above), abs=1e-8)
+    for s in (1e3, 1e7):
+        low, high = (pvalues.gamma_tail(s * k, s * k + 0.7 * (s * k) ** 0.5) for k in (1 - 1e-9, 1 + 1e-9))
+        assert low == pytest.approx(high, abs=1e-7)
+
+
+def test_keys_heavy_on_both_sides_join_once(spark):
+    from tidemill.plans.hotkeys import uneven_join
+
+    left = spark.createDataFrame([("b", i) for i in range(6)] + [("l", i) for i in range(6)] + [("x", 0)], "lk string, li int")
+    right = spark.createDataFrame([("b", i) for i in range(5)] + [("r", i) for i in range(5)] + [("y", 0)], "rk string, ri int")
+    plain = left.join(right, left.lk == right.rk, "full").collect()
+    found = uneven_join(left, right, "lk", "rk", "full", at_least=4).collect()
+    assert sorted(map(str, found)) == sorted(map(str, plain))

@@ -12,9 +12,11 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 _TINY = 1e-300
+#: From here on differences of log-gamma values lose the digits that results show.
+LARGE = 1e6
 
 
-def _fraction(step, limit: int = 10_000, tolerance: float = 1e-15) -> float:
+def _fraction(step, limit: int = 1_000_000, tolerance: float = 1e-15) -> float:
     """Evaluate a continued fraction (Lentz); ``step(i)`` yields its i-th pair of terms."""
     a0, b0 = step(0)
     f = b0 or _TINY
@@ -27,8 +29,8 @@ def _fraction(step, limit: int = 10_000, tolerance: float = 1e-15) -> float:
         c = c or _TINY
         f *= c * d
         if abs(c * d - 1.0) < tolerance:
-            break
-    return f
+            return f
+    raise ArithmeticError(f"no convergence after {limit} steps")
 
 
 def beta_tail(a: float, b: float, x: float) -> float:
@@ -60,7 +62,16 @@ def gamma_tail(s: float, x: float) -> float:
     """Regularised upper incomplete gamma function Q(s, x)."""
     if x <= 0.0:
         return 1.0
-    front = math.exp(-x + s * math.log(x) - math.lgamma(s))
+    away = (x - s) / s
+    if s > 10 * LARGE:
+        # the cube root of a gamma variable is nearly normal
+        return _normal_upper((math.expm1(math.log1p(away) / 3.0) + 1.0 / (9.0 * s)) * 3.0 * math.sqrt(s))
+    if s > 1e3:
+        # Stirling's series for the gamma function, with the large terms cancelled by hand
+        series = 1.0 / (12.0 * s) - 1.0 / (360.0 * s**3)
+        front = math.sqrt(s / (2.0 * math.pi)) * math.exp(s * (math.log1p(away) - away) - series)
+    else:
+        front = math.exp(-x + s * math.log(x) - math.lgamma(s))
     if x < s + 1.0:
         term = total = 1.0 / s
         n = s
@@ -72,12 +83,25 @@ def gamma_tail(s: float, x: float) -> float:
     return front / _fraction(lambda i: (-i * (i - s), x + 2 * i + 1 - s) if i else (0.0, x + 1 - s))
 
 
+def _normal_upper(z: float) -> float:
+    return 0.5 * math.erfc(z / math.sqrt(2.0))
+
+
 def t_two_sided(t: float, dof: float) -> float:
+    if dof > LARGE:
+        # normal approximation with an error of the order 1 / dof**2
+        return 2.0 * _normal_upper(abs(t) * (1.0 - 0.25 / dof) / math.sqrt(1.0 + t * t / (2.0 * dof)))
     return beta_tail(dof / 2.0, 0.5, dof / (dof + t * t))
 
 
 def f_upper(f: float, d1: float, d2: float) -> float:
-    return beta_tail(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f)) if f > 0 else 1.0
+    if f <= 0:
+        return 1.0
+    if d2 > LARGE and d1 < d2 / 1e3:
+        # chi-square approximation (Li and Martin, 2002) with an error of the order 1 / d2**2
+        x = d1 * f
+        return gamma_tail(d1 / 2.0, x * (2.0 * d2 + x / 3.0 + d1 - 2.0) / (2.0 * d2 + 4.0 * x / 3.0) / 2.0)
+    return beta_tail(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))
 
 
 def chi2_upper(x: float, dof: float) -> float:

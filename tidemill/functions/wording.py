@@ -137,6 +137,21 @@ KMEANS_SMALL = "Need at least {k} observations for {k} clusters."
 CLUSTER_LINE = "Cluster {cluster}: Characterized by {features}"
 NO_CLUSTERS = "No cluster information available."
 
+# Chart titles by kind, filled with the chart's columns.
+CHART_TITLES = {
+    "histogram": "Distribution of {0}",
+    "bar": "Count by {0}",
+    "heatmap": "Correlation Heatmap",
+    "scatter": "{0} vs {1}",
+    "line": "{1} over {0}",
+    "box": "{1} by {0}",
+}
+
+# Reasons for calling a column personal, by what was found.
+PERSONAL_BOTH = "Column name contains '{keyword}' and content matches {kind} pattern"
+PERSONAL_CONTENT = "Content matches {kind} pattern"
+PERSONAL_NAME = "Column name contains '{keyword}'"
+
 # Texts of validation rules by type; a range by the bounds it has.
 RULE_TEXTS = {
     "not_null": "`{column}` has no missing values",

@@ -54,10 +54,23 @@ def group_aggregate(df: DataFrame, key: str, measure: str, agg: str = "mean") ->
     return ordered.select(ref(key), _rounded(result, name, 2).alias(name))
 
 
+def _headers(values: DataFrame, name: str, limit: int | None) -> list:
+    """The distinct values in order; an error beyond ``limit``."""
+    found = values.distinct() if limit is None else values.distinct().limit(limit + 1)
+    headers = sorted(r[0] for r in found.collect())
+    if limit is not None and len(headers) > limit:
+        raise ValueError(f"'{name}' has more than {limit} distinct values")
+    return headers
+
+
 def pivot_table(
-    df: DataFrame, index: str, values: str, agg: str = "mean", columns: str | None = None
+    df: DataFrame, index: str, values: str, agg: str = "mean", columns: str | None = None,
+    max_columns: int | None = MAX_PIVOT_COLUMNS,
 ) -> DataFrame:
-    """Index by optional column values; cells rounded to 2 decimals, all-empty columns dropped."""
+    """Index by optional column values; cells rounded to 2 decimals, all-empty columns dropped.
+
+    More than ``max_columns`` column values are an error; None lifts the limit.
+    """
     if agg not in PIVOT_AGGREGATES:
         raise ValueError(f"agg must be one of {PIVOT_AGGREGATES}, got '{agg}'")
     require_columns(df, [index, values] + ([columns] if columns else []))
@@ -72,9 +85,7 @@ def pivot_table(
         .agg(cell.alias("_v"))
         .where("_v is not null")
     )
-    headers = [r[0] for r in cells.select("_c").distinct().orderBy("_c").limit(MAX_PIVOT_COLUMNS + 1).collect()]
-    if len(headers) > MAX_PIVOT_COLUMNS:
-        raise ValueError(f"'{columns}' has more than {MAX_PIVOT_COLUMNS} distinct values")
+    headers = _headers(cells.select("_c"), columns, max_columns)
     numeric = isinstance(cells.schema["_v"].dataType, T.NumericType)
     kept = [F.max(F.when(F.col("_c") == h, F.col("_v"))) for h in headers]
     wide = cells.groupBy("_i").agg(*[(F.round(k, 2) if numeric else k).alias(str(h)) for h, k in zip(headers, kept)])
@@ -101,14 +112,15 @@ def value_counts(df: DataFrame, column: str, k: int | None = None) -> DataFrame:
     return ordered.limit(k) if k is not None else ordered
 
 
-def contingency_table(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Counts of ``a`` by ``b``; pairs that never occur count 0."""
+def contingency_table(df: DataFrame, a: str, b: str, max_columns: int | None = MAX_PIVOT_COLUMNS) -> DataFrame:
+    """Counts of ``a`` by ``b``; pairs that never occur count 0.
+
+    More than ``max_columns`` values of ``b`` are an error; None lifts the limit.
+    """
     counted = materialize(_present(df, [a, b]).groupBy(ref(a), ref(b)).agg(F.count("*").alias("_n")))
-    headers = [r[0] for r in counted.select(ref(b)).distinct().limit(MAX_PIVOT_COLUMNS + 1).collect()]
-    if len(headers) > MAX_PIVOT_COLUMNS:
-        raise ValueError(f"'{b}' has more than {MAX_PIVOT_COLUMNS} distinct values")
+    headers = _headers(counted.select(ref(b)), b, max_columns)
     cells = [
-        F.coalesce(F.sum(F.when(ref(b) == h, F.col("_n"))), F.lit(0)).alias(str(h)) for h in sorted(headers)
+        F.coalesce(F.sum(F.when(ref(b) == h, F.col("_n"))), F.lit(0)).alias(str(h)) for h in headers
     ]
     return counted.groupBy(ref(a)).agg(*cells).orderBy(ref(a))
 

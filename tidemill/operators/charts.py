@@ -12,7 +12,6 @@ from tidemill.plans.hotkeys import small_side
 from tidemill.plans.quantiles import grouped_quantiles
 
 HISTOGRAM_BINS = 30
-SCATTER_ROWS = 10_000
 
 
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -151,6 +150,6 @@ def scatter_data(df: DataFrame, x: str, y: str, color: str | None = None, max_ro
     return points if total <= max_rows else points.sample(fraction=max_rows / total, seed=seed)
 
 
-def scatter_pairs(df: DataFrame) -> list[tuple[str, str]]:
-    """Column pairs offered for pairwise plots: those among the first three numeric columns."""
-    return list(combinations(numeric_columns(df)[:3], 2))
+def scatter_pairs(df: DataFrame, columns: int | None = None) -> list[tuple[str, str]]:
+    """Column pairs offered for pairwise plots: those among all, or the first, numeric columns."""
+    return list(combinations(numeric_columns(df)[:columns], 2))

@@ -197,15 +197,17 @@ def duplicate_rows(df: DataFrame, limit: int = 20) -> DataFrame:
 # -- text and types -----------------------------------------------------------------------
 
 
-def split_column(df: DataFrame, column: str, delimiter: str = ",", names: list[str] | None = None) -> DataFrame:
-    """Split text into as many columns as the longest row needs."""
+def split_column(
+    df: DataFrame, column: str, delimiter: str = ",", names: list[str] | None = None, max_columns: int | None = MAX_NEW_COLUMNS
+) -> DataFrame:
+    """Split text into as many columns as the longest row needs; an error beyond ``max_columns`` unless None."""
     require_operand(df, column)
     pattern = re.escape(delimiter) if len(delimiter) == 1 else delimiter
     parts = F.split(ref(column).cast("string"), pattern)
     width = df.agg(F.max(F.size(parts)).alias("n")).first()["n"]
     width = max(width or 0, 0)
-    if width > MAX_NEW_COLUMNS:
-        raise ValueError(f"splitting '{column}' would add {width} columns (limit {MAX_NEW_COLUMNS})")
+    if max_columns is not None and width > max_columns:
+        raise ValueError(f"splitting '{column}' would add {width} columns (limit {max_columns})")
     if not names or len(names) < width:
         names = [f"{column}_part{i + 1}" for i in range(width)]
     return df.withColumns({names[i]: strip(F.get(parts, F.lit(i))) for i in range(width)})
@@ -408,17 +410,23 @@ def bin_numeric(df: DataFrame, column: str, n_bins: int = 5, labels: list[str] |
     return df.withColumn(name, F.when(x.isNotNull(), label))
 
 
-def distinct_levels(df: DataFrame, column: str, limit: int = 20) -> DataFrame:
-    """The first non-null distinct values in value order."""
-    return df.where(ref(column).isNotNull()).select(ref(column)).distinct().orderBy(ref(column)).limit(limit)
+def distinct_levels(df: DataFrame, column: str, limit: int | None = 20) -> DataFrame:
+    """The first non-null distinct values in value order; None for all."""
+    levels = df.where(ref(column).isNotNull()).select(ref(column)).distinct().orderBy(ref(column))
+    return levels if limit is None else levels.limit(limit)
+
 
+def one_hot_encode(
+    df: DataFrame, column: str, drop_original: bool = False, max_columns: int | None = MAX_NEW_COLUMNS
+) -> DataFrame:
+    """A 0/1 column ``{column}_{value}`` per distinct value, in value order.
 
-def one_hot_encode(df: DataFrame, column: str, drop_original: bool = False) -> DataFrame:
-    """A 0/1 column ``{column}_{value}`` per distinct value, in value order."""
+    More than ``max_columns`` values are an error; None lifts the limit.
+    """
     require_operand(df, column)
-    levels = [r[0] for r in distinct_levels(df, column, MAX_NEW_COLUMNS + 1).collect()]
-    if len(levels) > MAX_NEW_COLUMNS:
-        raise ValueError(f"'{column}' has more than {MAX_NEW_COLUMNS} distinct values")
+    levels = [r[0] for r in distinct_levels(df, column, None if max_columns is None else max_columns + 1).collect()]
+    if max_columns is not None and len(levels) > max_columns:
+        raise ValueError(f"'{column}' has more than {max_columns} distinct values")
     encoded = df.withColumns({f"{column}_{v}": F.when(ref(column) == v, 1).otherwise(0) for v in levels})
     return drop_columns(encoded, [column]) if drop_original else encoded
 

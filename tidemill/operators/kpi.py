@@ -9,13 +9,12 @@ from tidemill.functions.types import INTEGER_TYPES, is_numeric, numeric_columns,
 from tidemill.plans.quantiles import column_quantiles
 from tidemill.plans.roworder import with_row_index
 
-SCANNED_COLUMNS = 6
-SHOWN_CARDS = 4
+def detect_kpi_columns(df: DataFrame, scanned: int | None = None, shown: int | None = None) -> DataFrame:
+    """Key figures: ratios as percent, complete non-negative integers as totals, else means.
 
-
-def detect_kpi_columns(df: DataFrame) -> DataFrame:
-    """Up to four key figures: ratios as percent, complete non-negative integers as totals, else means."""
-    columns = numeric_columns(df)[:SCANNED_COLUMNS]
+    All numeric columns are looked at and shown; ``scanned`` and ``shown`` keep the first ones.
+    """
+    columns = numeric_columns(df)[:scanned]
     cells = []
     for i, c in enumerate(columns):
         x = ref(c)
@@ -40,7 +39,8 @@ def detect_kpi_columns(df: DataFrame) -> DataFrame:
     if not cells:
         return df.sparkSession.createDataFrame([], "column string, value double, label string, format string")
     found = df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
-    return found.where("n > 0").orderBy("position").limit(SHOWN_CARDS).drop("position", "n")
+    cards = found.where("n > 0").orderBy("position")
+    return (cards if shown is None else cards.limit(shown)).drop("position", "n")
 
 
 def kpi_card(df: DataFrame, column: str, agg: str = "mean", order_by=None) -> DataFrame:

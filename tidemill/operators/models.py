@@ -75,19 +75,23 @@ def run_linear_regression(df: DataFrame, target: str, features: list[str]) -> di
     }
 
 
-def run_logistic_regression(df: DataFrame, target: str, features: list[str]) -> dict[str, DataFrame]:
+def run_logistic_regression(
+    df: DataFrame, target: str, features: list[str], max_classes: int | None = 1_000
+) -> dict[str, DataFrame]:
     """L2-regularised logistic regression (unit inverse strength, free intercept).
 
     Text targets are numbered in sorted order; numeric targets in value order.  With more than
-    two classes the coefficients of the first class are reported.
+    two classes the coefficients of the first class are reported.  The model holds a vector per
+    class: more than ``max_classes`` give an error row, None lifts the limit.
     """
     rows = _complete(df, [*features, target])
     p = len(features)
     label = F.col(f"c{p}")
-    levels = rows.groupBy(label.alias("v")).count().orderBy("v").limit(1_001).collect()
-    n = sum(r["count"] for r in levels)
-    if len(levels) > 1_000:
+    found = rows.groupBy(label.alias("v")).count().orderBy("v")
+    levels = (found if max_classes is None else found.limit(max_classes + 1)).collect()
+    if max_classes is not None and len(levels) > max_classes:
         return _error(df, "Target has too many classes.")
+    n = sum(r["count"] for r in levels)
     if n < 10:
         return _error(df, wording.LOGISTIC_SMALL)
     if len(levels) < 2:
@@ -188,12 +192,12 @@ def run_kmeans_clustering(df: DataFrame, features: list[str], n_clusters: int =
     }
 
 
-def describe_clusters(centers: DataFrame) -> str:
-    """One line per cluster with its three largest centre values."""
+def describe_clusters(centers: DataFrame, top_features: int | None = 3) -> str:
+    """One line per cluster with its largest centre values; None shows all."""
     lines = []
     for row in centers.orderBy("cluster").collect():
         values = row.asDict()
         cluster = values.pop("cluster")
-        top = sorted(values.items(), key=lambda kv: kv[1], reverse=True)[:3]
+        top = sorted(values.items(), key=lambda kv: kv[1], reverse=True)[:top_features]
         lines.append(wording.CLUSTER_LINE.format(cluster=cluster, features=", ".join(f"{c}={v}" for c, v in top)))
     return "\n".join(lines) if lines else wording.NO_CLUSTERS

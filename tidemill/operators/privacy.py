@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidemill.functions import wording
 from tidemill.functions.types import ref, require_operand, text_columns
 
 # The content patterns, tried in this order.
@@ -27,6 +28,13 @@ NAME_KEYWORDS = [
 CONTENT_SHARE = 0.3
 REDACTED = "***REDACTED***"
 
+# (found in the content, found in the name) -> reason
+_REASONS = {
+    (True, True): wording.PERSONAL_BOTH,
+    (True, False): wording.PERSONAL_CONTENT,
+    (False, True): wording.PERSONAL_NAME,
+}
+
 FINDING_SCHEMA = "column string, sensitivity_type string, confidence string, reason string, sample_match string"
 
 
@@ -85,13 +93,9 @@ def detect_sensitive_columns(df: DataFrame) -> DataFrame:
     for c in df.columns:
         keyword = _name_keyword(c)
         kind, sample = by_column.get(c, (None, None))
-        if kind and keyword:
-            reason = f"Column name contains '{keyword}' and content matches {kind} pattern"
-            rows.append((c, kind, "high", reason, sample))
-        elif kind:
-            rows.append((c, kind, "high", f"Content matches {kind} pattern", sample))
-        elif keyword:
-            rows.append((c, keyword, "medium", f"Column name contains '{keyword}'", None))
+        if kind or keyword:
+            reason = _REASONS[bool(kind), bool(keyword)].format(kind=kind, keyword=keyword)
+            rows.append((c, kind or keyword, "high" if kind else "medium", reason, sample))
     return df.sparkSession.createDataFrame(rows, FINDING_SCHEMA)
 
 

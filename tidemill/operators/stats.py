@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidemill.functions import wording
 from tidemill.functions.pvalues import chi2_p_value, f_p_value, t_p_value
@@ -51,9 +51,12 @@ def run_chi_square(df: DataFrame, col_a: str, col_b: str) -> DataFrame:
     """
     require_columns(df, [col_a, col_b])
     a, b = ref(col_a), ref(col_b)
-    pairs = df.where(a.isNotNull() & b.isNotNull()).groupBy(a.alias("a"), b.alias("b")).agg(F.count("*").cast("double").alias("o"))
-    margins = pairs.withColumn("r", F.sum("o").over(Window.partitionBy("a"))).withColumn(
-        "c", F.sum("o").over(Window.partitionBy("b"))
+    pairs = materialize(
+        df.where(a.isNotNull() & b.isNotNull()).groupBy(a.alias("a"), b.alias("b")).agg(F.count("*").cast("double").alias("o"))
+    )
+    # margins by aggregation and joins, which spread a level with very many pairs; a window would not
+    margins = pairs.join(pairs.groupBy("a").agg(F.sum("o").alias("r")), "a").join(
+        pairs.groupBy("b").agg(F.sum("o").alias("c")), "b"
     )
     o, r, c = F.col("o"), F.col("r"), F.col("c")
     sums = margins.agg(

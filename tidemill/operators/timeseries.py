@@ -22,6 +22,7 @@ FREQUENCIES = {
     "Q": ("QoQ", "Quarter", 4),
     "Y": ("YoY", "Year", 1),
 }
+# The names of the frequencies.
 FREQUENCY_CHOICES = {"Daily": "D", "Weekly": "W", "Monthly": "MS", "Quarterly": "QS", "Yearly": "YS"}
 
 _STEPS = {
@@ -156,16 +157,19 @@ def trend_points(df: DataFrame, date_col: str, value_col: str, window_keys: int
     return moved.select(ref(date_col), F.round("_mean", 2).alias("average"), F.round(change, 4).alias("change"))
 
 
-def detect_trends(df: DataFrame, date_col: str | None = None, value_col: str | None = None) -> DataFrame:
-    """First against last average; without columns, the first year/date column by three measures.
+def detect_trends(
+    df: DataFrame, date_col: str | None = None, value_col: str | None = None, measures_shown: int | None = None
+) -> DataFrame:
+    """First against last average; without columns, the first year/date column by every measure.
 
-    All measures share one pass: the means per key, then one row of ends.
+    All measures share one pass: the means per key, then one row of ends.  ``measures_shown``
+    restricts the automatic choice to the first numeric columns.
     """
     if date_col and value_col and date_col in df.columns and value_col in df.columns:
         key, measures = date_col, [value_col]
     else:
         times = [c for c in df.columns if "year" in c.lower() or "date" in c.lower()]
-        key, measures = (times[0], numeric_columns(df)[:3]) if times else (None, [])
+        key, measures = (times[0], numeric_columns(df)[:measures_shown]) if times else (None, [])
     if not measures:
         return df.sparkSession.createDataFrame(
             [],

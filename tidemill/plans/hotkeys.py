@@ -52,11 +52,12 @@ def uneven_join(
     if how in ("left", "right"):
         parts.append(left.where(left_hot).join(right.where(right_hot), match, "inner"))
     else:
-        # hot on the left: those rows are all kept and splittable by a left join; keys that
-        # are hot on the right only take the mirrored form
-        on_left = per_side[0]
-        on_right = [v for v in per_side[1] if v not in on_left]
-        for values, form in ((on_left, "left"), (on_right, "right")):
+        # hot on both sides: partners on both, so an inner join, where either side can be split;
+        # hot on the left only: all those rows are kept and splittable by a left join; the
+        # mirrored form for keys that are hot on the right only
+        on_both = [v for v in per_side[0] if v in per_side[1]]
+        on_left, on_right = ([v for v in values if v not in on_both] for values in per_side)
+        for values, form in ((on_both, "inner"), (on_left, "left"), (on_right, "right")):
             if values:
                 parts.append(
                     left.where(_is_hot(F.col(lk), values)).join(

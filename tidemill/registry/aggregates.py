@@ -191,13 +191,13 @@ def _categories(t, spark):
 @query(
     "column_overview",
     _union(
-        ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"],
+        ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
         """SELECT '{c}' AS "column", count(*) AS rows, count({c}) AS non_null, count(*) - count({c}) AS nulls,
            count(DISTINCT {c}) AS "distinct" FROM orders""",
     ),
 )
 def _overview(t, spark):
-    return aggregate.column_overview(t("orders").drop("o_orderdate")).drop("type")
+    return aggregate.column_overview(t("orders")).drop("type")
 
 
 # -- charts -------------------------------------------------------------------------------
@@ -297,7 +297,22 @@ def _scatter(t, spark):
 )
 def _kpis(t, spark):
     holed = F.when(F.col("l_returnflag") != "N", F.col("l_linenumber")).alias("holed")
-    return kpi.detect_kpi_columns(t("lineitem").select("l_linenumber", "l_quantity", holed, "l_discount", "l_tax"))
+    return kpi.detect_kpi_columns(t("lineitem").select("l_linenumber", "l_quantity", holed, "l_discount", "l_tax"), shown=4)
+
+
+@query(
+    "kpi_all_columns",
+    """SELECT 'l_orderkey' AS "column", sum(l_orderkey)::DOUBLE AS value, 'Total l_orderkey' AS label, 'integer' AS format FROM lineitem
+       UNION ALL SELECT 'l_partkey', sum(l_partkey)::DOUBLE, 'Total l_partkey', 'integer' FROM lineitem
+       UNION ALL SELECT 'l_suppkey', sum(l_suppkey)::DOUBLE, 'Total l_suppkey', 'integer' FROM lineitem
+       UNION ALL SELECT 'l_linenumber', sum(l_linenumber)::DOUBLE, 'Total l_linenumber', 'integer' FROM lineitem
+       UNION ALL SELECT 'l_quantity', round(avg(l_quantity), 2), 'Avg l_quantity', 'decimal' FROM lineitem
+       UNION ALL SELECT 'l_extendedprice', round(avg(l_extendedprice), 2), 'Avg l_extendedprice', 'decimal' FROM lineitem
+       UNION ALL SELECT 'l_discount', round(avg(l_discount) * 100, 1), 'Avg l_discount (%)', 'percent' FROM lineitem
+       UNION ALL SELECT 'l_tax', round(avg(l_tax) * 100, 1), 'Avg l_tax (%)', 'percent' FROM lineitem""",
+)
+def _all_kpis(t, spark):
+    return kpi.detect_kpi_columns(t("lineitem"))
 
 
 for _agg, _sql in {"mean": "avg", "sum": "sum", "count": "count", "max": "max", "min": "min"}.items():

@@ -48,7 +48,8 @@ STATEMENTS = {
     ),
     "recursive_cte": (
         """WITH RECURSIVE steps(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM steps WHERE n < 7)
-           SELECT n, COUNT(l_orderkey) AS line_count FROM steps LEFT JOIN lineitem ON l_linenumber = n GROUP BY n""",
+           SELECT n, COALESCE(c, 0) AS line_count FROM steps
+           LEFT JOIN (SELECT l_linenumber, COUNT(l_orderkey) AS c FROM lineitem GROUP BY l_linenumber) k ON l_linenumber = n""",
         None,
     ),
     "union_all": ("SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier", None),
