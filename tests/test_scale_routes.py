@@ -84,10 +84,29 @@ def test_trend_routes_agree(uneven):
 
 def test_hot_keys_are_counted_exactly(uneven):
     pdf, df = uneven
-    assert hot_keys(df, "k", 5_000) == ["hot"]
+    assert [r["k"] for r in hot_keys(df, "k", 5_000).collect()] == ["hot"]
     assert (pdf["k"] == "hot").sum() >= 5_000
 
 
+@pytest.mark.parametrize("how", ["left", "right", "outer"])
+def test_any_number_of_heavy_keys(spark, how):
+    left = spark.range(2400).select((F.col("id") % 600).alias("k"), F.col("id").alias("a"))
+    right = spark.range(2100).select((F.col("id") % 700 + 100).alias("k"), F.col("id").alias("b"))
+    plain = join_datasets(left, right, "k", "k", how, hot_rows=10**9)
+    routed = join_datasets(left, right, "k", "k", how, hot_rows=3)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, routed.collect()))
+
+
+def test_kmeans_does_not_depend_on_partitions(uneven):
+    from tidemill.operators.models import run_kmeans_clustering
+
+    _, df = uneven
+    first = run_kmeans_clustering(df, ["x", "y"], 3, id_cols=["i"])
+    again = run_kmeans_clustering(df.repartition(3), ["x", "y"], 3)
+    assert first["centers"].collect() == again["centers"].collect()
+    assert first["labels"].columns == ["i", "x", "y", "cluster"] and first["labels"].count() == 30_000
+
+
 def test_approximate_quantiles_stay_close_in_rank(uneven):
     pdf, df = uneven
     found = column_quantiles(df, {"y": [0.25, 0.5]}, approx=True)["y"]

@@ -119,5 +119,6 @@ def run_time_series_forecast(
             out[k] = group[k].iloc[0]
         return out[[f.name for f in schema]]
 
-    grouping = [ref(k) for k in keys] or [F.lit(0)]
-    return series.groupBy(*grouping).applyInPandas(forecast, schema)
+    if not keys:
+        return series.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(forecast, schema)
+    return series.groupBy(*[ref(k) for k in keys]).applyInPandas(forecast, schema)

@@ -1,22 +1,18 @@
-"""Regression, classification and clustering on Spark ML."""
+"""Regression, classification and clustering."""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 import numpy as np
-from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tidemill.functions import wording
 from tidemill.functions.types import is_numeric, ref, require_columns
+from tidemill.plans.kmeans import kmeans
 
 RESTARTS = 10
-PARALLEL_STARTS = 5
 
 
 def _complete(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -141,10 +137,19 @@ def _predicted(model, features: int):
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("double")
 
 
-def run_kmeans_clustering(df: DataFrame, features: list[str], n_clusters: int = 3, seed: int = 42) -> dict[str, DataFrame]:
-    """K-means on z-scores, best of ten starts: ``labels`` per complete row, ``centers``, ``summary``."""
-    rows = _complete(df, features).select(*[F.col(f"c{i}").cast("double").alias(f"c{i}") for i in range(len(features))])
+def run_kmeans_clustering(
+    df: DataFrame, features: list[str], n_clusters: int = 3, seed: int = 42, id_cols: list[str] = ()
+) -> dict[str, DataFrame]:
+    """K-means on z-scores, best of ten starts: ``labels`` per complete row, ``centers``, ``summary``.
+
+    ``labels`` carries ``id_cols``, so that it can be joined back.  Clusters are numbered by
+    their centres, and starts are drawn by row hashes, so results do not depend on partitions.
+    """
+    ids = [c for c in id_cols if c not in features]
+    require_columns(df, [*features, *ids])
     k = len(features)
+    named = [ref(c).cast("double").alias(f"c{i}") for i, c in enumerate(features)]
+    rows = df.select(*[ref(c).alias(f"i{i}") for i, c in enumerate(ids)], *named).dropna("any", subset=[f"c{i}" for i in range(k)])
     stats = rows.agg(
         F.count("*").alias("n"),
         *[F.avg(f"c{i}").alias(f"m{i}") for i in range(k)],
@@ -155,37 +160,25 @@ def run_kmeans_clustering(df: DataFrame, features: list[str], n_clusters: int =
         return _error(df, wording.KMEANS_SMALL.format(k=n_clusters))
     means = [stats[f"m{i}"] for i in range(k)]
     scales = [stats[f"s{i}"] or 1.0 for i in range(k)]
-    scaled = rows.withColumns({f"z{i}": (F.col(f"c{i}") - means[i]) / scales[i] for i in range(k)})
-    vectors = VectorAssembler(inputCols=[f"z{i}" for i in range(k)], outputCol="features").transform(scaled)
-    vectors = vectors.drop(*[f"z{i}" for i in range(k)]).persist(StorageLevel.MEMORY_AND_DISK)
-
-    # stop when the centres together move less than 1e-4 (squared) of the unit variance
-    tolerance = (1e-4 / n_clusters) ** 0.5
-
-    def restart(i: int):
-        return KMeans(k=n_clusters, seed=seed + i, maxIter=300, tol=tolerance).fit(vectors)
-
+    z = [(F.col(f"c{i}") - means[i]) / scales[i] for i in range(k)]
+    scaled = rows.select(F.xxhash64(*[f"c{i}" for i in range(k)]).alias("hash"), *[z[i].alias(f"z{i}") for i in range(k)])
+    scaled = scaled.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        vectors.count()  # fill the cache once, before the starts share it
-        # independent starts keep the cluster busy while each one waits for its own iterations
-        with ThreadPoolExecutor(PARALLEL_STARTS) as pool:
-            fitted = list(pool.map(inheritable_thread_target(df.sparkSession)(restart), range(RESTARTS)))
+        best, inertia = kmeans(scaled, k, n_clusters, RESTARTS, seed)
     finally:
-        vectors.unpersist()
-    best = min(fitted, key=lambda model: model.summary.trainingCost)
-    inertia = best.summary.trainingCost
-    centers = [
-        (i, *[round(float(z) * s + m, 4) for z, s, m in zip(center, scales, means)])
-        for i, center in enumerate(best.clusterCenters())
-    ]
+        scaled.unpersist()
+    centers = [(i, *[round(float(v) * s + m, 4) for v, s, m in zip(center, scales, means)]) for i, center in enumerate(best)]
+    distances = F.array(*[sum(((z[i] - float(center[i])) * (z[i] - float(center[i])) for i in range(k)), F.lit(0.0)) for center in best])
+    cluster = F.array_position(distances, F.array_min(distances)) - 1
     spark = df.sparkSession
-    named = ", ".join(["cluster int"] + [f"f{i} double" for i in range(len(centers[0]) - 1)])
-    labels = best.transform(vectors).select(
-        *[F.col(f"c{i}").alias(c) for i, c in enumerate(features)], F.col("prediction").alias("cluster")
+    fields = ", ".join(["cluster int"] + [f"f{i} double" for i in range(k)])
+    labels = rows.select(
+        *[F.col(f"i{i}").alias(c) for i, c in enumerate(ids)], *[F.col(f"c{i}").alias(c) for i, c in enumerate(features)],
+        cluster.cast("int").alias("cluster"),
     )
     return {
         "labels": labels,
-        "centers": spark.createDataFrame(centers, named).toDF("cluster", *features),
+        "centers": spark.createDataFrame(centers, fields).toDF("cluster", *features),
         "summary": spark.createDataFrame(
             [(round(inertia, 4), n_clusters, n)], "inertia double, n_clusters int, n_observations long"
         ),

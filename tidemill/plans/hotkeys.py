@@ -8,69 +8,65 @@ join (both sides splittable), and only the other keys need the outer form.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemill.plans.session import materialize
 
 HOT_ROWS = 5_000_000
-HOT_KEYS = 200
+#: A materialised side of at most so many rows is broadcast.
+SMALL_ROWS = 200_000
 
 
-def hot_keys(df: DataFrame, key: str, at_least: int = HOT_ROWS) -> list:
-    """The heaviest key values holding ``at_least`` rows (NULL included), counted exactly.
-
-    Keys beyond the first HOT_KEYS stay in the ordinary join; the list only routes rows.
-    """
-    counted = df.groupBy(F.col(key).alias("k")).count().where(F.col("count") >= at_least)
-    return [r["k"] for r in counted.orderBy(F.desc("count"), "k").limit(HOT_KEYS).collect()]
+def hot_keys(df: DataFrame, key: str, at_least: int = HOT_ROWS) -> DataFrame:
+    """All key values (``k``, NULL included) that hold ``at_least`` rows, counted exactly."""
+    return df.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n")).where(F.col("n") >= at_least).select("k")
 
 
-def _is_hot(column, values):
-    plain = [v for v in values if v is not None]
-    test = F.coalesce(column.isin(plain), F.lit(False)) if plain else F.lit(False)
-    return test | column.isNull() if None in values else test
+def _comparable(left: DataFrame, right: DataFrame, lk: str, rk: str) -> bool:
+    a, b = left.schema[lk].dataType, right.schema[rk].dataType
+    return a == b or isinstance(a, T.NumericType) and isinstance(b, T.NumericType)
 
 
 def uneven_join(
     left: DataFrame, right: DataFrame, lk: str, rk: str, how: str, at_least: int = HOT_ROWS
 ) -> DataFrame:
-    """Null-safe equi-join of two frames with disjoint column names."""
+    """Null-safe equi-join of two frames with disjoint column names.
+
+    However many keys are heavy, all are routed: their table, at most rows / ``at_least`` long,
+    tags the rows of both sides and is broadcast only if it is small.
+    """
     match = F.col(lk).eqNullSafe(F.col(rk))
-    if how == "inner":
-        return left.join(right, match, "inner")
-    optional = {"left": [(right, rk)], "right": [(left, lk)], "full": [(left, lk), (right, rk)]}
-    hot: list = []
-    per_side = []
-    for side, key in optional[how]:
-        values = hot_keys(side, key, at_least)
-        per_side.append(values)
-        hot += [v for v in values if v not in hot]
-    if not hot:
+    if how == "inner" or not _comparable(left, right, lk, rk):
         return left.join(right, match, how)
-    left_hot, right_hot = _is_hot(F.col(lk), hot), _is_hot(F.col(rk), hot)
-    parts = [left.where(~left_hot).join(right.where(~right_hot), match, how)]
-    if how in ("left", "right"):
-        parts.append(left.where(left_hot).join(right.where(right_hot), match, "inner"))
-    else:
-        # hot on both sides: partners on both, so an inner join, where either side can be split;
-        # hot on the left only: all those rows are kept and splittable by a left join; the
-        # mirrored form for keys that are hot on the right only
-        on_both = [v for v in per_side[0] if v in per_side[1]]
-        on_left, on_right = ([v for v in values if v not in on_both] for values in per_side)
-        for values, form in ((on_both, "inner"), (on_left, "left"), (on_right, "right")):
-            if values:
-                parts.append(
-                    left.where(_is_hot(F.col(lk), values)).join(
-                        right.where(_is_hot(F.col(rk), values)), match, form
-                    )
-                )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    none = F.lit(False)
+    sides = []
+    if how in ("right", "full"):
+        sides.append(hot_keys(left, lk, at_least).withColumns({"on_left": F.lit(True), "on_right": none}))
+    if how in ("left", "full"):
+        sides.append(hot_keys(right, rk, at_least).withColumns({"on_left": none, "on_right": F.lit(True)}))
+    heavy = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
+    # partners on both sides, or on the optional side of a one-sided join: an inner join, where either
+    # side can be split; heavy on one side of a full join only: all those rows are kept by an outer
+    # join to that side, which can split them
+    form = F.when(F.lit(how != "full") | (F.bool_or("on_left") & F.bool_or("on_right")), "inner").when(F.bool_or("on_left"), "left")
+    table = materialize(heavy.groupBy(F.col("k").alias("_hot")).agg(form.otherwise("right").alias("_form")))
+    forms = {r["_form"]: r["count"] for r in table.groupBy("_form").count().collect()}
+    if not forms:
+        return left.join(right, match, how)
+    if sum(forms.values()) <= SMALL_ROWS:
+        table = F.broadcast(table)
+
+    def routed(side: DataFrame, key: str, wanted: str | None) -> DataFrame:
+        tagged = side.join(table, F.col(key).eqNullSafe(F.col("_hot")), "left")
+        return tagged.where(F.col("_form").isNull() if wanted is None else F.col("_form") == wanted).select(*side.columns)
+
+    out = routed(left, lk, None).join(routed(right, rk, None), match, how)
+    for name in sorted(forms):
+        out = out.unionByName(routed(left, lk, name).join(routed(right, rk, name), match, name))
     return out
 
 
-def small_side(df: DataFrame, rows: int = 200_000) -> DataFrame:
+def small_side(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """Materialise a join side and broadcast it only when its counted rows allow it."""
     kept = materialize(df)
     return F.broadcast(kept) if kept.count() <= rows else kept

@@ -124,10 +124,82 @@ def _kmeans(t, spark):
 
 @query("kmeans_labels")
 def _kmeans_labels(t, spark):
-    return models.run_kmeans_clustering(t("part"), ["p_size", "p_retailprice"], 4)["labels"]
+    return models.run_kmeans_clustering(t("part"), ["p_size", "p_retailprice"], 4, id_cols=["p_partkey"])["labels"]
 
 
 @query("kmeans_embeddings")
 def _kmeans_embeddings(t, spark):
     df = t("embeddings").select("vec_id", *[F.col("embedding")[i].alias(f"e{i}") for i in range(64)])
     return models.run_kmeans_clustering(df, [f"e{i}" for i in range(64)], 3)["summary"]
+
+
+_APART = """WITH g AS (SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS cluster,
+         CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1000 ELSE 2000 END + l_quantity AS a,
+         CASE l_returnflag WHEN 'A' THEN 500 WHEN 'N' THEN 2500 ELSE 900 END + l_linenumber AS b FROM lineitem)
+"""
+
+
+def _apart(t):
+    """Lines in three far-apart groups, which are the only sensible clusters."""
+    flag = F.col("l_returnflag")
+    return t("lineitem").select(
+        "l_orderkey", "l_linenumber",
+        (F.when(flag == "A", 0).when(flag == "N", 1000).otherwise(2000) + F.col("l_quantity")).cast("double").alias("a"),
+        (F.when(flag == "A", 500).when(flag == "N", 2500).otherwise(900) + F.col("l_linenumber")).cast("double").alias("b"),
+    )
+
+
+@query("kmeans_known_centers", _APART + 'SELECT cluster, round(avg(a), 4) AS a, round(avg(b), 4) AS b FROM g GROUP BY cluster')
+def _kmeans_known(t, spark):
+    return models.run_kmeans_clustering(_apart(t), ["a", "b"], 3)["centers"]
+
+
+@query("kmeans_known_labels", _APART + "SELECT l_orderkey, l_linenumber, cluster FROM g")
+def _kmeans_known_labels(t, spark):
+    labels = models.run_kmeans_clustering(_apart(t), ["a", "b"], 3, id_cols=["l_orderkey", "l_linenumber"])["labels"]
+    return labels.select("l_orderkey", "l_linenumber", "cluster")
+
+
+@query(
+    "cluster_lines",
+    _APART
+    + """, m AS (SELECT cluster, round(avg(a), 4) AS a, round(avg(b), 4) AS b FROM g GROUP BY cluster)
+       SELECT cluster, a > b AS a_first FROM m""",
+)
+def _cluster_lines(t, spark):
+    centers = models.run_kmeans_clustering(_apart(t), ["a", "b"], 3)["centers"]
+    lines = [(line,) for line in models.describe_clusters(centers).splitlines()]
+    told = spark.createDataFrame(lines, "line string")
+    return told.select(
+        F.regexp_extract("line", r"(\d+)", 1).cast("int").alias("cluster"),
+        (F.instr("line", "a=") < F.instr("line", "b=")).alias("a_first"),
+    )
+
+
+# with 8 degrees of freedom the tail of chi-square is a finite sum
+@query(
+    "chi2_p_value",
+    _CELLS.format(a="o_orderpriority", b="o_orderstatus", t="orders")
+    + """, s AS (SELECT sum((x - e) * (x - e) / e) / 2 AS h, any_value(dof) AS dof FROM e, d)
+       SELECT round(exp(-h) * (1 + h + h * h / 2 + h * h * h / 6), 6) AS p_value, dof FROM s""",
+)
+def _chi2_p(t, spark):
+    return stats.run_chi_square(t("orders"), "o_orderpriority", "o_orderstatus").select("p_value", "dof")
+
+
+# at the optimum of a fit with a free intercept the mean probability is the mean label
+@query(
+    "logistic_calibrated",
+    "SELECT count(*) AS n, round(avg(CASE WHEN o_totalprice > 150000 THEN 1.0 ELSE 0.0 END), 2) AS label_mean, "
+    "round(avg(CASE WHEN o_totalprice > 150000 THEN 1.0 ELSE 0.0 END), 2) AS fitted_mean FROM orders",
+)
+def _calibrated(t, spark):
+    df = t("orders").select(
+        (F.col("o_totalprice") > 150000).cast("int").alias("y"), (F.month("o_orderdate") / 12).alias("m"),
+        F.substring("o_orderpriority", 1, 1).cast("int").alias("p"),
+    )
+    weights = {r["term"]: r["coefficient"] for r in models.run_logistic_regression(df, "y", ["m", "p"])["coefficients"].collect()}
+    margin = weights["intercept"] + F.col("m") * weights["m"] + F.col("p") * weights["p"]
+    return df.agg(
+        F.count("*").alias("n"), F.round(F.avg("y"), 2).alias("label_mean"), F.round(F.avg(1 / (1 + F.exp(-margin))), 2).alias("fitted_mean")
+    )

@@ -160,3 +160,19 @@ def _forecast_daily(t, spark):
     daily = t("events").select("event_type", F.date_trunc("day", "ts").alias("day"), "value")
     out = run_time_series_forecast(daily, "day", "value", 7, partition_by="event_type")
     return out.withColumns({"value": F.round("value", 3), "aic": F.round("aic", 2)})
+
+
+# an exact trend with an exact season goes on as it was
+@query(
+    "forecast_known_series",
+    """WITH e AS (SELECT min(date_trunc('month', o_orderdate)) AS lo, max(date_trunc('month', o_orderdate)) AS hi FROM orders),
+       m AS (SELECT unnest(range(lo::TIMESTAMP, (hi + INTERVAL 13 MONTH)::TIMESTAMP, INTERVAL 1 MONTH)) AS d, hi FROM e)
+       SELECT d::TIMESTAMP AS date, round((year(d) * 12 + month(d) - 23900) * 2.5 + (month(d) * 7) % 12, 3)::DOUBLE AS value,
+              CASE WHEN d <= hi THEN 'historical' ELSE 'forecast' END AS type FROM m""",
+)
+def _forecast_known(t, spark):
+    month = F.date_trunc("month", "o_orderdate")
+    value = (F.year("month") * 12 + F.month("month") - 23900) * 2.5 + F.month("month") * 7 % 12
+    known = t("orders").select(month.alias("month")).distinct().withColumn("v", value.cast("double"))
+    out = run_time_series_forecast(known, "month", "v", 12)
+    return out.select("date", (F.round("value", 3) + 0.0).alias("value"), "type")
