@@ -294,6 +294,45 @@ def test_licenses(docs, rows, empty):
     assert licenses.scan_licenses(empty).count() == 0 and licenses.scan_licenses(docs, {}).count() == 0
 
 
+def test_licenses_in_other_punctuation(spark):
+    """Short lines, other marks at word edges and comment prefixes, against containment by brute force."""
+    rng = random.Random(8)
+    strip = lambda w: re.sub("^[^0-9a-z]+|[^0-9a-z]+$", "", w.lower())
+    known = licenses.TEMPLATES | licenses.SHORT_TEMPLATES
+    data, planted = [], []
+    for name, notice in known.items():
+        bare = notice.rstrip(".:")
+        half = len(bare.split()) // 2
+        wrapped = "\n# ".join([" ".join(bare.split()[:half]), " ".join(bare.split()[half:])])
+        forms = [notice, bare, bare + ",", f"({bare})", f"\u201c{bare}\u201d", bare.upper() + "!", f"# {wrapped}\n", f"// {bare} */", f"{bare} \u2014"]
+        for form in forms:
+            planted.append((len(data), name))
+            data.append((len(data), f"{_text(rng, rng.randrange(12))} {form} {_text(rng, rng.randrange(12))}"))
+    data += [(1000, "all rights are reserved"), (1001, "rights reserved."), (1002, "All rights reserved"), (1003, "# -- ."), (1004, "all - rights, reserved")]
+    found = {(r["doc_id"], r["license_id"]): r for r in licenses.scan_licenses(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert set(planted) <= set(found)
+    sets = {}
+    for name, notice in known.items():
+        words = [strip(w) for w in notice.split()]
+        sets[name] = {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))}
+    expected = set()
+    for doc, text in data:
+        words = [strip(w) for w in WORD.findall(text) if strip(w)]
+        for name, wanted in sets.items():
+            n = len(next(iter(wanted)))
+            held = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+            if 100 * len(held & wanted) >= licenses.PERCENT * len(wanted):
+                expected.add((doc, name))
+    assert set(found) == expected
+    row = found[1002, "all-rights-reserved-line"]
+    assert row["first_word"] == 0 and row["containment"] == 1 and (1004, "all-rights-reserved-line") in found
+    for doc, text in data[:-5]:
+        words = [strip(w) for w in WORD.findall(text)]
+        for name in known:
+            if (doc, name) in found and found[doc, name]["containment"] == 1:
+                assert words[found[doc, name]["first_word"]] == strip(known[name].split()[0])
+
+
 def test_chat(spark):
     rng = random.Random(7)
     data = [(1, 0, "system", "Be brief."), (2, None, "user", None), (2, 0, None, "<|x <\\| \\ <|im_end|>"), (None, 1, "assistant", "a"), (None, 1, "assistant", "a")]

@@ -5,7 +5,11 @@ length, so every notice lies whole in some window.  Bands of one minimum retriev
 window; their number is chosen so that a window holding enough of a template shares a band with it
 with the wanted probability.  A retrieved template counts when the window holds enough of its word
 shingles, compared exactly.  A window without any template shingle cannot share a band, so its
-minima are never computed.
+minima are never computed.  A template shorter than the shingle is one shingle of its own length,
+looked up exactly.
+
+Words are compared without punctuation at their edges, and words of punctuation alone (comment
+prefixes, rules) do not count, in texts and templates alike.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemill.llm.common import prepare, text_slices
@@ -42,6 +47,8 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "all-rights-reserved": "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means",
 }
+#: Notices shorter than the shingle.
+SHORT_TEMPLATES = {"all-rights-reserved-line": "All rights reserved."}
 
 
 def window_length(words: int, shortest: int = SHORTEST) -> int:
@@ -59,32 +66,59 @@ def bands_needed(shingles: int, window: int, percent: int = PERCENT, size: int =
     return 1 if similarity >= 1 else ceil(log(miss) / log(1 - similarity))
 
 
+def _words(column: pa.Array) -> Words:
+    """Words without punctuation at their edges; marks beyond ASCII count as punctuation too."""
+    return Words(pc.replace_substring_regex(column, r"[^\x00-\x7F\p{L}\p{M}\p{N}]", "."), trim=True)
+
+
 class Templates:
-    """Shingle sets and minima of the templates, ordered by window length."""
+    """Shingle sets and minima of the templates by name; those shorter than the shingle apart."""
 
     def __init__(self, texts: dict[str, str], percent: int = PERCENT, size: int = SHINGLE, miss: float = MISS):
         names = sorted(texts)
-        words = Words(pa.array([texts[n] for n in names], pa.string()))
+        words = _words(pa.array([texts[n] for n in names], pa.string()))
         count = np.diff(words.first)
-        if (count < size).any():
-            raise ValueError(f"a template needs at least {size} words")
+        if (count == 0).any():
+            raise ValueError("a template needs a word")
         hashes, bounds = distinct_per_document(*shingle_hashes(words, size))
-        self.names, self.percent, self.size = names, percent, size
-        self.sets = [hashes[a:b] for a, b in zip(bounds, bounds[1:])]
-        self.windows = [window_length(int(c)) for c in count]
+        sets = [hashes[a:b] for a, b in zip(bounds, bounds[1:])]
+        #: Per length below the shingle: the one hash of each template and its name.
+        self.short: dict[int, dict[int, list[str]]] = {}
+        for name, c, s in zip(names, count, sets):
+            if c < size:
+                self.short.setdefault(int(c), {}).setdefault(int(s[0]), []).append(name)
+        long = np.flatnonzero(count >= size)
+        self.names, self.percent, self.size = [names[k] for k in long], percent, size
+        self.sets = [sets[k] for k in long]
+        self.windows = [window_length(int(count[k])) for k in long]
         self.bands = max((bands_needed(len(s), w, percent, size, miss) for s, w in zip(self.sets, self.windows)), default=1)
-        self.minima = minhash(hashes, bounds, self.bands, seed=3)
-        self.every = np.unique(hashes)
+        self.every = np.concatenate([np.empty(0, np.uint64), *self.sets])
+        self.minima = minhash(self.every, np.append(0, np.cumsum([len(s) for s in self.sets], dtype=np.int64)), self.bands, seed=3)
+        self.every = np.unique(self.every)
+
+
+def _hits(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Places of the hashes that are among the sorted ``known``."""
+    if not len(known):
+        return np.empty(0, np.int64)
+    return np.flatnonzero(known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes)
 
 
 def _scan(batches: Iterator[pa.RecordBatch], templates: Templates) -> Iterator[pa.RecordBatch]:
     size = templates.size
     for batch in batches:
         for piece in text_slices(batch, "text"):
-            hashes, bounds = shingle_hashes(Words(piece.column("text")), size)
-            at = np.searchsorted(templates.every, hashes)
-            hit = np.flatnonzero(templates.every[np.minimum(at, len(templates.every) - 1)] == hashes) if len(templates.every) else []
-            found: dict[tuple[int, int], tuple[int, int]] = {}
+            words = _words(piece.column("text"))
+            found: dict[tuple[int, str], tuple[float, int]] = {}
+            for length, names in templates.short.items():
+                hashes, bounds = shingle_hashes(words, length)
+                hit = _hits(hashes, np.array(sorted(names), np.uint64))
+                doc = np.searchsorted(bounds, hit, side="right") - 1
+                for d, p, h in zip(doc.tolist(), (hit - bounds[doc]).tolist(), hashes[hit].tolist()):
+                    for name in names[h]:
+                        found.setdefault((d, name), (1.0, p))
+            hashes, bounds = shingle_hashes(words, size)
+            hit = _hits(hashes, templates.every)
             if len(hit):
                 doc = np.searchsorted(bounds, hit, side="right") - 1
                 place = hit - bounds[doc]
@@ -104,14 +138,15 @@ def _scan(batches: Iterator[pa.RecordBatch], templates: Templates) -> Iterator[p
                                 shared = len(np.intersect1d(inside, templates.sets[k], assume_unique=True))
                                 if 100 * shared >= templates.percent * len(templates.sets[k]):
                                     first = int(place[(doc == d) & (place >= w * step) & np.isin(hashes[hit], templates.sets[k])].min())
-                                    old = found.get((int(d), k), (0, first))
-                                    found[int(d), k] = (max(old[0], shared), min(old[1], first))
+                                    at = int(d), templates.names[k]
+                                    old = found.get(at, (0.0, first))
+                                    found[at] = (max(old[0], shared / len(templates.sets[k])), min(old[1], first))
             keys = sorted(found)
             yield pa.RecordBatch.from_arrays(
                 [piece.column("key").take(pa.array([d for d, _ in keys], pa.int64())),
-                 pa.array([templates.names[k] for _, k in keys], pa.string()),
-                 pa.array([found[x][0] / len(templates.sets[x[1]]) for x in keys], pa.float64()),
-                 pa.array([found[x][1] for x in keys], pa.int64())],
+                 pa.array([n for _, n in keys], pa.string()),
+                 pa.array([found[x][0] for x in keys], pa.float64()),
+                 pa.array([int(words.number[words.first[x[0]] + found[x][1]]) for x in keys], pa.int64())],
                 names=["key", "license_id", "containment", "first_word"],
             )
 
@@ -122,14 +157,14 @@ def scan_licenses(
 ) -> DataFrame:
     """One row per document and licence found: doc_id, license_id, containment, first_word.
 
-    Words are runs without ASCII white space, A-Z in lower case; shingles are runs of five words.
-    ``containment`` is the largest share of a template's shingles in one window, ``first_word`` the
-    number of the first word of its shingles there.  Null, empty and short texts hold nothing;
+    Words are runs without ASCII white space, A-Z in lower case, without punctuation at their edges;
+    shingles are runs of five words, or the whole of a shorter template.  ``containment`` is the largest share of a template's shingles in one window, ``first_word`` the
+    number of the first word of its shingles there, among all words of the text.  Null, empty and short texts hold nothing;
     repeated rows are reported each; an empty table or no templates gives an empty result; other
     columns are ignored.
     """
     prepare(docs.sparkSession)
-    known = Templates(TEMPLATES if templates is None else templates, percent, size, miss)
+    known = Templates(TEMPLATES | SHORT_TEMPLATES if templates is None else templates, percent, size, miss)
     keyed = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     schema = T.StructType([
         T.StructField("key", keyed.schema["key"].dataType), T.StructField("license_id", T.StringType()),

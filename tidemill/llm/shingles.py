@@ -54,12 +54,19 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Letters and digits of ASCII, and all bytes of other characters.
+_SIGN = np.ones(256, bool)
+_SIGN[:128] = [chr(b).isalnum() for b in range(128)]
 
 
 class Words:
-    """The words of a batch: hashes in order, and per document the range of its words."""
+    """The words of a batch: hashes in order, and per document the range of its words.
 
-    def __init__(self, column: pa.Array):
+    With ``trim`` words lose ASCII punctuation at both edges, and words of nothing else are left
+    out; ``number`` is the place of each word among all words of its document.
+    """
+
+    def __init__(self, column: pa.Array, trim: bool = False):
         raw, offsets = byte_buffer(column)
         folded = _FOLD[raw]
         inside = ~_SPACE[raw]
@@ -75,8 +82,16 @@ class Words:
         space = np.flatnonzero(~inside)
         next_space = np.append(space, len(raw))[np.searchsorted(space, starts)]
         ends = np.minimum(next_space, offsets[np.searchsorted(offsets, starts, side="right")]) if len(starts) else next_space
-        self.hashes = _word_hashes(folded, starts, ends)
         self.first = np.searchsorted(starts, offsets)  # n + 1 bounds into the words
+        if trim:
+            number = np.arange(len(starts)) - np.repeat(self.first[:-1], np.diff(self.first))
+            sign = np.append(np.flatnonzero(_SIGN[raw]), len(raw))
+            begin = sign[np.searchsorted(sign, starts)]
+            kept = begin < ends
+            self.first = np.append(0, np.cumsum(kept))[self.first]
+            starts, ends, self.number = begin[kept], ends[kept], number[kept]
+            ends = sign[np.searchsorted(sign, ends) - 1] + 1
+        self.hashes = _word_hashes(folded, starts, ends)
         self.starts, self.ends, self.offsets, self.raw = starts, ends, offsets, raw
 
 
