@@ -283,6 +283,26 @@ def test_fingerprints(spark, empty):
     assert fingerprints.fingerprint_documents(empty, bits=16).count() == 0
 
 
+def test_fingerprints_with_a_third_of_copies(spark):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(1500)}"
+    hot = " ".join(f"hot{k}" for k in range(90))
+    plain = [" ".join(word() for _ in range(90)) for _ in range(80)]
+    data = [(k, hot if k % 3 == 0 else plain[k - k // 3 - 1]) for k in range(120)]
+    table = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(table, bits=20).collect()}
+    edited = [found[k]["near_edited"] for k in range(3, 120, 3)]
+    assert min(edited) > 0.2 and abs(np.mean(edited) - 0.5) < 0.15
+    assert max(found[k]["near_next"] for k in range(3, 120, 3)) < 0.1
+    once = fingerprints.lexicon(table.select("text").distinct(), bits=20)
+    frequency = Counter(w for t in {hot, *plain} for w in set(t.split()))
+    inside = sum(2 <= n <= 8.1 for n in frequency.values())
+    assert abs(int(np.unpackbits(once).sum()) - inside) <= 3  # terms in one counter
+    twice = table.unionAll(table.where("doc_id % 5 = 0"))
+    for most in (fingerprints.MOST_REPEATED, 1):
+        assert (fingerprints.lexicon(twice.select("text"), bits=20, most_repeated=most) == once).all()
+
+
 def test_licenses(docs, rows, empty):
     found = {(r["doc_id"], r["license_id"]): r for r in licenses.scan_licenses(docs).collect()}
     assert set(found) == {(12, "Apache-2.0")} and found[12, "Apache-2.0"]["containment"] == 1 and found[12, "Apache-2.0"]["first_word"] == 9

@@ -4,10 +4,11 @@ The lexicon holds the terms whose document frequency lies in a chosen band.  A d
 lexicon terms are sorted and every randomised subset of the lexicon gives a hash of those that
 belong to it.  Subsets come in sizes that halve; a document uses three sizes around the one that
 keeps one of its terms on average, so a change of some terms leaves the hashes of many subsets alone
-and texts whose numbers of terms differ up to fourfold can be compared.
+and texts whose numbers of terms differ up to fourfold can be compared.  The same is done with all
+terms of the text, for texts that share few terms with others; like is compared with like.
 
-Document frequencies are counted over all documents in 2**BITS hashed counters, so the lexicon is a
-bitmap of fixed size whatever the vocabulary; terms that share a counter share its frequency.
+Document frequencies are counted over all distinct texts in 2**BITS hashed counters, so the lexicon
+is a bitmap of fixed size whatever the vocabulary; terms that share a counter share its frequency.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,8 @@ BITS = 24
 LEAST_DOCUMENTS, LARGEST_SHARE = 2, 0.1
 #: Lexicon subsets per size, and sizes of a document.
 SUBSETS, STEPS = 32, 3
-#: A text with fewer lexicon terms uses all its terms.
-LEAST_TERMS = 8
+#: Digests of repeated texts are broadcast up to this many, 12 bytes each; beyond, copies are removed by a shuffle.
+MOST_REPEATED = 1 << 23
 #: Counters per row of the frequency table.
 SEGMENT = 1 << 14
 _SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -40,39 +42,84 @@ def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return distinct_per_document(words.hashes, words.first)
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << bits, np.uint32)
+def _frequencies(batches: Iterator[pa.RecordBatch], bits: int, sent) -> Iterator[pa.RecordBatch]:
+    """Rows per counter; each of n copies of a text counts 1 / n, kept apart in ``shares``."""
+    repeated, copies = sent.value
+    total, shares = np.zeros(1 << bits, np.uint32), None
     for batch in batches:
         for piece in text_slices(batch, "text"):
-            hashes, _ = _terms(piece.column("text"))
-            counter, n = np.unique((hashes >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+            hashes, bounds = _terms(piece.column("text"))
+            counter = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+            if len(repeated):
+                digest = piece.column("digest").to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(repeated, digest), len(repeated) - 1)
+                times = np.repeat(np.where(repeated[at] == digest, copies[at], 1), np.diff(bounds))
+                many = times > 1
+                if many.any():
+                    shares = np.zeros(1 << bits) if shares is None else shares
+                    place, back = np.unique(counter[many], return_inverse=True)
+                    shares[place] += np.bincount(back, 1 / times[many])
+                counter = counter[~many]
+            counter, n = np.unique(counter, return_counts=True)
             total[counter] += n.astype(np.uint32)
-    for k, part in enumerate(total.reshape(-1, min(SEGMENT, len(total)))):
-        if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["segment", "counts"])
+    width = min(SEGMENT, len(total))
+    for k, part in enumerate(total.reshape(-1, width)):
+        share = None if shares is None else shares[k * width : (k + 1) * width]
+        share = None if share is None or not share.any() else zlib.compress(share.tobytes(), 1)
+        if part.any() or share is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k]), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary()), pa.array([share], pa.binary())],
+                names=["segment", "counts", "shares"],
+            )
 
 
 def _bands(batches: Iterator[pa.RecordBatch], least: int, most: float) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for segment, counts in zip(batch.column("segment").to_pylist(), batch.column("counts").to_pylist()):
-            part = np.frombuffer(zlib.decompress(counts), np.uint32).astype(np.int64)
+        for segment, counts, shares in zip(*(batch.column(c).to_pylist() for c in ("segment", "counts", "shares"))):
+            part = np.frombuffer(zlib.decompress(counts), np.uint32).astype(np.float64)
+            if shares is not None:
+                part = part + np.frombuffer(zlib.decompress(shares), np.float64)
             if segment in sums:
                 sums[segment] += part
             else:
                 sums[segment] = part
     for segment, total in sums.items():
+        total = np.rint(total)
         inside = np.packbits((total >= least) & (total <= most))
         yield pa.RecordBatch.from_arrays([pa.array([segment]), pa.array([inside.tobytes()], pa.binary())], names=["segment", "inside"])
 
 
-def lexicon(docs: DataFrame, least: int = LEAST_DOCUMENTS, share: float = LARGEST_SHARE, bits: int = BITS) -> np.ndarray:
-    """The band as packed bits, one per counter, from whole texts (column ``text``)."""
-    prepare(docs.sparkSession)
-    most = max(share * docs.count(), least)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digest, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("digest", "n"))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([digest.astype(np.int64).tobytes()], pa.binary()), pa.array([n.astype(np.uint32).tobytes()], pa.binary())], names=["digests", "ns"]
+        )
+
+
+def lexicon(
+    docs: DataFrame, least: int = LEAST_DOCUMENTS, share: float = LARGEST_SHARE, bits: int = BITS, most_repeated: int = MOST_REPEATED
+) -> np.ndarray:
+    """The band as packed bits, one per counter, from whole texts (column ``text``), each distinct text once."""
+    spark = docs.sparkSession
+    prepare(spark)
+    docs = docs.select("text", F.xxhash64("text").alias("digest"))
+    counted = stored(docs.groupBy("digest").agg(F.count("*").alias("n")), "text-digests")
+    sizes = counted.agg(F.count("*").alias("distinct"), F.count_if(F.col("n") > 1).alias("repeated")).first()
+    digests, ns = np.empty(0, np.int64), np.empty(0, np.uint32)
+    if sizes["repeated"] > most_repeated:
+        docs = docs.dropDuplicates(["digest"])
+    elif sizes["repeated"]:
+        packed = counted.where("n > 1").mapInArrow(_packed, "digests binary, ns binary").collect()
+        digests = np.concatenate([np.frombuffer(r["digests"], np.int64) for r in packed])
+        ns = np.concatenate([np.frombuffer(r["ns"], np.uint32) for r in packed])
+    order = np.argsort(digests)
+    sent = spark.sparkContext.broadcast((digests[order], ns[order]))
+    most = max(share * sizes["distinct"], least)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = (
-        docs.select("text").mapInArrow(lambda it: _frequencies(it, bits), "segment long, counts binary")
+        docs.mapInArrow(lambda it: _frequencies(it, bits, sent), "segment long, counts binary, shares binary")
         .repartition(n, "segment").mapInArrow(lambda it: _bands(it, least, most), "segment long, inside binary").collect()
     )
     width = min(SEGMENT, 1 << bits) // 8
@@ -82,31 +129,45 @@ def lexicon(docs: DataFrame, least: int = LEAST_DOCUMENTS, share: float = LARGES
     return out
 
 
-def fingerprints(texts: list, inside: np.ndarray, bits: int, subsets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per text its size class and its (STEPS, subsets) hashes; 0 stands for a subset without terms."""
+class Prints(NamedTuple):
+    """Per text, of its lexicon terms and of all its terms: size class and (STEPS, subsets) hashes.
+
+    A hash of 0 stands for a subset without terms.  ``cover`` is the share of lexicon terms.
+    """
+
+    size: np.ndarray
+    table: np.ndarray
+    cover: np.ndarray
+
+    def then(self, other: Prints) -> Prints:
+        """Without the first text, followed by the other's."""
+        return Prints(*(np.concatenate([a[1:], b]) for a, b in zip(self, other)))
+
+
+def fingerprints(texts: list, inside: np.ndarray, bits: int, subsets: int) -> Prints:
     hashes, bounds = _terms(pa.array(texts, pa.string()))
     owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    known = inside[(hashes >> np.uint64(64 - bits)).astype(np.int64)]
-    count = np.bincount(owner[known], minlength=len(texts))
-    use = known | (count[owner] < LEAST_TERMS)
-    hashes, owner = hashes[use], owner[use]
-    count = np.bincount(owner, minlength=len(texts))
+    known = np.flatnonzero(inside[(hashes >> np.uint64(64 - bits)).astype(np.int64)])
+    of_kind = [(owner[known], known), (owner, slice(None))]
+    count = np.stack([np.bincount(o, minlength=len(texts)) for o, _ in of_kind], axis=1)
     size = np.round(np.log2(np.maximum(count, 1))).astype(np.int64)
-    out = np.zeros((len(texts), STEPS, subsets), np.uint32)
-    kept = [(np.uint64(1) << (size[owner] + j).astype(np.uint64)) - np.uint64(1) for j in range(STEPS)]
+    out = np.zeros((len(texts), 2, STEPS, subsets), np.uint32)
+    kept = [[(np.uint64(1) << (size[o, i] + j).astype(np.uint64)) - np.uint64(1) for j in range(STEPS)] for i, (o, _) in enumerate(of_kind)]
     for k in range(subsets):
-        drawn = mix(hashes ^ _SEEDS[k])
-        for j in range(STEPS):
-            member = np.flatnonzero((drawn & kept[j]) == 0)
-            if len(member):
-                at = owner[member]
-                first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-                value = np.add.reduceat(mix(drawn[member] + np.uint64(k)), first)
-                out[at[first], j, k] = (value >> np.uint64(33)).astype(np.uint32) + np.uint32(1)
-    return size, out
-
-
-def likeness(size_a, a, size_b, b) -> np.ndarray:
+        whole = mix(hashes ^ _SEEDS[k])
+        for i, (o, use) in enumerate(of_kind):
+            drawn = whole[use]
+            for j in range(STEPS):
+                member = np.flatnonzero((drawn & kept[i][j]) == 0)
+                if len(member):
+                    at = o[member]
+                    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                    value = np.add.reduceat(mix(drawn[member] + np.uint64(k)), first)
+                    out[at[first], i, j, k] = (value >> np.uint64(33)).astype(np.uint32) + np.uint32(1)
+    return Prints(size, out, count[:, 0] / np.maximum(count[:, 1], 1))
+
+
+def _equal_share(size_a, a, size_b, b) -> np.ndarray:
     """Share of equal hashes among the subsets, of all sizes both use, that hold terms of either text."""
     equal, either = np.zeros(len(a)), np.zeros(len(a))
     for i in range(STEPS):
@@ -115,30 +176,35 @@ def likeness(size_a, a, size_b, b) -> np.ndarray:
             same_size = size_a + i == size_b + j
             either += np.where(same_size, ((x != 0) | (y != 0)).sum(axis=1), 0)
             equal += np.where(same_size, ((x == y) & (x != 0)).sum(axis=1), 0)
-    best = equal / np.maximum(either, 1)
-    return np.where((size_a == size_b) & (a == b).all(axis=(1, 2)), 1.0, best)
+    return equal / np.maximum(either, 1)
+
+
+def likeness(a: Prints, b: Prints) -> np.ndarray:
+    """Likeness by lexicon terms and by all terms, the first weighted with the smaller cover of the two texts."""
+    known, every = (_equal_share(a.size[:, i], a.table[:, i], b.size[:, i], b.table[:, i]) for i in range(2))
+    weight = np.minimum(a.cover, b.cover)
+    same = (a.size == b.size).all(axis=1) & (a.table == b.table).all(axis=(1, 2, 3))
+    return np.where(same, 1.0, weight * known + (1 - weight) * every)
 
 
-def _strings(size: np.ndarray, table: np.ndarray) -> pa.Array:
-    return pa.array([f"{s:02x}" + x.astype(">u4").tobytes().hex() for s, x in zip(size, table)], pa.string())
+def _strings(prints: Prints) -> pa.Array:
+    """In hexadecimal the size classes and hashes of the lexicon terms, then those of all terms."""
+    return pa.array(["".join(f"{s:02x}" + x.astype(">u4").tobytes().hex() for s, x in zip(*of)) for of in zip(prints.size, prints.table)], pa.string())
 
 
 def _pairs(texts: list, following: list, inside, bits: int, subsets: int) -> list[pa.Array]:
     """The result columns of texts next to the texts that follow them."""
     texts, following = [t or "" for t in texts], [t or "" for t in following]
     edited = [t[: len(t) - len(t) // 3] + f[: len(t) // 3] for t, f in zip(texts, following)]
-    size, own = fingerprints(texts, inside, bits, subsets)
-    edited_size, changed = fingerprints(edited, inside, bits, subsets)
+    own = fingerprints(texts, inside, bits, subsets)
+    changed = fingerprints(edited, inside, bits, subsets)
     shifted = all(f is t for f, t in zip(following[:-1], texts[1:]))
-    tail = following[-1:] if shifted else following
-    tail_size, tail_table = fingerprints(tail, inside, bits, subsets)
-    next_size = np.concatenate([size[1:], tail_size]) if shifted else tail_size
-    next_table = np.concatenate([own[1:], tail_table]) if shifted else tail_table
+    after = fingerprints(following[-1:] if shifted else following, inside, bits, subsets)
     return [
         pa.array([len(t) for t in texts], pa.int64()),
         pa.array([hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edited], pa.string()),
-        _strings(size, own), _strings(edited_size, changed),
-        pa.array(likeness(size, own, edited_size, changed)), pa.array(likeness(size, own, next_size, next_table)),
+        _strings(own), _strings(changed),
+        pa.array(likeness(own, changed)), pa.array(likeness(own, own.then(after) if shifted else after)),
     ]
 
 
