@@ -230,6 +230,26 @@ def test_toxicity(spark, docs, empty):
     assert {r["score"] for r in unknown} == {0.5} and len(unknown) == docs.count()
 
 
+def test_toxicity_threshold_does_not_depend_on_the_sample(spark):
+    """One table, sampled to about 1:9 and to about 1:1."""
+    rng = random.Random(12)
+    data, labels = [], []
+    for k in range(6000):
+        words = _text(rng, 12).split()
+        if rng.random() < (0.7 if k % 10 == 0 else 0.05):
+            words[5] = "scumbag"
+        data.append((k, " ".join(words)))
+        labels.append((k, int(k % 10 == 0)))
+    table = spark.createDataFrame(data, "doc_id long, text string")
+    labelled = spark.createDataFrame(labels, "doc_id long, toxic int")
+    probe = spark.createDataFrame([("no", "alpha1 beta2"), ("yes", "alpha1 scumbag beta2")], "key string, text string")
+    logits = []
+    for per_class in (8000, 600):
+        scores = {r["key"]: r["score"] for r in toxicity.fit_toxicity(table, labelled, per_class).score(probe).collect()}
+        logits.append([math.log(scores[k] / (1 - scores[k])) for k in ("no", "yes")])
+    assert np.abs(np.subtract(*logits)).max() < 1, logits
+
+
 def test_language(spark, docs, empty):
     rng = random.Random(4)
     spell = {"xx": ["kra", "tok", "zul"], "yy": ["mio", "lae", "nua"]}

@@ -2,7 +2,7 @@
 
 The presence of every hashed n-gram is scaled by its naive Bayes log-count ratio between toxic and
 clean training texts; n-grams whose ratio is within chance are left out; a ridge-penalised logistic
-regression on the scaled features gives the weights.
+regression on the scaled features, with both classes at equal weight, gives the weights.
 """
 
 from __future__ import annotations
@@ -90,15 +90,26 @@ def _sigmas(toxic: Column, clean: Column, all_toxic: int, all_clean: int) -> Col
     return F.sqrt(F.greatest(2 * total, F.lit(0.0)))
 
 
+def _class_weights(y: np.ndarray) -> np.ndarray:
+    """Weights of rows with which both classes weigh the same and all rows their number."""
+    sizes = np.array([(y == 0).sum(), (y == 1).sum()])
+    return (len(y) / (2 * np.maximum(sizes, 1)))[y.astype(np.int64)]
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> tuple[np.ndarray, float]:
-    """Newton steps on the penalised likelihood; the intercept is not penalised."""
+    """Newton steps on the penalised likelihood; the intercept is not penalised.
+
+    Rows are weighted by the inverse of their class's number, so how many of each class were
+    sampled does not move the scores.
+    """
+    weight = _class_weights(y)
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (weight * (y - p)) - penalty * w)
         w += step
         if np.abs(step).max() < 1e-4:
             break
