@@ -266,6 +266,16 @@ def test_language(spark, docs, empty):
     assert {r["lang_pred"] for r in language.identify(table.where("lang is null")).collect()} == {"und"}
 
 
+def test_language_sample_counts_distinct_texts(spark):
+    """A language with ten texts besides 3990 copies of another keeps all of them."""
+    rng = random.Random(13)
+    made = lambda kinds: " ".join("".join(rng.choice(kinds) for _ in range(3)) for _ in range(20))
+    few = [("xx", made(["kra", "tok", "zul"])) for _ in range(11)]
+    many = [("yy", made(["mio", "lae", "nua"])) for _ in range(100)]
+    model = language.LanguageModel.fit(spark.createDataFrame(few + few[:1] * 3989 + many, "lang string, text string").repartition(4))
+    assert model.names == ["xx", "yy"] and Counter(model.owner.tolist()) == {0: language.CENTROIDS, 1: language.CENTROIDS}
+
+
 def test_sharding(docs, rows, empty):
     for limits in ({}, {"large": 2, "bundles": 8}):
         found = sharding.shard(docs, shards=4, **limits).collect()

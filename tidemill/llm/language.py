@@ -20,7 +20,7 @@ from tidemill.llm.grams import characters, gram_ids
 SIZES = (1, 2, 3)
 #: n-grams are hashed to 2**BITS ids.
 BITS = 12
-#: Training texts per language (expected number; all of them if there are fewer).
+#: Distinct training texts per language (expected number; all of them if there are fewer).
 SAMPLE_PER_LANGUAGE = 400
 CENTROIDS = 4
 ROUNDS = 12
@@ -121,15 +121,17 @@ class LanguageModel:
             count: int = CENTROIDS, rounds: int = ROUNDS, outliers: float = OUTLIERS, margin: float = MARGIN) -> LanguageModel | None:
         """Train on rows (lang, text) with non-null languages; None without any.
 
-        Each language keeps the texts whose hash falls below per_language / its number of texts.
+        Each language keeps the texts whose hash falls below per_language / its number of distinct texts.
         Only vectors of this sample, a fixed number of bytes each, reach the driver.
         """
         spark = rows.sparkSession
         prepare(spark)
         rows = rows.where(F.col("lang").isNotNull() & has_letter(F.col("text")))
         # one row per language, counted before it is broadcast: texts must not be dealt by language
-        known = if_small(rows.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n")), "language-sizes")
-        place = F.pmod(F.xxhash64("text", F.lit(13)), F.lit(1 << 30)) / float(1 << 30)
+        drawn = F.xxhash64("text", F.lit(13))
+        texts = rows.select(F.col("lang").alias("of"), drawn.alias("drawn")).distinct()
+        known = if_small(texts.groupBy("of").agg(F.count("*").alias("n")), "language-sizes")
+        place = F.pmod(drawn, F.lit(1 << 30)) / float(1 << 30)
         sample = stored(
             rows.join(known, F.col("lang") == F.col("of")).where(place < per_language / F.col("n")).select("lang", "text").distinct(), "languages"
         )
