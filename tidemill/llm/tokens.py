@@ -3,14 +3,17 @@
 The vocabulary's pre-tokeniser never joins characters across a single space between two other
 characters, so a text is cut there and each part, with its leading space, is encoded by itself.
 Most parts repeat, which makes this several times faster than encoding whole texts; the ids are the
-same (``tests/llm`` compares them with the ``tokenizers`` library).  Control strings inside a text
-are ordinary text.
+same (``tests/llm`` compares them with the ``tokenizers`` library).  The vocabulary's added tokens,
+such as ``<|endoftext|>``, are found first wherever their string stands and become one id; the text
+between them is encoded by itself, as that library does.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
+from collections.abc import Mapping
 
 import numpy as np
 
@@ -39,18 +42,37 @@ class _Parts(dict):
         return ids
 
 
+def added_tokens(vocabulary_path: str) -> dict[str, int]:
+    """The strings that a ``tokenizers`` vocabulary file maps to one id before anything else."""
+    with open(vocabulary_path, encoding="utf-8") as file:
+        listed = json.load(file)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in listed):
+        raise ValueError("added tokens that depend on their surroundings are not supported")
+    return {t["content"]: t["id"] for t in listed}
+
+
 class Encoder:
-    """``encode(text)`` gives little-endian unsigned 32-bit ids."""
+    """``encode(text)`` gives little-endian unsigned 32-bit ids; ``added`` strings are single ids."""
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, added: Mapping[str, int] | None = None):
         import tiktoken
 
+        self.added = {text: np.array([i], "<u4").tobytes() for text, i in (added or {}).items()}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.split = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")").split if self.added else None
+
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         plain = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.first, self.rest = _Parts(plain.encode_ordinary, ""), _Parts(plain.encode_ordinary, " ")
 
     def encode(self, text: str) -> bytes:
+        if any(token in text for token in self.added):
+            return b"".join(self.added.get(part) or self.plain(part) for part in self.split(text))
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
         if not text:
             return b""
         if len(self.first) + len(self.rest) > CACHE:
@@ -64,12 +86,12 @@ class Encoder:
             return self.first.ids(head) + b"".join(map(self.rest.ids, rest))
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+_ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(ranks_path: str, pattern: str) -> Encoder:
+def encoder(ranks_path: str, pattern: str, added: Mapping[str, int] | None = None) -> Encoder:
     """The worker's encoder, loaded once."""
-    key = (ranks_path, pattern)
+    key = (ranks_path, pattern, *sorted((added or {}).items()))
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(ranks_path, pattern)
+        _ENCODERS[key] = Encoder(ranks_path, pattern, added)
     return _ENCODERS[key]
