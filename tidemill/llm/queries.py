@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemill.llm.bestfit import best_fit_digest, best_fit_documents
 from tidemill.llm.chat import read_back, windows
 from tidemill.llm.exact_dedup import mark_copies
 from tidemill.llm.fingerprints import fingerprint_documents
@@ -167,3 +168,8 @@ def op9(t):
 @_query("op10_fingerprints")
 def op10(t):
     return fingerprint_documents(t("documents"))
+
+
+@_query("op12_best_fit")
+def op12(t):
+    return best_fit_digest(best_fit_documents(t("documents")))
