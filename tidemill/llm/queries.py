@@ -17,6 +17,7 @@ from tidemill.llm.near_dedup import near_components
 from tidemill.llm.packing import pack_documents, packing_digest
 from tidemill.llm.sharding import shard
 from tidemill.llm.toxicity import toxicity_scores
+from tidemill.llm.variants import document_variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +36,20 @@ def _query(name: str, sql: str | None = None):
     return register
 
 
+#: The 256 steps of a crc32 as CTE ``crc``, and the unsigned crc32 of a list of bytes in a row joined to it.
+_CRC_STEPS = """
+crc AS (
+  SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS steps
+  FROM range(0, 256) AS r(i))"""
+
+
+def _crc32(text: str) -> str:
+    digits = f"regexp_extract_all(hex(encode({text})), '..')"
+    value = "(strpos('0123456789ABCDEF', h[1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2]) - 1"
+    listed = f"list_transform({digits}, lambda h: ({value})::BIGINT)"
+    return f"xor(list_reduce({listed}, lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
 _COPIES = """
 WITH n AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g')) AS text_sha256,
@@ -173,3 +188,39 @@ def op10(t):
 @_query("op12_best_fit")
 def op12(t):
     return best_fit_digest(best_fit_documents(t("documents")))
+
+
+_VARIANTS = f"""
+WITH RECURSIVE {_CRC_STEPS},
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+low AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (SELECT run, n, {_crc32("concat(doc_id, ':', run)")} AS h FROM low, crc),
+cut AS (
+  SELECT CASE WHEN h % 199 = 0 THEN concat(substring(run, 1, h % length(run)), substring(run, h % length(run) + 2)) ELSE run END AS word, n
+  FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+shorter AS (
+  SELECT DISTINCT word, n, p, concat(substring(word, 1, p - 1), substring(word, p + 1)) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM shorter a JOIN shorter b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM shorter a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM shorter a JOIN words b ON a.rest = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, max(near_n) AS near_n, min(struct_pack(r := -near_n, w := near)).w AS near FROM pairs GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form, CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word),
+chain AS (
+  SELECT word, word AS node, 0 AS k FROM forms
+  UNION ALL SELECT c.word, f.form, k + 1 FROM chain c JOIN forms f ON c.node = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, form, arg_max(node, k) AS root, any_value(n) AS n, any_value(n_near) AS n_near, any_value(form_n) AS form_n
+FROM forms f JOIN chain c ON f.word = c.word GROUP BY f.word, form
+"""
+
+
+@_query("op13_spelling_variants", _VARIANTS)
+def op13(t):
+    return document_variants(t("documents"), damaged=199)
