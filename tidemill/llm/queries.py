@@ -17,6 +17,7 @@ from tidemill.llm.near_dedup import near_components
 from tidemill.llm.packing import pack_documents, packing_digest
 from tidemill.llm.sharding import shard
 from tidemill.llm.toxicity import toxicity_scores
+from tidemill.llm.trie import opening_trie
 from tidemill.llm.variants import document_variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,6 +186,41 @@ def op10(t):
     return fingerprint_documents(t("documents"))
 
 
+_TRIE = f"""
+WITH {_CRC_STEPS},
+t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS body,
+         md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS digest
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) - 1 AS place FROM t),
+ids AS (SELECT DISTINCT conv_id FROM o),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc32("conv_id::VARCHAR")} % 6 AS h FROM ids, crc),
+r AS (
+  SELECT c.conv_id, 0 AS own, place, digest, body FROM c JOIN o ON o.conv_id = c.base AND place < h
+  UNION ALL SELECT c.conv_id, 1, place, digest, body FROM c JOIN o ON o.conv_id = c.conv_id AND place >= h),
+k AS (
+  SELECT conv_id, row_number() OVER w AS depth, md5(string_agg(digest, '') OVER w) AS node, length(body) AS chars
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, place ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM ids),
+m AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS last, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS up FROM k),
+n AS (
+  SELECT depth, node, min(conv_id) AS conv_id, any_value(up) AS up, count(*) AS n_convs, any_value(chars) * (count(*) - 1) AS saved,
+         bool_and(last) AS leaf, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256
+  FROM m GROUP BY depth, node),
+s AS (
+  SELECT k.depth, k.node, count(*) FILTER (WHERE leaf) AS n_leaves, sum(saved)::BIGINT AS saved_tokens,
+         count(*) FILTER (WHERE n.depth = k.depth + 1) AS n_children
+  FROM n JOIN k ON k.conv_id = n.conv_id AND k.depth <= n.depth GROUP BY k.depth, k.node)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM n JOIN s ON n.depth = s.depth AND n.node = s.node LEFT JOIN n AS p ON p.depth = n.depth - 1 AND p.node = n.up
+"""
+
+
+@_query("op11_prefix_trie", _TRIE)
+def op11(t):
+    return opening_trie(t("conversations"))
+
+
 @_query("op12_best_fit")
 def op12(t):
     return best_fit_digest(best_fit_documents(t("documents")))
