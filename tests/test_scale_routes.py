@@ -189,3 +189,23 @@ def test_heavy_optional_side_is_split(spark, how):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_kmeans_finds_a_few_far_rows_among_many(spark, monkeypatch):
+    """Twenty rows far away among 200,000: seeds come from all rows, whatever the partitions."""
+    from pyspark.sql import functions as F
+    from tidemill.operators.models import run_kmeans_clustering
+    from tidemill.plans import kmeans
+
+    far = F.col("id") % 10_000 == 3
+    rows = spark.range(200_000).select(
+        (F.when(far, 500).otherwise(0) + F.col("id") % 97 / 97).alias("x"), (F.when(far, -400).otherwise(0) + F.col("id") % 89 / 89).alias("y")
+    )
+    found = run_kmeans_clustering(rows, ["x", "y"], 2)
+    assert sorted(r["count"] for r in found["labels"].groupBy("cluster").count().collect()) == [20, 199_980]
+    monkeypatch.setattr(kmeans, "DIRECT_ROWS", 0)
+    again = run_kmeans_clustering(rows.repartition(13), ["x", "y"], 2)
+    assert found["centers"].collect() == again["centers"].collect()
+    copies = spark.createDataFrame([(0.0,)] * 500 + [(1.0,)] * 3 + [(9.0,)], "x double")
+    assert [r["x"] for r in run_kmeans_clustering(copies, ["x"], 3)["centers"].collect()] == [0.0, 1.0, 9.0]
+    assert run_kmeans_clustering(copies, ["x"], 5)["centers"].count() == 5  # more clusters than distinct rows

@@ -143,7 +143,8 @@ def run_kmeans_clustering(
     """K-means on z-scores, best of ten starts: ``labels`` per complete row, ``centers``, ``summary``.
 
     ``labels`` carries ``id_cols``, so that it can be joined back.  Clusters are numbered by
-    their centres, and starts are drawn by row hashes, so results do not depend on partitions.
+    their centres, and starts are drawn from all rows by their hashes, so results do not depend
+    on partitions.  Equal rows are one row with a weight.
     """
     ids = [c for c in id_cols if c not in features]
     require_columns(df, [*features, *ids])
@@ -161,7 +162,8 @@ def run_kmeans_clustering(
     means = [stats[f"m{i}"] for i in range(k)]
     scales = [stats[f"s{i}"] or 1.0 for i in range(k)]
     z = [(F.col(f"c{i}") - means[i]) / scales[i] for i in range(k)]
-    scaled = rows.select(F.xxhash64(*[f"c{i}" for i in range(k)]).alias("hash"), *[z[i].alias(f"z{i}") for i in range(k)])
+    distinct = rows.groupBy(*[f"c{i}" for i in range(k)]).agg(F.count("*").alias("n"))
+    scaled = distinct.select(F.xxhash64(*[f"c{i}" for i in range(k)]).alias("hash"), "n", *[z[i].alias(f"z{i}") for i in range(k)])
     scaled = scaled.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         best, inertia = kmeans(scaled, k, n_clusters, RESTARTS, seed)

@@ -1,12 +1,16 @@
-"""Lloyd iterations for several starts at once: one aggregation over the data per iteration.
-
-Tasks add up their rows per start and cluster, so a shuffle carries starts x clusters rows per
-task and the driver receives starts x clusters rows, whatever the size of the data.
+"""K-means with several starts at once: one aggregation over the data per step.
+
+Starts are seeded from all rows.  Every round draws, for each start, a few rows with probability
+proportional to their squared distance from what the start has drawn before; the draw is a race
+(each row's key is the logarithm of a hash-based number over its weight, the largest keys win), so
+a round is one pass and needs no total first.  The candidates, weighted by the rows nearest to them,
+are reduced to k centres on the driver, and Lloyd's iterations follow.  Tasks add up their rows per
+start and cluster, so the driver receives starts x clusters rows whatever the size of the data.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,110 +18,199 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemill.plans.session import ship_package
 
-#: Distinct rows, those with the smallest hashes, from which every start draws its first centres.
-SEED_ROWS = 1024
+#: Rounds of drawing candidates, and candidates per round and wanted centre.
+ROUNDS, OVERSAMPLING = 4, 2
+#: Distances that a task holds at a time.
+BLOCK = 1 << 21
+#: Sums of tasks come to the driver as they are up to so many rows; beyond, they are added up by a shuffle first.
+DIRECT_ROWS = 100_000
 
 
-def _matrix(batch: pa.RecordBatch, width: int) -> np.ndarray:
-    return np.column_stack([batch.column(f"z{i}").to_numpy(zero_copy_only=False) for i in range(width)])
+def _points(batches: Iterator[pa.RecordBatch], width: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashes, weights and coordinates, in blocks whose distances to ``most`` centres fit BLOCK."""
+    for batch in batches:
+        hashes, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("hash", "n"))
+        x = np.column_stack([batch.column(f"z{i}").to_numpy(zero_copy_only=False) for i in range(width)])
+        step = max(1, BLOCK // max(1, most))
+        for at in range(0, len(x), step):
+            yield hashes[at : at + step], n[at : at + step], x[at : at + step]
 
 
-def _smallest(batches: Iterator[pa.RecordBatch], width: int, count: int) -> Iterator[pa.RecordBatch]:
-    """A task's rows with the smallest hashes, each hash once."""
-    hashes, rows = np.empty(0, np.int64), np.empty((0, width))
-    for batch in batches:
-        if batch.num_rows:
-            both = np.concatenate([hashes, batch.column("hash").to_numpy(zero_copy_only=False)])
-            hashes, first = np.unique(both, return_index=True)
-            rows = np.vstack([rows, _matrix(batch, width)])[first[:count]]
-            hashes = hashes[:count]
-    if len(hashes):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(hashes), *(pa.array(rows[:, i]) for i in range(width))], names=["hash", *(f"z{i}" for i in range(width))]
-        )
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distance = (x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1)
+    member = distance.argmin(axis=1)
+    return member, np.maximum(distance[np.arange(len(x)), member], 0)
 
 
-def _sums(batches: Iterator[pa.RecordBatch], width: int, sent) -> Iterator[pa.RecordBatch]:
-    """Rows, cost and coordinate sums of a task per start and nearest centre."""
-    centres = sent.value
-    starts, k, _ = centres.shape
-    n, cost, total = np.zeros((starts, k), np.int64), np.zeros((starts, k)), np.zeros((starts, k, width))
+def _uniform(hashes: np.ndarray, salt: int) -> np.ndarray:
+    """A number between 0 and 1 per hash, another one for every salt."""
+    x = hashes.view(np.uint64) ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2**53 + 2.0**-54
+
+
+def _rows(width: int, start: np.ndarray, key: np.ndarray, hashes: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(start), pa.array(key), pa.array(hashes), *(pa.array(x[:, i]) for i in range(width))],
+        names=["start", "key", "hash", *(f"z{i}" for i in range(width))],
+    )
+
+
+def _race(batches: Iterator[pa.RecordBatch], width: int, sent, count: int, salt: int) -> Iterator[pa.RecordBatch]:
+    """Of a task's rows the ``count`` with the largest keys, for every start."""
+    chosen = sent.value
+    best = [(np.empty(0), np.empty(0, np.int64), np.empty((0, width)))] * len(chosen)
+    for hashes, n, x in _points(batches, width, max(map(len, chosen))):
+        for s, centres in enumerate(chosen):
+            weight = n * (_nearest(x, centres)[1] if len(centres) else 1.0)
+            some = np.flatnonzero(weight > 1e-12)
+            key = np.log(_uniform(hashes[some], salt * len(chosen) + s)) / weight[some]
+            key, names, rows = (np.concatenate(both) for both in zip(best[s], (key, hashes[some], x[some])))
+            first = np.lexsort((names, -key))[:count]
+            best[s] = key[first], names[first], rows[first]
+    for s, (key, names, rows) in enumerate(best):
+        if len(key):
+            yield _rows(width, np.full(len(key), s), key, names, rows)
+
+
+def _winners(batches: Iterator[pa.RecordBatch], width: int, count: int) -> Iterator[pa.RecordBatch]:
+    """The largest keys of every start among the tasks' winners."""
+    best: dict[int, tuple] = {}
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        x = _matrix(batch, width)
-        squares = (x * x).sum(axis=1)
-        for s, c in enumerate(centres):
-            distance = squares[:, None] - 2 * x @ c.T + (c * c).sum(axis=1)
-            member = distance.argmin(axis=1)
-            nearest = np.maximum(distance[np.arange(len(x)), member], 0)
-            n[s] += np.bincount(member, minlength=k)
-            cost[s] += np.bincount(member, nearest, minlength=k)
-            total[s] += (member[:, None] == np.arange(k)).astype(float).T @ x
-    if n.any():
-        start, cluster = np.divmod(np.arange(starts * k), k)
-        flat = total.reshape(-1, width)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(start), pa.array(cluster), pa.array(n.ravel()), pa.array(cost.ravel()), *(pa.array(flat[:, i]) for i in range(width))],
-            names=["start", "cluster", "n", "cost", *(f"z{i}" for i in range(width))],
-        )
+        start, key, names = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("start", "key", "hash"))
+        x = np.column_stack([batch.column(f"z{i}").to_numpy(zero_copy_only=False) for i in range(width)])
+        for s in np.unique(start).tolist():
+            mine = start == s
+            parts = [(key[mine], names[mine], x[mine]), *([best[s]] if s in best else [])]
+            k, h, r = (np.concatenate(p) for p in zip(*parts))
+            first = np.lexsort((h, -k))[:count]
+            best[s] = k[first], h[first], r[first]
+    for s, (k, h, r) in best.items():
+        yield _rows(width, np.full(len(k), s), k, h, r)
 
 
-def _first_centres(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """Far-apart rows of the sample, each drawn by its squared distance from those before."""
-    chosen = [int(rng.integers(len(sample)))]
-    far = ((sample - sample[chosen[0]]) ** 2).sum(axis=1)
-    while len(chosen) < k:
-        total = far.sum()
-        pick = int(rng.choice(len(sample), p=far / total)) if total > 0 else int(rng.integers(len(sample)))
-        chosen.append(pick)
-        far = np.minimum(far, ((sample - sample[pick]) ** 2).sum(axis=1))
-    return sample[chosen]
+def _sums(batches: Iterator[pa.RecordBatch], width: int, sent) -> Iterator[pa.RecordBatch]:
+    """Rows, cost and coordinate sums of a task per start and nearest centre."""
+    starts = sent.value
+    sums = [[np.zeros(len(c), np.int64), np.zeros(len(c)), np.zeros((len(c), width))] for c in starts]
+    for _, weight, x in _points(batches, width, max(map(len, starts))):
+        for (n, cost, total), centres in zip(sums, starts):
+            member, distance = _nearest(x, centres)
+            n += np.bincount(member, weight, len(centres)).astype(np.int64)
+            cost += np.bincount(member, distance * weight, len(centres))
+            for i in range(width):
+                total[:, i] += np.bincount(member, x[:, i] * weight, len(centres))
+    for s, (n, cost, total) in enumerate(sums):
+        some = np.flatnonzero(n)
+        if len(some):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(some), s)), pa.array(some), pa.array(n[some]), pa.array(cost[some]), *(pa.array(total[some, i]) for i in range(width))],
+                names=["start", "cluster", "n", "cost", *(f"z{i}" for i in range(width))],
+            )
+
+
+def _reduced(candidates: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k centres of weighted candidates: far-apart ones first, then Lloyd's iterations among the candidates."""
+    order = np.lexsort(candidates.T)
+    candidates, weight = candidates[order], weight[order].astype(float)
+    chosen, far = [], np.ones(len(candidates))
+    for _ in range(k):
+        mass = weight * far
+        mass = mass if mass.sum() > 0 else np.ones(len(candidates))
+        chosen.append(int(rng.choice(len(candidates), p=mass / mass.sum())))
+        distance = ((candidates - candidates[chosen[-1]]) ** 2).sum(axis=1)
+        far = distance if len(chosen) == 1 else np.minimum(far, distance)
+    centres = candidates[chosen].copy()
+    for _ in range(100):
+        member, _ = _nearest(candidates, centres)
+        n = np.bincount(member, weight, k)
+        moved = centres.copy()
+        for i in range(candidates.shape[1]):
+            total = np.bincount(member, candidates[:, i] * weight, k)
+            moved[n > 0, i] = total[n > 0] / n[n > 0]
+        if np.allclose(moved, centres):
+            break
+        centres = moved
+    return centres
 
 
 def kmeans(
     rows: DataFrame, width: int, k: int, starts: int, seed: int, iterations: int = 300, tolerance: float = 1e-4
 ) -> tuple[np.ndarray, float]:
-    """Centres (in the order of their coordinates) and cost of the best start over rows (hash, z0, z1, ...).
+    """Centres (in the order of their coordinates) and cost of the best start over distinct rows (hash, n, z0, z1, ...).
 
-    The starts depend on the hashes of the rows alone, not on their order or partitions.  A start
-    rests when its centres together move at most ``tolerance`` (squared); a cluster that loses
-    all rows keeps its centre.
+    ``n`` counts a row's copies.  Draws depend on the hashes of the rows alone, not on their order or
+    partitions.  A start rests when its centres together move at most ``tolerance`` (squared), and
+    goes when its centres are those of another; a cluster that loses all rows keeps its centre.
     """
     spark = rows.sparkSession
     ship_package(spark)
     columns = [f"z{i}" for i in range(width)]
     doubles = ", ".join(f"{c} double" for c in columns)
-    found = (
-        rows.mapInArrow(lambda it: _smallest(it, width, SEED_ROWS), f"hash long, {doubles}")
-        .dropDuplicates(["hash"]).orderBy("hash").limit(SEED_ROWS).collect()
-    )
-    sample = np.array([[r[c] for c in columns] for r in found])
-    centres = np.stack([_first_centres(sample, k, np.random.default_rng([seed, s])) for s in range(starts)])
 
-    def advance(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sent = spark.sparkContext.broadcast(centres[which])
-        sums = (
-            rows.mapInArrow(lambda it: _sums(it, width, sent), f"start long, cluster long, n long, cost double, {doubles}")
-            .groupBy("start", "cluster").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), *[F.sum(c).alias(c) for c in columns])
-            .collect()
-        )
+    def passed(task: Callable, value: list[np.ndarray], schema: str, finish: Callable[[DataFrame], DataFrame]) -> list:
+        sent = spark.sparkContext.broadcast(value)
+        found = finish(rows.mapInArrow(lambda it: task(it, sent), schema)).collect()
         sent.unpersist()
+        return found
+
+    def drawn(chosen: list[np.ndarray], count: int, salt: int) -> list[np.ndarray]:
+        schema = f"start long, key double, hash long, {doubles}"
+        found = passed(
+            lambda it, sent: _race(it, width, sent, count, salt), chosen, schema,
+            lambda df: df.repartition(min(starts, 64), "start").mapInArrow(lambda it: _winners(it, width, count), schema),
+        )
+        # in the order of the race, so that nothing depends on partitions
+        found.sort(key=lambda r: (r["start"], -r["key"], r["hash"]))
+        listed = [[[r[c] for c in columns] for r in found if r["start"] == s] for s in range(starts)]
+        return [np.vstack([c, np.array(new).reshape(-1, width)]) for c, new in zip(chosen, listed)]
+
+    parts = rows.select(F.spark_partition_id().alias("part")).distinct().count()
+
+    def added(centres: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per start the rows, cost and coordinate sums of its centres."""
+        summed = [F.sum(c).alias(c) for c in ("n", "cost", *columns)]
+        direct = parts * sum(map(len, centres)) <= DIRECT_ROWS
+        found = passed(
+            lambda it, sent: _sums(it, width, sent), centres, f"start long, cluster long, n long, cost double, {doubles}",
+            lambda df: df if direct else df.groupBy("start", "cluster").agg(*summed),
+        )
+        sums = [(np.zeros(len(c), np.int64), np.zeros(len(c)), np.zeros((len(c), width))) for c in centres]
+        for start, cluster, n, cost, *total in found:
+            rows_of, costs, totals = sums[start]
+            rows_of[cluster] += n
+            costs[cluster] += cost
+            totals[cluster] += total
+        return sums
+
+    candidates = drawn([np.empty((0, width))] * starts, 1, seed)
+    for r in range(1, ROUNDS + 1):
+        candidates = drawn(candidates, OVERSAMPLING * k, seed + r)
+    members = [n for n, _, _ in added(candidates)]
+    centres = np.stack([_reduced(c, n, k, np.random.default_rng([seed, s])) for s, (c, n) in enumerate(zip(candidates, members))])
+
+    def advance(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         moved, cost = centres[which].copy(), np.zeros(len(which))
-        for r in sums:
-            cost[r["start"]] += r["cost"]
-            if r["n"]:
-                moved[r["start"], r["cluster"]] = [r[c] / r["n"] for c in columns]
+        for s, (n, costs, totals) in enumerate(added(list(centres[which]))):
+            cost[s] = costs.sum()
+            moved[s][n > 0] = totals[n > 0] / n[n > 0, None]
         return moved, cost
 
-    going = np.arange(starts)
+    def distinct(which: np.ndarray) -> np.ndarray:
+        sets = [centres[s][np.lexsort(centres[s].T[::-1])] for s in which]
+        return np.array([s for i, s in enumerate(which) if not any(np.allclose(sets[i], other, atol=1e-6) for other in sets[:i])], int)
+
+    going, resting = distinct(np.arange(starts)), []
     for _ in range(iterations):
         moved, _ = advance(going)
         shift = ((moved - centres[going]) ** 2).sum(axis=(1, 2))
         centres[going] = moved
-        going = going[shift > tolerance]
+        resting += going[shift <= tolerance].tolist()
+        going = distinct(going[shift > tolerance])
         if not len(going):
             break
-    _, cost = advance(np.arange(starts))
-    best = centres[cost.argmin()]
+    ended = distinct(np.array([*resting, *going], int))
+    _, cost = advance(ended)
+    best = centres[ended[cost.argmin()]]
     return best[np.lexsort(best.T[::-1])], float(cost.min())

@@ -160,6 +160,24 @@ def _kmeans_known_labels(t, spark):
     return labels.select("l_orderkey", "l_linenumber", "cluster")
 
 
+# a few rows far from all others are a cluster of their own
+@query(
+    "kmeans_far_cluster",
+    """WITH g AS (SELECT l_orderkey % 2500 = 7 AS far, CASE WHEN l_orderkey % 2500 = 7 THEN 90000 ELSE 0 END + l_quantity AS a,
+                      CASE WHEN l_orderkey % 2500 = 7 THEN -70000 ELSE 0 END + l_extendedprice / 1000 AS b FROM lineitem)
+       SELECT CASE WHEN far THEN 1 ELSE 0 END AS cluster, count(*) AS size, round(avg(a), 3) AS a, round(avg(b), 3) AS b FROM g GROUP BY far""",
+)
+def _kmeans_far(t, spark):
+    far = F.col("l_orderkey") % 2500 == 7
+    lines = t("lineitem").select(
+        (F.when(far, 90000).otherwise(0) + F.col("l_quantity")).cast("double").alias("a"),
+        (F.when(far, -70000).otherwise(0) + F.col("l_extendedprice") / 1000).alias("b"),
+    )
+    found = models.run_kmeans_clustering(lines, ["a", "b"], 2)
+    sizes = found["labels"].groupBy("cluster").agg(F.count("*").alias("size"))
+    return found["centers"].select("cluster", F.round("a", 3).alias("a"), F.round("b", 3).alias("b")).join(F.broadcast(sizes), "cluster")
+
+
 @query(
     "cluster_lines",
     _APART
