@@ -195,6 +195,63 @@ def test_forecast_per_series(spark):
     np.testing.assert_allclose(ahead["value"], np.r_[28:33, 78:83], atol=1e-3)
 
 
+def test_summaries_of_stretches_compose():
+    from tidemill.operators import forecast
+
+    y = np.random.default_rng(2).normal(size=150).cumsum()
+    settings = np.array([[0.3, 0.2, 0.6], [0.9, 0.1, 0.05]])
+    whole = forecast._summary(y, 0, 7, settings)
+    parts = [forecast._summary(y[a:b], a, 7, settings) for a, b in ((0, 70), (70, 71), (71, 150))]
+    joined = forecast._composed(forecast._composed(parts[0], parts[1]), parts[2])
+    for a, b in zip(whole, joined):
+        np.testing.assert_allclose(a, b, rtol=1e-9, atol=1e-9)
+    # the quadratic form is the sum of squared one-step errors from any start state
+    start = np.random.default_rng(3).normal(size=9)
+    level, trend, *season = start
+    total = 0.0
+    for t, value in enumerate(y):
+        e = value - level - trend - season[t % 7]
+        total += e * e
+        level, trend, season[t % 7] = level + trend + 0.3 * e, trend + 0.3 * 0.2 * e, season[t % 7] + 0.6 * 0.7 * e
+    x = np.r_[1, start]
+    assert x @ whole[1][0] @ x == pytest.approx(total)
+    np.testing.assert_allclose(whole[0][0] @ x, [1, level, trend, *season], atol=1e-9)
+
+
+@pytest.mark.parametrize("season", [0, 7])
+def test_long_series_are_fitted_in_chunks(spark, season):
+    rng = np.random.default_rng(1)
+    days = pd.date_range("2021-03-01", periods=100)
+    pdf = pd.concat([pd.DataFrame({"k": k, "t": days[:n], "x": base + rng.normal(size=n).cumsum() + 3 * np.sin(np.arange(n))}) for k, base, n in (("a", 0, 100), ("b", 5000, 61), ("c", 9, 12))])
+    df = spark.createDataFrame(pdf)
+    plain = run_time_series_forecast(df, "t", "x", 9, season, "k").orderBy("k", "date").toPandas()
+    for chunk, fan_in in ((7, 3),) if season else ((20, 32),):
+        found = run_time_series_forecast(df, "t", "x", 9, season, "k", chunk=chunk, fan_in=fan_in).orderBy("k", "date").toPandas()
+        assert found[["k", "date", "type", "model"]].equals(plain[["k", "date", "type", "model"]])
+        np.testing.assert_allclose(found["value"], plain["value"], rtol=1e-6)
+        np.testing.assert_allclose(found["aic"], plain["aic"], atol=0.011)
+
+
+@pytest.mark.parametrize("freq", ["D", "h", "W", "MS", "ME", "QS", "YS", "B"])
+def test_forecast_dates_go_on_with_the_grid(spark, freq):
+    moments = pd.date_range("2024-01-29" if freq != "ME" else "2023-11-30", periods=19, freq=freq)
+    pdf = pd.DataFrame({"t": moments[:12], "x": np.arange(12.0)})
+    out = run_time_series_forecast(spark.createDataFrame(pdf), "t", "x", 7).orderBy("date").toPandas()
+    assert out["date"].tolist() == moments.tolist()
+    assert out["value"].tolist() == pytest.approx(list(range(19)), abs=1e-3)
+
+
+def test_even_series_need_no_sequence_and_no_window(spark):
+    moments = spark.range(200_000).select(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60).alias("t"), (F.col("id") % 7).cast("double").alias("x"))
+    even = timeseries.regularise(moments, "t", "x").where("season = 0")
+    assert even.count() == 200_000 and even.where("is_filled").count() == 0
+    position = timeseries.even_series(moments, "t", "x")
+    assert position.agg(F.max("_i"), F.count_distinct("_i")).first()[:] == (199_999, 200_000)
+    plan = even._jdf.queryExecution().optimizedPlan().toString().partition("Union")[2].splitlines()
+    points = [line for line in plan if line.startswith(":")]  # the first side of the union
+    assert points and not any(word in line for line in points for word in ("Window", "sequence", "Generate"))
+
+
 def test_trends(spark):
     df = spark.createDataFrame([(2020, 10.0), (2021, 20.0), (2022, 20.0)], "year int, x double")
     row = timeseries.detect_trends(df, "year", "x").first()

@@ -241,10 +241,10 @@ def infer_spacing(points: DataFrame, keys: list[str]) -> DataFrame:
     offset = F.unix_micros("_t") - F.unix_micros("_lo")
     even = F.every((F.col("_step_us") > 0) & (offset % F.col("_step_us") == 0))
     even_months = F.every((F.col("_step_m") > 0) & ((month - F.col("_mlo")) % F.col("_step_m") == 0))
-    carried = ["_n", "_rows", "_lo", "_hi", "_starts", "_ends", "_weekdays", "_step_us", "_step_m"]
+    carried = ["_n", "_rows", "_lo", "_hi", "_mlo", "_starts", "_ends", "_weekdays", "_step_us", "_step_m"]
     checked = tagged.groupBy(*groups, *carried).agg(even.alias("_even"), even_months.alias("_even_m"))
     on_months = F.col("_even_m") & (F.col("_starts") | F.col("_ends"))
-    business = F.expr("size(filter(sequence(to_date(_lo), to_date(_hi), interval 1 day), d -> weekday(d) < 5))")
+    business = weekday_number(F.col("_hi")) - weekday_number(F.col("_lo")) + 1
     return checked.withColumn(
         "_kind",
         F.when(on_months & F.col("_starts"), "month_start")
@@ -269,11 +269,35 @@ def season_length(kind, step_us, step_m):
     )
 
 
-def regularise(df: DataFrame, date_col: str, value_col: str, partition_by=()) -> DataFrame:
-    """Evenly spaced series: equal moments averaged, gaps filled linearly.
+def weekday_number(moment):
+    """Weekdays before the day of ``moment``, counted from a Monday."""
+    days = F.unix_date(F.to_date(moment)) + 3
+    return F.floor(days / 7) * 5 + F.least(F.pmod(days, F.lit(7)), F.lit(5))
 
-    The spacing is inferred per series; a series without one is read at month starts.  Series
-    with fewer than six rows are left out.  Adds ``season`` for forecasting.
+
+def grid_date(end, step):
+    """The moment ``step`` positions after ``end`` on a series' grid (columns _kind, _step_us, _step_m)."""
+    months = F.add_months(F.to_date(end), (F.coalesce("_step_m", F.lit(1)) * step).cast("int"))
+    time_of_day = F.unix_micros(end) - F.unix_micros(F.date_trunc("day", end))
+    at_time = F.timestamp_micros(F.unix_micros(months.cast("timestamp")) + time_of_day)
+    weekday = weekday_number(end) + step
+    business = F.date_from_unix_date((F.floor(weekday / 5) * 7 + weekday % 5 - 3).cast("int")).cast("timestamp")
+    single = F.timestamp_micros(F.unix_micros(F.add_months(F.to_date(end), step.cast("int")).cast("timestamp")) + time_of_day)
+    return (
+        F.when(F.col("_kind") == "month_start", at_time)
+        .when(F.col("_kind") == "month_end", F.last_day(months).cast("timestamp"))
+        .when(F.col("_kind") == "fixed", F.timestamp_micros(F.unix_micros(end) + F.col("_step_us") * step))
+        .when(F.col("_kind") == "business", business)
+        .otherwise(single)
+    )
+
+
+def even_series(df: DataFrame, date_col: str, value_col: str, partition_by=()) -> DataFrame:
+    """Keys, _t, _v, _filled, _i (position on the grid), season, _kind, _step_us, _step_m of series of six rows and more.
+
+    A series with a spacing holds every moment of its grid already, since the spacing is the mean
+    one, so its points are passed on with a position computed from the moment.  Only a series without
+    one is read anew, at month starts, and has gaps: as many positions as the calendar has months.
     """
     asked = _keys(partition_by)
     keys = asked or ["_all"]
@@ -285,30 +309,41 @@ def regularise(df: DataFrame, date_col: str, value_col: str, partition_by=()) ->
     ).where("_t is not null and _x is not null")
     points = materialize(work.groupBy(*groups, "_t").agg(F.avg("_x").alias("_v"), F.count("*").alias("_raw")))
     kinds = infer_spacing(points, keys).where(F.col("_rows") >= MIN_POINTS)
+    season = season_length(F.col("_kind"), F.col("_step_us"), F.col("_step_m")).alias("season")
+    kinds = small_side(kinds.select(*groups, "_lo", "_hi", "_mlo", "_kind", "_step_us", "_step_m", season))
+    shown = ["season", "_kind", "_step_us", "_step_m"]
+    month = F.year("_t") * 12 + F.month("_t")
+    position = (
+        F.when(F.col("_kind").isin("month_start", "month_end"), F.floor((month - F.col("_mlo")) / F.col("_step_m")))
+        .when(F.col("_kind") == "fixed", F.floor((F.unix_micros("_t") - F.unix_micros("_lo")) / F.col("_step_us")))
+        .otherwise(weekday_number(F.col("_t")) - weekday_number(F.col("_lo")))
+    )
+    even = points.join(kinds.where("_kind <> 'unknown'"), keys).select(
+        *groups, "_t", "_v", F.col("_v").alias("_filled"), position.cast("long").alias("_i"), *shown
+    )
     # month starts at or after the first moment, keeping its time of day
     time_of_day = F.unix_micros("_lo") - F.unix_micros(F.date_trunc("day", F.col("_lo")))
     first_month = F.when(F.dayofmonth("_lo") == 1, F.date_trunc("month", F.col("_lo"))).otherwise(
         F.date_trunc("month", F.col("_lo")) + F.expr("INTERVAL 1 MONTH")
     )
-    months = F.expr("make_ym_interval(0, cast(coalesce(_step_m, 1) as int))")
-    month_starts = F.sequence(F.date_trunc("month", F.col("_lo")), F.date_trunc("month", F.col("_hi")), months)
-    micros = F.sequence(F.unix_micros("_lo"), F.unix_micros("_hi"), F.greatest(F.col("_step_us"), F.lit(1)))
-    weekdays = F.expr("filter(sequence(to_date(_lo), to_date(_hi), interval 1 day), d -> weekday(d) < 5)")
     monthly = F.when(
         first_month <= F.col("_hi"), F.sequence(first_month, F.col("_hi"), F.expr("INTERVAL 1 MONTH"))
     ).otherwise(F.array().cast("array<timestamp>"))
-    grid = (
-        F.when(F.col("_kind") == "month_start", month_starts)
-        .when(F.col("_kind") == "month_end", F.transform(month_starts, lambda d: F.last_day(d).cast("timestamp")))
-        .when(F.col("_kind") == "fixed", F.transform(micros, F.timestamp_micros))
-        .when(F.col("_kind") == "business", F.transform(weekdays, lambda d: d.cast("timestamp")))
-        .otherwise(F.transform(monthly, lambda d: F.timestamp_micros(F.unix_micros(d) + time_of_day)))
-    )
-    season = season_length(F.col("_kind"), F.col("_step_us"), F.col("_step_m"))
-    spine = kinds.select(*groups, F.explode(grid).alias("_t"), season.alias("season"))
-    joined = spine.join(points.drop("_raw"), [*keys, "_t"], "left")
-    return _interpolate(joined, keys).select(
-        *[ref(k) for k in asked], F.col("_t").alias("date"), F.col("_filled").alias("value"), F.col("_v").isNull().alias("is_filled"), "season"
+    at_time = F.transform(monthly, lambda d: F.timestamp_micros(F.unix_micros(d) + time_of_day))
+    uneven = kinds.where("_kind = 'unknown'").select(*groups, F.explode(at_time).alias("_t"), *shown)
+    read = _interpolate(uneven.join(points.drop("_raw"), [*keys, "_t"], "left"), keys)
+    read = read.select(*groups, "_t", "_v", "_filled", F.col("_i").cast("long").alias("_i"), *shown)
+    return even.unionByName(read).drop(*([] if asked else ["_all"]))
+
+
+def regularise(df: DataFrame, date_col: str, value_col: str, partition_by=()) -> DataFrame:
+    """Evenly spaced series: equal moments averaged, gaps filled linearly.
+
+    The spacing is inferred per series; a series without one is read at month starts.  Series
+    with fewer than six rows are left out.  Adds ``season`` for forecasting.
+    """
+    return even_series(df, date_col, value_col, partition_by).select(
+        *[ref(k) for k in _keys(partition_by)], F.col("_t").alias("date"), F.col("_filled").alias("value"), F.col("_v").isNull().alias("is_filled"), "season"
     )
 
 
