@@ -28,6 +28,40 @@ def test_csv_and_pasted_text_keep_quoted_line_ends(spark, tmp_path):
     assert error is None and pasted.count() == 2
 
 
+def test_files_of_a_folder_are_read_each_their_way(spark, tmp_path):
+    folder = tmp_path / "a b%20c.json"
+    folder.mkdir()
+    (folder / "lines.json").write_text('\n{"a": 1}\n{"a": 2}\n')
+    (folder / "list.json").write_text(json.dumps([{"a": 3}, {"a": 4, "b": "x"}], indent=1))
+    (folder / "one line.json").write_text(json.dumps([{"a": 5}, {"a": 6.5}]) + "\n")
+    (folder / "object.json").write_text('{"a": 7,\n "c": {"d": 1}}')
+    (folder / "empty.json").write_text("")
+    assert sorted(r["a"] for r in files.load_table(spark, str(folder)).collect()) == [1, 2, 3, 4, 5, 6.5, 7]
+    table = tmp_path / "t.csv"
+    table.mkdir()
+    (table / "plain.csv").write_text("a,b\n1,x\n2,y\n")
+    (table / "spans.csv").write_text('a,b\n3.5,"two\n""quoted"" lines"\n4,5\n')
+    found = sorted(map(tuple, files.load_table(spark, str(table)).collect()))
+    assert found == [(1.0, "x"), (2.0, "y"), (3.5, 'two\n"quoted" lines'), (4.0, "5")]
+
+
+def test_a_large_file_with_a_record_per_line_is_split(spark, tmp_path):
+    rows = "".join(f'{k},"a ""word"" {k}"\n' for k in range(20_000))
+    (tmp_path / "large.csv").write_text("id,note\n" + rows)
+    (tmp_path / "large.json").write_text("".join(json.dumps({"id": k, "note": "x" * 9}) + "\n" for k in range(20_000)))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        for name in ("large.csv", "large.json"):
+            df = files.load_table(spark, str(tmp_path / name))
+            assert df.rdd.getNumPartitions() > 4 and df.count() == 20_000
+            assert df.select("id").distinct().count() == 20_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_anova_is_invariant_to_a_shift(spark):
     data = [(g, float(v)) for g, vs in {"a": (1, 2, 3, 4), "b": (2, 3, 5, 6), "c": (5, 6, 7, 9)}.items() for v in vs]
     plain = spark.createDataFrame(data, "g string, x double")

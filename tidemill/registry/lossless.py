@@ -25,6 +25,32 @@ def _json_folder(t, spark):
     return files.load_table(spark, path)
 
 
+# a folder of files with a record per line and of files that hold one indented list
+@query("json_mixed_folder", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def _json_mixed(t, spark):
+    path = scratch_path(spark, "mixed") + ".json"
+    record = F.to_json(F.struct("o_orderkey", "o_orderstatus", "o_totalprice"))
+    listed = F.col("o_orderkey") % 16 == 0
+    orders = t("orders").withColumn("record", record)
+    lines = orders.where(~listed).select(F.concat(F.lit("l"), F.col("o_orderkey") % 8).alias("part"), F.col("record").alias("value"))
+    # at most 4096 records a list
+    lists = orders.where(listed).groupBy(F.concat(F.lit("a"), F.floor(F.col("o_orderkey") / 65536)).alias("part")).agg(
+        F.concat(F.lit("[\n"), F.array_join(F.collect_list("record"), ",\n"), F.lit("\n]")).alias("value")
+    )
+    lines.unionByName(lists).write.partitionBy("part").text(path)
+    return files.load_table(spark, path).select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+@query("csv_mixed_folder", "SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN text ELSE regexp_replace(text, '[\r\n\"]+', ' ', 'g') END AS text FROM documents")
+def _csv_mixed(t, spark):
+    path = scratch_path(spark, "mixed") + ".csv"
+    spans = F.col("doc_id") % 50 == 0
+    text = F.when(spans, F.col("text")).otherwise(F.regexp_replace("text", '[\r\n"]+', " "))
+    docs = t("documents").select("doc_id", text.alias("text"), spans.cast("string").alias("spans"))
+    docs.write.partitionBy("spans").csv(path, header=True, escape='"')
+    return files.load_table(spark, path).select("doc_id", "text")
+
+
 @query(
     "anova_shifted",
     """WITH g AS (SELECT o_orderpriority, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM orders GROUP BY 1),

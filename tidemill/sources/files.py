@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import json
+import re
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tidemill.functions.types import nan_to_null
+from tidemill.functions.types import nan_to_null, quoted
 
 _SUFFIXES = {".csv": "csv", ".json": "json", ".tsv": "tsv", ".parquet": "parquet", ".xlsx": "excel", ".xls": "excel"}
 
 
+_PATTERN = re.compile(r"[\\{}\[\]*?]")
+
+
 def detect_file_type(path: str) -> str:
     """csv / json / tsv / parquet / excel / unknown from the suffix, ignoring query and fragment."""
     bare = path.lower().split("?")[0].split("#")[0]
@@ -27,35 +31,84 @@ def load_table(
     turns float NaN into NULL; switch it off for tables known to hold none, so that filters on
     float columns still reach the Parquet reader.
 
-    ``multiline``: whether a record may span lines.  Left open, CSV is read that way, because quoted
-    line ends cannot be told beforehand, and JSON by what its first line holds.  Such files are read
-    one per task; pass False for large files known to hold one record per line.
+    ``multiline``: whether a record may span lines.  Left open, one distributed scan decides it for
+    every file: a CSV file has such records if a line holds an odd number of quotes, a JSON file if
+    its first line is no JSON value by itself.  Only such files are read one per task; all others are
+    split, and a folder may hold both kinds.
     """
     kind = detect_file_type(path.rstrip("/")) if format == "auto" else format
     if kind == "excel":
         raise ValueError("Excel files have no distributed reader; convert them to CSV or Parquet")
-    reader = spark.read.schema(schema) if schema is not None else spark.read
     if kind == "parquet":
-        df = reader.parquet(path)
+        df = (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
     elif kind in ("json", "jsonl"):
-        whole = multiline if multiline is not None else kind == "json" and _spans_lines(spark, path)
-        df = reader.json(path, multiLine=whole)
+        spanning = _incomplete if multiline is None and kind == "json" else bool(multiline)
+        df = _by_file(spark, path, schema, spanning, lambda reader, files, whole: reader.json(files, multiLine=whole))
     else:
         separator = "\t" if kind == "tsv" else ","
-        infer = schema is None
-        df = reader.csv(path, sep=separator, header=True, inferSchema=infer, multiLine=multiline is not False, escape='"')
+
+        def read(reader, files, whole: bool) -> DataFrame:
+            return reader.csv(files, sep=separator, header=True, inferSchema=schema is None, multiLine=whole, escape='"')
+
+        df = _by_file(spark, path, schema, _odd_quotes if multiline is None else multiline, read)
     return nan_to_null(df) if normalise else df
 
 
-def _spans_lines(spark: SparkSession, path: str) -> bool:
-    """False if the first line that is not blank is a record by itself."""
-    first = spark.read.text(path).where(F.trim("value") != "").head()
-    if first is None:
-        return False
-    try:
-        return not isinstance(json.loads(first[0]), dict)
-    except ValueError:
-        return True
+def _odd_quotes(lines: DataFrame) -> Column:
+    """Of a file's lines: whether one opens a quote that it does not close."""
+    return F.bool_or(F.length(F.regexp_replace("value", '[^"]+', "")) % 2 == 1)
+
+
+def _incomplete(lines: DataFrame) -> Column:
+    """Of a file's lines: whether the first that is not blank is no JSON value by itself."""
+    parsed = F.try_parse_json("value").isNull()
+    return F.coalesce(F.min_by(parsed, F.when((F.col("start") == 0) & (F.trim("value") != ""), F.col("row"))), F.lit(False))
+
+
+def _by_file(spark: SparkSession, path: str, schema, spanning, read) -> DataFrame:
+    """Files with records that span lines (``spanning``, or a function that tells) and the others, each read their way."""
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    if isinstance(spanning, bool):
+        return read(reader, path, spanning)
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    # one row per file comes to the driver, which lists them for the readers anyway
+    kinds = {r["file"]: r["whole"] for r in lines.groupBy("file").agg(spanning(lines).alias("whole")).collect()}
+    if len(set(kinds.values())) < 2:
+        return read(reader, path, any(kinds.values()))
+    sides = [[_plain(file) for file, whole in kinds.items() if whole is wanted] for wanted in (False, True)]
+
+    def side(files: list[str], whole: bool) -> DataFrame:
+        start = spark.read if schema is None else spark.read.schema(schema)
+        # columns named by folders; a pattern has no single folder to count them from
+        return read(start if _PATTERN.search(path) else start.option("basePath", path), files, whole)
+
+    split, whole = side(sides[0], False), side(sides[1], True)
+    if schema is None and split.schema != whole.schema:
+        split, whole = (_widened(df, split.schema, whole.schema) for df in (split, whole))
+    return split.unionByName(whole, allowMissingColumns=True)
+
+
+def _plain(file: str) -> str:
+    """The path of a file as readers take it: decoded, and without patterns."""
+    return _PATTERN.sub(r"\\\g<0>", unquote(file))
+
+
+def _widened(df: DataFrame, *schemas: T.StructType) -> DataFrame:
+    """Columns with one type in both schemas: the wider number, or text."""
+
+    def common(name: str) -> T.DataType:
+        kinds = [s[name].dataType for s in schemas if name in s.names]
+        if all(k == kinds[0] for k in kinds):
+            return kinds[0]
+        if all(isinstance(k, T.NumericType) for k in kinds):
+            whole = all(isinstance(k, T.IntegralType) for k in kinds)
+            return T.LongType() if whole else T.DoubleType()
+        return T.StringType()
+
+    return df.select(*[F.col(quoted(c)).cast(common(c)).alias(c) for c in df.columns])
 
 
 def _records(text: str) -> list[str]:
