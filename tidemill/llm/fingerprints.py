@@ -4,11 +4,12 @@ The lexicon holds the terms whose document frequency lies in a chosen band.  A d
 lexicon terms are sorted and every randomised subset of the lexicon gives a hash of those that
 belong to it.  Subsets come in sizes that halve; a document uses three sizes around the one that
 keeps one of its terms on average, so a change of some terms leaves the hashes of many subsets alone
-and texts whose numbers of terms differ up to fourfold can be compared.  The same is done with all
-terms of the text, for texts that share few terms with others; like is compared with like.
+and texts whose numbers of terms differ up to fourfold can be compared.  A text with fewer than
+LEAST_TERMS lexicon terms takes that many by adding others, the same ones for equal texts.
 
 Document frequencies are counted over all distinct texts in 2**BITS hashed counters, so the lexicon
 is a bitmap of fixed size whatever the vocabulary; terms that share a counter share its frequency.
+With v terms that adds v / 2**BITS single occurrences to a counter, far below the band's upper edge.
 """
 
 from __future__ import annotations
@@ -26,10 +27,13 @@ from tidemill.llm.common import ordered, prepare, stored, text_slices
 from tidemill.llm.shingles import Words, distinct_per_document, mix
 
 BITS = 24
-#: The band: terms of at least so many documents and at most this share of them.
-LEAST_DOCUMENTS, LARGEST_SHARE = 2, 0.1
+#: The band: terms of at least so many distinct texts and at most this share of them.  The rarest belong
+#: to it: a text with many copies counts once, and its own terms are what tells it apart.
+LEAST_DOCUMENTS, LARGEST_SHARE = 1, 0.1
 #: Lexicon subsets per size, and sizes of a document.
 SUBSETS, STEPS = 32, 3
+#: A text with fewer lexicon terms adds terms from outside the band, those with the smallest hashes.
+LEAST_TERMS = 16
 #: Digests of repeated texts are broadcast up to this many, 12 bytes each; beyond, copies are removed by a shuffle.
 MOST_REPEATED = 1 << 23
 #: Counters per row of the frequency table.
@@ -130,14 +134,10 @@ def lexicon(
 
 
 class Prints(NamedTuple):
-    """Per text, of its lexicon terms and of all its terms: size class and (STEPS, subsets) hashes.
-
-    A hash of 0 stands for a subset without terms.  ``cover`` is the share of lexicon terms.
-    """
+    """Per text its size class and (STEPS, subsets) hashes of 16 bits; 0 stands for a subset without terms of the text."""
 
     size: np.ndarray
     table: np.ndarray
-    cover: np.ndarray
 
     def then(self, other: Prints) -> Prints:
         """Without the first text, followed by the other's."""
@@ -147,49 +147,43 @@ class Prints(NamedTuple):
 def fingerprints(texts: list, inside: np.ndarray, bits: int, subsets: int) -> Prints:
     hashes, bounds = _terms(pa.array(texts, pa.string()))
     owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    known = np.flatnonzero(inside[(hashes >> np.uint64(64 - bits)).astype(np.int64)])
-    of_kind = [(owner[known], known), (owner, slice(None))]
-    count = np.stack([np.bincount(o, minlength=len(texts)) for o, _ in of_kind], axis=1)
-    size = np.round(np.log2(np.maximum(count, 1))).astype(np.int64)
-    out = np.zeros((len(texts), 2, STEPS, subsets), np.uint32)
-    kept = [[(np.uint64(1) << (size[o, i] + j).astype(np.uint64)) - np.uint64(1) for j in range(STEPS)] for i, (o, _) in enumerate(of_kind)]
+    known = inside[(hashes >> np.uint64(64 - bits)).astype(np.int64)]
+    missing = LEAST_TERMS - np.bincount(owner[known], minlength=len(texts))
+    others = np.flatnonzero(~known)
+    place = np.arange(len(others)) - np.searchsorted(owner[others], owner[others])
+    known[others] = place < missing[owner[others]]
+    hashes, owner = hashes[known], owner[known]
+    size = np.round(np.log2(np.maximum(np.bincount(owner, minlength=len(texts)), 1))).astype(np.int64)
+    out = np.zeros((len(texts), STEPS, subsets), np.uint16)
+    kept = [(np.uint64(1) << (size[owner] + j).astype(np.uint64)) - np.uint64(1) for j in range(STEPS)]
     for k in range(subsets):
-        whole = mix(hashes ^ _SEEDS[k])
-        for i, (o, use) in enumerate(of_kind):
-            drawn = whole[use]
-            for j in range(STEPS):
-                member = np.flatnonzero((drawn & kept[i][j]) == 0)
-                if len(member):
-                    at = o[member]
-                    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-                    value = np.add.reduceat(mix(drawn[member] + np.uint64(k)), first)
-                    out[at[first], i, j, k] = (value >> np.uint64(33)).astype(np.uint32) + np.uint32(1)
-    return Prints(size, out, count[:, 0] / np.maximum(count[:, 1], 1))
-
-
-def _equal_share(size_a, a, size_b, b) -> np.ndarray:
+        drawn = mix(hashes ^ _SEEDS[k])
+        for j in range(STEPS):
+            member = np.flatnonzero((drawn & kept[j]) == 0)
+            if len(member):
+                at = owner[member]
+                first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                value = np.add.reduceat(mix(drawn[member] + np.uint64(k)), first)
+                out[at[first], j, k] = np.maximum(value >> np.uint64(48), 1).astype(np.uint16)
+    return Prints(size, out)
+
+
+def likeness(a: Prints, b: Prints) -> np.ndarray:
     """Share of equal hashes among the subsets, of all sizes both use, that hold terms of either text."""
-    equal, either = np.zeros(len(a)), np.zeros(len(a))
+    equal, either = np.zeros(len(a.size)), np.zeros(len(a.size))
     for i in range(STEPS):
         for j in range(STEPS):
-            x, y = a[:, i], b[:, j]
-            same_size = size_a + i == size_b + j
+            x, y = a.table[:, i], b.table[:, j]
+            same_size = a.size + i == b.size + j
             either += np.where(same_size, ((x != 0) | (y != 0)).sum(axis=1), 0)
             equal += np.where(same_size, ((x == y) & (x != 0)).sum(axis=1), 0)
-    return equal / np.maximum(either, 1)
-
-
-def likeness(a: Prints, b: Prints) -> np.ndarray:
-    """Likeness by lexicon terms and by all terms, the first weighted with the smaller cover of the two texts."""
-    known, every = (_equal_share(a.size[:, i], a.table[:, i], b.size[:, i], b.table[:, i]) for i in range(2))
-    weight = np.minimum(a.cover, b.cover)
-    same = (a.size == b.size).all(axis=1) & (a.table == b.table).all(axis=(1, 2, 3))
-    return np.where(same, 1.0, weight * known + (1 - weight) * every)
+    same = (a.size == b.size) & (a.table == b.table).all(axis=(1, 2))
+    return np.where(same, 1.0, equal / np.maximum(either, 1))
 
 
-def _strings(prints: Prints) -> pa.Array:
-    """In hexadecimal the size classes and hashes of the lexicon terms, then those of all terms."""
-    return pa.array(["".join(f"{s:02x}" + x.astype(">u4").tobytes().hex() for s, x in zip(*of)) for of in zip(prints.size, prints.table)], pa.string())
+def _packed_prints(prints: Prints) -> pa.Array:
+    """A byte for the size class, then two per hash."""
+    return pa.array([bytes([s]) + x.astype(">u2").tobytes() for s, x in zip(prints.size.tolist(), prints.table)], pa.binary())
 
 
 def _pairs(texts: list, following: list, inside, bits: int, subsets: int) -> list[pa.Array]:
@@ -202,17 +196,19 @@ def _pairs(texts: list, following: list, inside, bits: int, subsets: int) -> lis
     after = fingerprints(following[-1:] if shifted else following, inside, bits, subsets)
     return [
         pa.array([len(t) for t in texts], pa.int64()),
-        pa.array([hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edited], pa.string()),
-        _strings(own), _strings(changed),
+        pa.array([hashlib.sha256(e.encode("utf-8", "surrogatepass")).digest() for e in edited], pa.binary()),
+        _packed_prints(own), _packed_prints(changed),
         pa.array(likeness(own, changed)), pa.array(likeness(own, own.then(after) if shifted else after)),
     ]
 
 
 _RESULT = [
-    T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()), T.StructField("fingerprint", T.StringType()),
-    T.StructField("edited_fingerprint", T.StringType()), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType()),
+    T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.BinaryType()), T.StructField("fingerprint", T.BinaryType()),
+    T.StructField("edited_fingerprint", T.BinaryType()), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType()),
 ]
 _NAMES = [f.name for f in _RESULT]
+#: Columns stored as bytes and shown in hexadecimal.
+_BYTES = [f.name for f in _RESULT if f.dataType == T.BinaryType()]
 
 
 def _follow(batches: Iterator[pa.RecordBatch], bits: int, subsets: int, packed) -> Iterator[pa.RecordBatch]:
@@ -227,7 +223,7 @@ def _follow(batches: Iterator[pa.RecordBatch], bits: int, subsets: int, packed)
     def end(kind: str, row) -> pa.RecordBatch:
         values = [pa.array([part], pa.int32()), pa.array([kind]), pa.array([row[0]], kind_of_id), pa.array([row[1]], pa.string())]
         return pa.RecordBatch.from_arrays(
-            [*values, pa.nulls(1, pa.int64()), *(pa.nulls(1, pa.string()) for _ in range(3)), *(pa.nulls(1, pa.float64()) for _ in range(2))],
+            [*values, pa.nulls(1, pa.int64()), *(pa.nulls(1, pa.binary()) for _ in range(3)), *(pa.nulls(1, pa.float64()) for _ in range(2))],
             names=["part", "kind", "doc_id", "text", *_NAMES],
         )
 
@@ -288,4 +284,5 @@ def fingerprint_documents(
     lasts = rows.where("kind = 'last'").select("doc_id", "text", place.alias("place"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("n"))
     ends = lasts.join(firsts, F.col("place") % F.col("n") + 1 == F.col("at")).select("doc_id", "text", "next_text")
     joined = ends.mapInArrow(lambda it: _join_ends(it, bits, subsets, packed), T.StructType([id_field, *_RESULT]))
-    return rows.where("kind = 'row'").select("doc_id", *_NAMES).unionByName(joined)
+    every = rows.where("kind = 'row'").select("doc_id", *_NAMES).unionByName(joined)
+    return every.withColumns({c: F.lower(F.hex(c)) for c in _BYTES})
