@@ -209,3 +209,54 @@ def test_kmeans_finds_a_few_far_rows_among_many(spark, monkeypatch):
     copies = spark.createDataFrame([(0.0,)] * 500 + [(1.0,)] * 3 + [(9.0,)], "x double")
     assert [r["x"] for r in run_kmeans_clustering(copies, ["x"], 3)["centers"].collect()] == [0.0, 1.0, 9.0]
     assert run_kmeans_clustering(copies, ["x"], 5)["centers"].count() == 5  # more clusters than distinct rows
+
+
+def test_quantiles_of_large_groups_are_narrowed_by_counts(spark, monkeypatch):
+    import pandas as pd
+    from tidemill.plans import quantiles
+
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame({"g": rng.choice(["big", "big", "b", "c"], 30_000), "x": np.exp(8 * rng.normal(size=30_000))})
+    pdf.loc[:9000, "x"] = 7.25  # a value that holds many ranks
+    pdf = pd.concat([pdf, pd.DataFrame({"g": ["one", "two", "two", "none", None], "x": [3.0, 1.0, 2.0, np.nan, 1.0]})])
+    df = spark.createDataFrame(pdf).repartition(7)
+    points = {"low": 0.25, "mid": 0.5, "top": 0.999}
+    rows = df.select("g", quantiles._as_double("x").alias("_v")).where("g is not null")
+    found = quantiles._grouped_by_bracket(rows, ["g"], points, limit=50)
+    got = found.toPandas().set_index("g")
+    expected = pdf.dropna(subset=["g"]).groupby("g")["x"].quantile([0.25, 0.5, 0.999]).unstack()
+    for name, p in points.items():
+        np.testing.assert_allclose(got[name].loc[expected.index].astype(float), expected[p], rtol=1e-12)
+    assert "Window" not in plan_of(found)
+
+
+def test_rows_before_a_position(spark, monkeypatch):
+    from tidemill.plans import roworder
+
+    monkeypatch.setattr(roworder, "SELECTED_ROWS", 20)
+    df = spark.range(3000).selectExpr(
+        "if(id % 3 = 0, null, id % 2) as a", "cast(id % 5 as string) as t", "date_add(date'2024-01-01', cast(id % 40 as int)) as d", "(id * 7919) % 3000 as i"
+    ).repartition(5).cache()
+    for order in (["i"], ["a", "i"], ["d", "i"], ["t", "i"], ["a", "d", "i"]):
+        ranked = df.orderBy(*order).toPandas()["i"].tolist()
+        for position in (0, 1, 700, 1500, 2999, 3000):
+            condition = roworder.precedes(df, order, position, 3000)
+            assert {r["i"] for r in df.where(condition).select("i").collect()} == set(ranked[:position]), (order, position)
+
+
+def test_key_figures_need_no_sort(spark):
+    from tidemill.operators.kpi import kpi_card
+
+    df = spark.range(50_000).selectExpr("id % 7 as k", "id as i", "cast(id % 100 as double) as x")
+    plan = plan_of(kpi_card(df, "x", "mean", ["k", "i"]))
+    assert "Sort " not in plan and "Exchange range" not in plan
+
+
+def test_views_of_the_caller_survive_the_sql_box(spark):
+    from tidemill.operators.sql import run_sql_query
+
+    spark.range(3).createOrReplaceTempView("mine")
+    result, _, error = run_sql_query(spark, "SELECT count(*) AS n FROM mine JOIN other USING (id)", {"mine": spark.range(10), "other": spark.range(5)})
+    assert error is None and result.first()["n"] == 5
+    assert spark.table("mine").count() == 3 and not spark.catalog.tableExists("other")
+    assert run_sql_query(spark, "SELECT nothing FROM mine", {"mine": spark.range(10)})[2] and spark.table("mine").count() == 3

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemill.functions import wording
 from tidemill.functions.types import INTEGER_TYPES, is_numeric, numeric_columns, ref, require_columns
 from tidemill.plans.quantiles import column_quantiles
-from tidemill.plans.roworder import with_row_index
+from tidemill.plans.roworder import precedes
 
 def detect_kpi_columns(df: DataFrame, scanned: int | None = None, shown: int | None = None) -> DataFrame:
     """Key figures: ratios as percent, complete non-negative integers as totals, else means.
@@ -52,15 +52,16 @@ def kpi_card(df: DataFrame, column: str, agg: str = "mean", order_by=None) -> Da
     if order_by is None:
         raise ValueError("the two halves need order_by")
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
+    require_columns(df, keys)
     present = df.where(ref(column).isNotNull()).select(*[ref(k).alias(f"_k{i}") for i, k in enumerate(keys)], ref(column).cast("double").alias("_x"))
-    indexed = with_row_index(present, [f"_k{i}" for i in range(len(keys))], "_i")
-    total = indexed.agg(F.count("*").alias("n")).first()["n"]
-    x, middle = F.col("_x"), total // 2
+    total = present.count()
+    x = F.col("_x")
     value = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}.get(agg, F.avg)(x).cast("double")
-    first = F.avg(F.when(F.col("_i") < middle, x))
-    second = F.avg(F.when(F.col("_i") >= middle, x))
+    early = precedes(present, [f"_k{i}" for i in range(len(keys))], total // 2, total)
+    first = F.avg(F.when(early, x))
+    second = F.avg(F.when(~early, x))
     delta = F.round(F.try_divide(second - first, F.abs(first)) * 100, 1)
-    card = indexed.agg(value.alias("value"), delta.alias("delta"), F.count("*").alias("n"))
+    card = present.agg(value.alias("value"), delta.alias("delta"), F.count("*").alias("n"))
     return card.where("n > 0").select(F.round("value", 2).alias("value"), F.lit(f"{agg.capitalize()} of {column}").alias("label"), "delta")
 
 

@@ -55,6 +55,9 @@ def run_sql_query(
     if refused:
         return None, 0.0, refused
     started = time.time()
+    names = [name for name, df in (tables or {}).items() if df is not None]
+    views = {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary} if names else set()
+    hidden = {name: spark.table(name) for name in names if name.lower() in views}
     try:
         register_tables(tables or {})
         result = spark.sql(query)
@@ -62,3 +65,9 @@ def run_sql_query(
         return result, time.time() - started, None
     except Exception as error:
         return None, time.time() - started, str(error)
+    finally:
+        # the names were resolved above: the caller's own views come back
+        for name in names:
+            spark.catalog.dropTempView(name)
+        register_tables(hidden)
+

@@ -13,8 +13,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidemill.functions.types import quoted, ref
 from tidemill.plans.hotkeys import small_side
@@ -22,7 +21,8 @@ from tidemill.plans.hotkeys import small_side
 DISTINCT_LIMIT = 10_000
 GROUP_DISTINCT_LIMIT = 500_000
 SKETCH_ACCURACY = 20_000
-GROUP_BUCKETS = 1_000
+#: Steps of the grid that narrows the brackets of groups.
+GRID = 256
 # a bracket reaches this share of its rows beyond the wanted rank, well over the sketch's error
 MARGIN = 4.0 / SKETCH_ACCURACY
 
@@ -171,58 +171,71 @@ def grouped_quantiles(
             .agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in points.values()])).alias("_q"))
             .select(*[ref(k) for k in keys], *[F.col("_q")[i].alias(n) for i, n in enumerate(points)])
         )
-    return _grouped_by_bucket(rows, keys, points)
+    return _grouped_by_bracket(rows, keys, points)
 
 
-def _grouped_by_bucket(rows, keys, points):
-    """Find each group's value at rank through value buckets, so no group meets in one task."""
-    key_cols = [quoted(k) for k in keys]
+def _grouped_by_bracket(rows, keys, points, limit: int = DISTINCT_LIMIT):
+    """Exact quantiles of groups of any size: brackets per group and rank, narrowed until few values are left.
+
+    A round takes, per bracket, approximate quantiles on a grid and keeps the stretch of the grid
+    around the wanted rank; all counts and sketches are combined on the map side.
+    """
+    key_cols = [ref(k) for k in keys]
     groups = rows.select(*key_cols).distinct()
     present = rows.where("_v is not null")
-    cuts = present.agg(
-        F.percentile_approx("_v", [i / GROUP_BUCKETS for i in range(1, GROUP_BUCKETS)], SKETCH_ACCURACY)
-    ).first()[0]
-    splits = [-math.inf] + sorted(set(cuts)) + [math.inf]
-    placed = Bucketizer(splits=splits, inputCol="_v", outputCol="_bucket").transform(present)
-    by_bucket = Window.partitionBy(*key_cols).orderBy("_bucket")
-    ranks = []
-    for p in points.values():
-        position = F.lit(float(p)) * (F.col("_n") - 1)
-        ranks += [F.floor(position), F.ceil(position)]
-    targets = (
-        placed.groupBy(*key_cols, "_bucket")
-        .agg(F.count("*").alias("_c"))
-        .withColumn("_below", F.sum("_c").over(by_bucket) - F.col("_c"))
-        .withColumn("_n", F.sum("_c").over(Window.partitionBy(*key_cols)))
-        .withColumn("_ranks", F.array_distinct(F.array(*ranks)))
-        .withColumn(
-            "_ranks",
-            F.filter("_ranks", lambda r: (r >= F.col("_below")) & (r < F.col("_below") + F.col("_c"))),
+    wanted = F.array(*[F.struct(F.lit(i).alias("_slot"), F.lit(float(p)).alias("_p")) for i, p in enumerate(points.values())])
+    none = F.lit(None).cast("double")
+    # one row per group and wanted quantile
+    brackets = small_side(
+        present.groupBy(*key_cols).agg(F.count("*").alias("_inside"), F.approx_count_distinct("_v").alias("_distinct"))
+        .withColumn("_want", F.explode(wanted))
+        .select(
+            *key_cols, "_want._slot", (F.col("_want._p") * (F.col("_inside") - 1)).alias("_rank"), none.alias("_lo"), none.alias("_hi"),
+            F.lit(0).cast("long").alias("_below"), "_inside", "_distinct",
         )
-        .where(F.size("_ranks") > 0)
-        .select(*key_cols, "_bucket", "_below", "_n", "_ranks")
     )
-    in_bucket = Window.partitionBy(*key_cols, "_bucket").orderBy("_v")
-    # only the rows of wanted buckets, about one in GROUP_BUCKETS, reach the shuffle
-    hits = (
-        placed.join(small_side(targets), [*keys, "_bucket"])
-        .groupBy(*key_cols, "_bucket", "_below", "_n", "_ranks", "_v")
-        .agg(F.count("*").alias("_c"))
-        .withColumn("_end", F.col("_below") + F.sum("_c").over(in_bucket))
-        .withColumn("_start", F.col("_end") - F.col("_c"))
-        .withColumn(
-            "_rank",
-            F.explode(
-                F.filter("_ranks", lambda r: (r >= F.col("_start")) & (r < F.col("_end")))
-            ),
+    inside = (F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo"))) & (F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi")))
+    grid = [k / GRID for k in range(GRID + 1)]
+    known = [*keys, "_slot", "_rank", "_lo", "_hi"]
+    while brackets.where(F.col("_distinct") > limit).limit(1).count():
+        crowded = brackets.where(F.col("_distinct") > limit)
+        cuts = present.join(crowded, keys).where(inside).groupBy(*map(quoted, [*known, "_below", "_inside"])).agg(
+            F.percentile_approx("_v", grid, GRID * 40).alias("_cuts")
+        )
+        # a grid step is forty times the sketch's error, so one more step on each side is safe
+        first = F.floor((F.floor("_rank") - F.col("_below")) / F.col("_inside") * GRID) - 1
+        last = F.ceil((F.ceil("_rank") + 1 - F.col("_below")) / F.col("_inside") * GRID) + 1
+        edges = small_side(cuts.select(
+            *key_cols, "_slot", "_rank", F.col("_inside").alias("_before"),
+            F.coalesce(F.when(first >= 0, F.get("_cuts", first.cast("int"))), "_lo").alias("_lo"),
+            F.coalesce(F.when(last <= GRID, F.get("_cuts", last.cast("int"))), "_hi").alias("_hi"),
+        ))
+        counted = present.join(edges, keys).groupBy(*map(quoted, [*known, "_before"])).agg(
+            F.count_if(F.col("_v") < F.col("_lo")).alias("_below"), F.count_if(inside).alias("_inside"),
+            F.approx_count_distinct(F.when(inside, F.col("_v"))).alias("_distinct"),
         )
+        # what no longer shrinks is read as it is
+        left = F.when(F.col("_inside") < F.col("_before"), F.col("_distinct")).otherwise(0)
+        done = brackets.where(F.col("_distinct") <= limit)
+        brackets = small_side(done.unionByName(counted.withColumn("_distinct", left).drop("_before")))
+    values = (
+        present.join(brackets.drop("_inside", "_distinct"), keys).where(inside)
+        .groupBy(*map(quoted, [*keys, "_slot", "_rank", "_below", "_v"])).agg(F.count("*").alias("_c"))
+        .groupBy(*map(quoted, [*keys, "_slot", "_rank", "_below"])).agg(F.array_sort(F.collect_list(F.struct("_v", "_c"))).alias("_values"))
     )
-    aggs = []
-    for name, p in points.items():
-        position = F.lit(float(p)) * (F.col("_n") - 1)
-        low = F.max(F.when(F.col("_rank") == F.floor(position), F.col("_v")))
-        high = F.max(F.when(F.col("_rank") == F.ceil(position), F.col("_v")))
-        part = F.max(position - F.floor(position))
-        aggs.append((low + (high - low) * part).alias(name))
-    found = hits.groupBy(*key_cols).agg(*aggs)
-    return groups.join(found, keys, "left").select(*key_cols, *[quoted(n) for n in points])
+
+    def at(rank):
+        """The value that holds ``rank`` among the sorted values and their counts."""
+        start = F.struct(F.col("_below").alias("seen"), F.lit(None).cast("double").alias("found"))
+
+        def step(state, x):
+            upto = state["seen"] + x["_c"]
+            found = F.when(state["found"].isNull() & (upto > rank), x["_v"]).otherwise(state["found"])
+            return F.struct(upto.alias("seen"), found.alias("found"))
+
+        return F.aggregate("_values", start, step, lambda state: state["found"])
+
+    low, high = at(F.floor("_rank")), at(F.ceil("_rank"))
+    found = values.select(*key_cols, "_slot", (low + (high - low) * (F.col("_rank") - F.floor("_rank"))).alias("_q"))
+    cells = [F.max(F.when(F.col("_slot") == i, F.col("_q"))).alias(name) for i, name in enumerate(points)]
+    return groups.join(found.groupBy(*key_cols).agg(*cells), keys, "left").select(*key_cols, *[quoted(n) for n in points])

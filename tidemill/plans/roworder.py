@@ -8,6 +8,8 @@ from tidemill.functions.types import quoted, ref, require_columns
 from tidemill.plans.session import materialize
 
 _LOCAL_BITS = 33
+#: So many rows are sorted to find one among them.
+SELECTED_ROWS = 10_000
 
 
 def _sort_columns(order_by, reverse=False):
@@ -53,6 +55,51 @@ def with_row_index(df: DataFrame, order_by, name: str = "row_index") -> DataFram
     )
 
 
+def precedes(df: DataFrame, order_by, position: int, rows: int):
+    """A condition: the row stands before 0-based ``position`` in ``order_by`` order (which ends in a unique column).
+
+    The boundary row is selected, not sorted for: approximate quantiles bracket its first order
+    column until few rows are left inside, or only rows equal in it, where the next column decides.
+    ``rows`` is the number of rows of ``df``.  Only the boundary's order values reach the driver.
+    """
+    columns, ordering = _sort_columns(order_by)
+    if position <= 0 or position >= rows:
+        return F.lit(position >= rows)
+    left, offset, inside = df.select(*[ref(c) for c in columns]), position, rows
+    for name in columns:
+        kind = df.schema[name].dataType
+        if not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+            break  # no sketch for this type
+        column = ref(name)
+        while inside > SELECTED_ROWS:
+            nulls = left.agg(F.count_if(column.isNull()).alias("n")).first()["n"]
+            if offset < nulls:  # nulls come first
+                left, inside = left.where(column.isNull()), nulls
+                break
+            share = (offset - nulls) / (inside - nulls)
+            around = [min(1.0, max(0.0, share + side)) for side in (-0.001, 0.001)]
+            lo, hi = left.agg(F.percentile_approx(column, around, 20_000).alias("q")).first()["q"]
+            lo, hi = (F.lit(v).cast(kind) for v in (lo, hi))
+            row = left.agg(F.count_if(column.isNull() | (column < lo)).alias("below"), F.count_if(column.between(lo, hi)).alias("inside")).first()
+            if not row["below"] <= offset < row["below"] + row["inside"]:
+                break
+            shrunk = row["inside"] < inside
+            left, offset, inside = left.where(column.between(lo, hi)), offset - row["below"], row["inside"]
+            if not shrunk:
+                break
+        if inside <= SELECTED_ROWS:
+            break
+        ends = left.agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.count_if(column.isNull()).alias("nulls")).first()
+        if not (ends["nulls"] == inside or ends["nulls"] == 0 and ends["lo"] == ends["hi"]):
+            break
+    if inside <= SELECTED_ROWS:
+        boundary = left.orderBy(*ordering).offset(offset).limit(1).first()
+    else:  # an order column that sketches do not take, such as text
+        boundary = with_row_index(left, columns, "_at").where(F.col("_at") == offset).first()
+    values = F.struct(*[F.lit(boundary[c]).cast(df.schema[c].dataType).alias(f"o{i}") for i, c in enumerate(columns)])
+    return F.struct(*[ref(c).alias(f"o{i}") for i, c in enumerate(columns)]) < values
+
+
 def carry_fill(
     df: DataFrame, column: str, order_by, partition_by=(), backward: bool = False
 ) -> DataFrame:
