@@ -260,3 +260,30 @@ def test_views_of_the_caller_survive_the_sql_box(spark):
     assert error is None and result.first()["n"] == 5
     assert spark.table("mine").count() == 3 and not spark.catalog.tableExists("other")
     assert run_sql_query(spark, "SELECT nothing FROM mine", {"mine": spark.range(10)})[2] and spark.table("mine").count() == 3
+
+
+@pytest.mark.parametrize("backward", [False, True])
+def test_carry_fill_shuffles_once_and_crosses_tasks(spark, backward):
+    from tidemill.plans import roworder
+
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"i": np.arange(4000), "k": np.where(np.arange(4000) < 3000, 1, np.arange(4000) % 5), "t": rng.choice(["x", "y"], 4000)})
+    pdf["v"] = np.where(rng.random(4000) < 0.002, np.round(rng.random(4000), 6), np.nan)  # long runs without a value
+    pdf.loc[pdf["i"] % 50 == 0, "t"] = None
+    df = spark.createDataFrame(pdf).withColumns({"v": F.when(~F.isnan("v"), F.col("v")), "d": F.struct("v")}).repartition(6)
+    found = carry_fill(df, "v", "i", ["k", "t"], backward)
+    assert found.columns == df.columns
+    order = pdf.sort_values("i", ascending=not backward)
+    expected = order.groupby(["k", order["t"].fillna("none")])["v"].ffill().sort_index()
+    got = found.toPandas().sort_values("i")["v"].astype(float).to_numpy()
+    np.testing.assert_array_equal(got, expected.to_numpy())
+    nested = carry_fill(df.withColumn("d", F.when(F.col("v").isNotNull(), F.struct("v"))), "d", "i", [], backward).toPandas().sort_values("i")
+    plain = pdf["v"].bfill() if backward else pdf["v"].ffill()
+    np.testing.assert_array_equal([np.nan if x is None else x["v"] for x in nested["d"]], plain.to_numpy())
+    planned = []
+    keep, roworder.materialize = roworder.materialize, lambda frame: planned.append(plan_of(frame)) or keep(frame)
+    try:
+        after = plan_of(carry_fill(df, "v", "i", ["k"], backward))
+    finally:
+        roworder.materialize = keep
+    assert planned[0].count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning" not in planned[0] + after and "Window" not in planned[0] + after

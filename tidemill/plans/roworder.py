@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemill.functions.types import quoted, ref, require_columns
-from tidemill.plans.session import materialize
+from tidemill.plans.session import materialize, ship_package
 
 _LOCAL_BITS = 33
 #: So many rows are sorted to find one among them.
@@ -100,65 +105,77 @@ def precedes(df: DataFrame, order_by, position: int, rows: int):
     return F.struct(*[ref(c).alias(f"o{i}") for i, c in enumerate(columns)]) < values
 
 
+def _fill_task(batches: Iterator[pa.RecordBatch], keys: list[str], column: str) -> Iterator[pa.RecordBatch]:
+    """A task's rows with the last value of their key so far; ``_open`` marks rows of its first key before any value."""
+    from pyspark import TaskContext
+
+    part, slot = TaskContext.get().partitionId(), 0
+    last_keys, carry, first_run = None, None, True
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        changed = np.zeros(n, bool)
+        for k in keys:
+            names = batch.column(k)
+            differs = pc.fill_null(pc.not_equal(names[1:], names[:-1]), False).to_numpy(zero_copy_only=False)
+            missing = names.is_null().to_numpy(zero_copy_only=False)
+            changed[1:] |= differs | (missing[1:] != missing[:-1])
+        head = [batch.column(k)[0].as_py() for k in keys]
+        changed[0] = last_keys is not None and head != last_keys
+        values = batch.column(column)
+        if carry is None or changed[0]:
+            carry = pa.nulls(1, values.type)
+        # position 0 is what the batch before handed on
+        source = pa.concat_arrays([carry, values])
+        at = np.arange(1, n + 1)
+        start = np.maximum.accumulate(np.where(changed, at, 0))
+        seen = np.maximum.accumulate(np.where(values.is_valid().to_numpy(zero_copy_only=False), at, 0))
+        pick = np.where(seen >= start, seen, 0)
+        pick[(pick == 0) & (start > 0)] = -1
+        filled = source.take(pa.array(np.maximum(pick, 0), pa.int64(), mask=pick < 0))
+        in_first = (start == 0) & first_run & ~changed[0]
+        open_ = in_first & filled.is_null().to_numpy(zero_copy_only=False)
+        first_run = first_run and not changed.any()
+        last_keys = [batch.column(k)[n - 1].as_py() for k in keys]
+        carry = filled.slice(n - 1, 1)
+        columns = [filled if name == column else batch.column(name) for name in batch.schema.names]
+        added = [pa.array(np.full(n, part, np.int64)), pa.array(np.arange(slot, slot + n)), pa.array(open_)]
+        slot += n
+        yield pa.RecordBatch.from_arrays([*columns, *added], names=[*batch.schema.names, "_part", "_slot", "_open"])
+
+
 def carry_fill(
     df: DataFrame, column: str, order_by, partition_by=(), backward: bool = False
 ) -> DataFrame:
     """Fill NULLs with the last (or, backward, the next) non-null value in row order.
 
-    A key holding many rows is spread over several range partitions; values that cross a
-    partition edge travel as one small row per partition.
+    Rows are range-partitioned once and every task streams over its own.  A key holding many rows is
+    spread over several tasks; values that cross their edges travel as one small row per task.
     """
     keys = [partition_by] if isinstance(partition_by, str) else list(partition_by)
     columns, ordering = _sort_columns(order_by, reverse=backward)
     require_columns(df, [column, *keys, *columns])
-    placed = _placed(df, [ref(k) for k in keys] + ordering).withColumn("_part", _part())
-    key = F.struct(*[ref(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
-    placed = placed.withColumn("_key", key)
-    value = ref(column)
-    filled_slot = F.when(value.isNotNull(), F.col("_slot"))
-    runs = placed.groupBy("_part", "_key").agg(
-        F.min("_slot").alias("lo"),
-        F.max("_slot").alias("hi"),
-        F.max_by(value, filled_slot).alias("last_value"),
-    )
-    edges = (
-        runs.groupBy("_part")
-        .agg(
-            F.min_by("_key", "lo").alias("first_key"),
-            F.max_by(F.struct("_key", "last_value"), "hi").alias("tail"),
-            F.count("*").alias("runs"),
-        )
-        .orderBy("_part")
-        .collect()
-    )
+    spark = df.sparkSession
+    ship_package(spark)
+    # nested keys are compared as text; numbered names keep clear of the frame's own
+    names = [f"_key{i}" for i in range(len(keys))]
+    flat = [F.to_json(F.struct(ref(k))) if isinstance(df.schema[k].dataType, (T.StructType, T.ArrayType, T.MapType)) else ref(k) for k in keys]
+    ranged = df.withColumns(dict(zip(names, flat))).repartitionByRange(*[ref(k) for k in keys], *ordering).sortWithinPartitions(*[ref(k) for k in keys], *ordering)
+    added = [T.StructField("_part", T.LongType()), T.StructField("_slot", T.LongType()), T.StructField("_open", T.BooleanType())]
+    placed = materialize(ranged.mapInArrow(lambda it: _fill_task(it, names, column), T.StructType([*ranged.schema.fields, *added])))
+    key = F.struct(*[F.col(k) for k in names]) if keys else F.struct(F.lit(0).alias("all"))
+    tail = F.struct(key.alias("key"), ref(column).alias("value"), F.col("_open").alias("open"))
+    edges = placed.groupBy("_part").agg(F.min_by(key, "_slot").alias("first"), F.max_by(tail, "_slot").alias("tail")).orderBy("_part").collect()
     carries, held_key, held = [], None, None
     for edge in edges:
-        first, last = edge["first_key"], edge["tail"]["_key"]
-        if held is not None and held_key == first:
-            carries.append((edge["_part"], first, held))
-        tail = edge["tail"]["last_value"]
-        if tail is None and edge["runs"] == 1 and held_key == last:
-            continue
-        held_key, held = last, tail
-    schema = T.StructType(
-        [
-            T.StructField("_part", T.LongType()),
-            T.StructField("_carry_key", placed.schema["_key"].dataType),
-            T.StructField("_carry", df.schema[column].dataType),
-        ]
-    )
-    table = df.sparkSession.createDataFrame(carries, schema)
-    within = (
-        Window.partitionBy("_part", "_key")
-        .orderBy("_slot")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    local = F.last(value, ignorenulls=True).over(within)
-    carried = F.when(F.col("_key").eqNullSafe(F.col("_carry_key")), F.col("_carry"))
-    joined = placed.withColumn("_local", local).join(F.broadcast(table), "_part", "left")
-    return joined.select(
-        *[
-            F.coalesce("_local", carried).alias(c) if c == column else F.col(quoted(c))
-            for c in df.columns
-        ]
-    )
+        if held is not None and held_key == edge["first"]:
+            carries.append((edge["_part"], held))
+        if edge["tail"]["open"] and held_key == edge["tail"]["key"]:
+            continue  # a task without values of its only key passes on what it got
+        held_key, held = edge["tail"]["key"], edge["tail"]["value"]
+    schema = T.StructType([T.StructField("_from", T.LongType()), T.StructField("_carry", df.schema[column].dataType)])
+    table = spark.createDataFrame(carries, schema)  # at most one row per task
+    joined = placed.join(F.broadcast(table), F.col("_part") == F.col("_from"), "left")
+    carried = F.when(F.col("_open"), F.col("_carry"))
+    return joined.select(*[F.coalesce(ref(c), carried).alias(c) if c == column else F.col(quoted(c)) for c in df.columns])

@@ -2,6 +2,8 @@
 
 from itertools import combinations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tidemill.operators import aggregate, charts, kpi
@@ -227,6 +229,23 @@ def _top_pair(t, spark):
     return charts.strongest_pair(t("lineitem"), LINE_NUMBERS)
 
 
+# the pairs among the first three numeric columns, with their points
+@query(
+    "scatter_pair_points",
+    " UNION ALL ".join(
+        f"SELECT '{a}' AS x_name, '{b}' AS y_name, {a}::DOUBLE AS x, {b}::DOUBLE AS y FROM part"
+        for a, b in (("p_partkey", "p_size"), ("p_partkey", "p_retailprice"), ("p_size", "p_retailprice"))
+    ),
+)
+def _scatter_pairs(t, spark):
+    part = t("part")
+    points = [
+        charts.scatter_data(part, a, b).select(F.lit(a).alias("x_name"), F.lit(b).alias("y_name"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+        for a, b in charts.scatter_pairs(part, 3)
+    ]
+    return reduce(lambda a, b: a.unionByName(b), points)
+
+
 @query(
     "correlated_pairs",
     f"""SELECT column_a, column_b, round(r, 4) AS r, CASE WHEN abs(r) > 0.7 THEN 'strong' ELSE 'moderate' END AS strength,

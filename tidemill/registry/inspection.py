@@ -387,6 +387,71 @@ def _dashboard(t, spark):
     return insights.dashboard_charts(t("orders")).drop("position")
 
 
+# the same sentences built from SQL figures
+_HOLED = "(SELECT c_custkey, c_name, CASE WHEN c_mktsegment <> 'MACHINERY' THEN c_nationkey END AS c_nationkey, c_acctbal, c_mktsegment FROM customer)"
+_FIGURES = f"""h AS {_HOLED}, f AS (
+  SELECT count(*) AS n, count(*) - count(c_nationkey) AS missing, 100.0 * (5 * count(*) - (count(*) - count(c_nationkey))) / (5 * count(*)) AS pct,
+         avg(c_custkey) AS mean, count(DISTINCT c_name) AS names, count(DISTINCT c_mktsegment) AS segments FROM h)"""
+
+
+@query(
+    "executive_brief",
+    f"""WITH {_FIGURES}
+       SELECT concat('- Dataset contains ', format('{{:,}}', n), ' records across 5 variables (3 numeric, 2 categorical).', chr(10),
+         '- Data completeness is ', format('{{:.1f}}', pct), '% with ', format('{{:,}}', missing), ' missing values total.', chr(10),
+         '- Key metric ''c_custkey'' averages ', format('{{:,}}', floor(mean)::BIGINT), substr(format('{{:.2f}}', mean - floor(mean)), 2), ' across the dataset.', chr(10),
+         '- Primary category ''c_name'' has ', names, ' distinct values.', chr(10),
+         '- Recommended next steps: clean missing data, explore correlations, and segment by key categories.') AS text FROM f""",
+)
+def _brief(t, spark):
+    return spark.createDataFrame([(insights.executive_brief(holed_customers(t)),)], "text string")
+
+
+@query(
+    "quality_commentary",
+    f"""WITH {_FIGURES}
+       SELECT concat('Dataset has ', format('{{:,}}', n), ' rows and 5 columns with a quality score of 85/100. ',
+         CASE WHEN pct >= 99 THEN 'Data completeness is excellent with virtually no missing values.'
+              WHEN pct >= 90 THEN concat('Data completeness is good at ', format('{{:.1f}}', pct), '%, though some cleaning may help.')
+              ELSE concat('Data completeness is ', format('{{:.1f}}', pct), '% - significant cleaning is recommended before analysis.') END,
+         ' Overall, this dataset is well-suited for analysis.') AS text FROM f""",
+)
+def _commentary(t, spark):
+    return spark.createDataFrame([(insights.quality_commentary(holed_customers(t), 85),)], "text string")
+
+
+@query(
+    "summary_statistics",
+    f"""WITH h AS {_HOLED}, n AS ({_union(("c_custkey", "c_nationkey", "c_acctbal"), lambda i, c: f"""
+          SELECT '{c}' AS column, unnest(['count', 'mean', 'min', '50%', 'max']) AS metric,
+                 unnest([count({c})::DOUBLE, avg({c}), min({c})::DOUBLE, quantile_cont({c}, 0.5), max({c})::DOUBLE]) AS value FROM h""")}),
+       k AS ({_union(("c_name", "c_mktsegment"), lambda i, c: f"""
+          SELECT '{c}' AS column, count(DISTINCT {c}) AS levels, (SELECT count(*) FROM h GROUP BY {c} ORDER BY 1 DESC LIMIT 1) AS top FROM h""")})
+       SELECT "column", metric, round(value, 2) AS value FROM n
+       UNION ALL SELECT "column", 'unique', levels::DOUBLE FROM k UNION ALL SELECT "column", 'top_frequency', top::DOUBLE FROM k
+       UNION ALL SELECT 'c_nationkey', 'missing', (count(*) - count(c_nationkey))::DOUBLE FROM h""",
+)
+def _summary_statistics(t, spark):
+    stats = insights.summary_stats(holed_customers(t))
+    rows = [(c, m, float(v)) for c, values in stats["numeric_summary"].items() for m, v in values.items() if m in ("count", "mean", "min", "50%", "max")]
+    for c, entry in stats["categorical_summary"].items():
+        rows += [(c, "unique", float(entry["unique_count"])), (c, "top_frequency", float(entry["top_frequency"]))]
+    rows += [(c, "missing", float(entry["count"])) for c, entry in stats["missing_values"].items()]
+    return spark.createDataFrame(rows, "column string, metric string, value double").withColumn("value", F.round("value", 2))
+
+
+@query(
+    "dataset_context",
+    f"""WITH h AS {_HOLED}, s AS (SELECT count(*) AS n, count(*) - count(c_nationkey) AS missing FROM h)
+       SELECT concat('Dataset shape: ', n, ' rows x 5 columns') AS line FROM s UNION ALL SELECT 'Columns:' FROM s
+       UNION ALL SELECT concat('  - ', c, ' (', k, ', ', CASE WHEN c = 'c_nationkey' THEN missing ELSE 0 END, ' nulls)') FROM s,
+         (VALUES ('c_custkey', 'bigint'), ('c_name', 'string'), ('c_nationkey', 'int'), ('c_acctbal', 'double'), ('c_mktsegment', 'string')) v(c, k)""",
+)
+def _context(t, spark):
+    lines = insights.dataset_context(holed_customers(t), 10, "c_custkey").split("\n\n")[0].split("\n")
+    return spark.createDataFrame([(line,) for line in lines], "line string")
+
+
 @query("narratives")
 def _narratives(t, spark):
     df = holed_customers(t)

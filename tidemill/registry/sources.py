@@ -127,3 +127,25 @@ def _spans(t, spark):
 )
 def _truncate(t, spark):
     return corpus.truncate_for_context(t("documents").select("doc_id", "text"))
+
+
+# a small table as a user would paste it
+@query("pasted_table", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def _pasted(t, spark):
+    line = F.concat_ws("\t", "n_nationkey", "n_name", "n_regionkey")
+    rows = t("nation").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text")).first()["text"]
+    found, error = files.parse_pasted_csv(spark, "n_nationkey\tn_name\tn_regionkey\n" + rows)
+    if error:
+        raise ValueError(error)
+    return found
+
+
+@query(
+    "log_search_all",
+    """SELECT e.event_id AS id, c.c_name AS email, e.event_type AS action FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey
+       WHERE e.event_type LIKE '%c%' AND lower(coalesce(c.c_name, '')) LIKE '%7%'""",
+)
+def _search_all(t, spark):
+    log = t("events").select(F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("action"), F.col("ts").alias("created_at"))
+    users = t("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("email"))
+    return logs.activity(log, users, "7", "C", limit=None).select("id", "email", "action")

@@ -36,9 +36,10 @@ def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def newest(log: DataFrame, limit: int = LISTED, created: str = "created_at", tie: str = "id") -> DataFrame:
-    """The newest entries first."""
-    return log.orderBy(ref(created).desc(), ref(tie)).limit(limit)
+def newest(log: DataFrame, limit: int | None = LISTED, created: str = "created_at", tie: str = "id") -> DataFrame:
+    """The newest entries first; all of them with ``limit=None``."""
+    listed = log.orderBy(ref(created).desc(), ref(tie))
+    return listed if limit is None else listed.limit(limit)
 
 
 def activity(
@@ -46,17 +47,22 @@ def activity(
     users: DataFrame,
     user_filter: str = "",
     action_filter: str = "",
-    limit: int = ACTIVITY_LISTED,
+    limit: int | None = ACTIVITY_LISTED,
 ) -> DataFrame:
     """The newest entries with the user's email, then filtered by text in email and action.
 
-    The limit comes first, so a filter searches the newest entries only.
+    The limit comes first, so a filter searches the newest entries only; without a limit it searches
+    the whole log, and the two tables are joined as their sizes allow.
     """
-    latest = materialize(newest(log, limit))
-    wanted = latest.select(F.col("user_id").alias("_user")).distinct()
-    # both broadcasts hold at most `limit` rows; the user table is only filtered, never shuffled
-    emails = users.select(F.col("id").alias("_user"), "email").join(F.broadcast(wanted), "_user")
-    found = latest.join(F.broadcast(emails), latest["user_id"] == emails["_user"], "left")
+    emails = users.select(F.col("id").alias("_user"), "email")
+    if limit is None:
+        latest = log
+    else:
+        latest = materialize(newest(log, limit))
+        wanted = latest.select(F.col("user_id").alias("_user")).distinct()
+        # both broadcasts hold at most `limit` rows; the user table is only filtered, never shuffled
+        emails = F.broadcast(emails.join(F.broadcast(wanted), "_user"))
+    found = latest.join(emails, F.col("user_id") == F.col("_user"), "left")
     if user_filter:
         found = found.where(F.coalesce(F.lower("email"), F.lit("")).contains(user_filter.lower()))
     if action_filter:
