@@ -1,5 +1,7 @@
 """The routes for tables too big or too uneven for the plain operator give the same results."""
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -287,3 +289,20 @@ def test_carry_fill_shuffles_once_and_crosses_tasks(spark, backward):
     finally:
         roworder.materialize = keep
     assert planned[0].count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning" not in planned[0] + after and "Window" not in planned[0] + after
+
+
+def test_most_and_least_common_long_texts(spark):
+    begin = "The same beginning of every text, longer than any digest is: " + "-" * 20
+    counts = {begin + "b": 5, begin + "a": 5, begin: 5, begin + "z" * 900: 1, begin + "y": 1, "short": 5, "zz": 2}
+    rows = [(v, n, "k") for v, n in counts.items() for _ in range(n)] + [(None, 0, None)]
+    df = spark.createDataFrame(rows, "s string, n int, k string").repartition(4)
+    plain = Counter(r[0] for r in rows if r[0] is not None)
+    found = {r["column"]: r for r in value_census(df).collect()}
+    top = min((v for v, n in plain.items() if n == 5))
+    bottom = max((v for v, n in plain.items() if n == 1))
+    assert (found["s"]["top_value"], found["s"]["top_count"]) == (top, 5) and top == begin
+    assert (found["s"]["bottom_value"], found["s"]["bottom_count"], found["s"]["distinct"]) == (bottom, 1, 7)
+    assert found["k"]["top_value"] == "k" and found["n"]["distinct"] == 4
+    unique = spark.range(500).select(F.concat(F.lit("x" * 80), F.lpad(F.col("id").cast("string"), 4, "0")).alias("s"))
+    row = value_census(unique).first()
+    assert row["top_value"] == "x" * 80 + "0000" and row["bottom_value"] == "x" * 80 + "0499"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemill.functions.scalars import full_sum, sample_kurtosis, sample_skewness
 from tidemill.functions.types import (
+    DIGEST_LENGTH,
     flat_columns,
     grouping_key,
     is_numeric,
@@ -16,6 +17,7 @@ from tidemill.functions.types import (
     require_operand,
     text_columns,
 )
+from tidemill.plans.hotkeys import small_side
 from tidemill.plans.quantiles import column_quantiles, grouped_quantiles
 from tidemill.plans.session import materialize
 
@@ -171,21 +173,28 @@ def value_census(df: DataFrame, columns: list[str] | None = None, whole_values:
     """Distinct count, most and least frequent value of each column, from one shuffle.
 
     Values are counted under (column, value), combined before the shuffle, so a dominant
-    value costs no more than a rare one.  Without ``whole_values`` long texts are counted by
-    digest: enough for distinct counts, not for showing the values.
+    value costs no more than a rare one.  Long texts are counted by digest and compared by their
+    beginning; whole texts are only fetched for the winners.  Without ``whole_values`` long texts
+    appear as digests: enough for distinct counts, not for showing the values.
     """
     columns = flat_columns(df) if columns is None else columns
     if not columns:
         return df.sparkSession.createDataFrame(
             [], "column string, distinct long, top_value string, top_count long, bottom_value string, bottom_count long"
         )
-    shown = {c: ref(c) if whole_values and is_text(df.schema[c].dataType) else grouping_key(df, c) for c in columns}
-    pairs = [F.struct(F.lit(i).alias("_i"), shown[c].cast("string").alias("_v")) for i, c in enumerate(columns)]
+    pairs = [
+        F.struct(
+            F.lit(i).alias("_i"), grouping_key(df, c).cast("string").alias("_v"),
+            (F.left(ref(c), F.lit(DIGEST_LENGTH)) if is_text(df.schema[c].dataType) and whole_values else F.lit(None).cast("string")).alias("_start"),
+        )
+        for i, c in enumerate(columns)
+    ]
     counted = (
         df.select(F.inline(F.array(*pairs)))
         .where("_v is not null")
-        .groupBy("_i", "_v")
+        .groupBy("_i", "_v", "_start")
         .agg(F.count("*").alias("_n"))
+        .withColumn("_v", F.coalesce("_start", "_v"))
     )
     # smallest value among equally frequent ones for the top, largest for the bottom
     per_column = counted.groupBy("_i").agg(
@@ -193,19 +202,46 @@ def value_census(df: DataFrame, columns: list[str] | None = None, whole_values:
         F.min(F.struct((-F.col("_n")).alias("m"), F.col("_v").alias("v"))).alias("top"),
         F.max(F.struct((-F.col("_n")).alias("m"), F.col("_v").alias("v"))).alias("bottom"),
     )
+    texts = [i for i, c in enumerate(columns) if is_text(df.schema[c].dataType)] if whole_values else []
+    whole = []
+    if texts:
+        per_column = materialize(per_column)  # one row per column
+        for row in per_column.where(F.col("_i").isin(texts)).collect():
+            whole += [(row["_i"], side, -row[side]["m"], row[side]["v"]) for side in ("top", "bottom") if len(row[side]["v"]) == DIGEST_LENGTH]
     names = df.sparkSession.createDataFrame(list(enumerate(columns)), "_i int, column string")
-    return (
-        F.broadcast(names)  # one row per column
-        .join(per_column, "_i", "left")
-        .orderBy("_i")
-        .select(
-            "column",
-            F.coalesce("distinct", F.lit(0)).alias("distinct"),
-            F.col("top.v").alias("top_value"),
-            (-F.col("top.m")).alias("top_count"),
-            F.col("bottom.v").alias("bottom_value"),
-            (-F.col("bottom.m")).alias("bottom_count"),
+    joined = F.broadcast(names).join(per_column, "_i", "left")  # one row per column
+    top, bottom = F.col("top.v"), F.col("bottom.v")
+    if whole:
+        joined = joined.join(_whole_texts(df, columns, whole), "_i", "left")
+        top, bottom = F.coalesce("top_text", top), F.coalesce("bottom_text", bottom)
+    return joined.orderBy("_i").select(
+        "column",
+        F.coalesce("distinct", F.lit(0)).alias("distinct"),
+        top.alias("top_value"),
+        (-F.col("top.m")).alias("top_count"),
+        bottom.alias("bottom_value"),
+        (-F.col("bottom.m")).alias("bottom_count"),
+    )
+
+
+def _whole_texts(df: DataFrame, columns: list[str], wanted: list[tuple[int, str, int, str]]) -> DataFrame:
+    """_i, top_text, bottom_text of winners known by (column, side, count, beginning).
+
+    Texts that begin so are counted by digest; those with the wanted count are few unless most texts
+    share their beginning, and only they are fetched, one per task and column.
+    """
+    begun = df.select(F.inline(F.array(*[
+        F.struct(
+            F.lit(i).alias("_i"), F.lit(side).alias("_side"), F.lit(n).cast("long").alias("_wanted"),
+            F.when(F.left(ref(columns[i]), F.lit(DIGEST_LENGTH)) == start, ref(columns[i])).alias("_text"),
         )
+        for i, side, n, start in wanted
+    ]))).where("_text is not null").withColumn("_digest", F.sha2("_text", 256))
+    winners = begun.groupBy("_i", "_side", "_wanted", "_digest").agg(F.count("*").alias("_n")).where("_n = _wanted")
+    found = begun.join(small_side(winners.select("_i", "_side", "_digest")), ["_i", "_side", "_digest"], "left_semi")
+    return found.groupBy("_i").agg(
+        F.min(F.when(F.col("_side") == "top", F.col("_text"))).alias("top_text"),
+        F.max(F.when(F.col("_side") == "bottom", F.col("_text"))).alias("bottom_text"),
     )
 
 
