@@ -144,34 +144,39 @@ class ToxicityModel:
         self.slot, self.weight, self.intercept, self.sizes, self.bits = slot, weight, intercept, sizes, bits
 
     @classmethod
-    def fit(cls, rows: DataFrame, sizes=SIZES, bits: int = BITS, ridge: float = RIDGE) -> ToxicityModel:
-        """Train on rows (toxic 0/1, text).  Without both classes every score is 0.5."""
+    def fit(
+        cls, rows: DataFrame, sizes=SIZES, bits: int = BITS, ridge: float = RIDGE,
+        support: int = SUPPORT, sigmas: float = SIGMAS, features: int | None = FEATURES,
+    ) -> ToxicityModel:
+        """Train on rows (toxic 0/1, text).  Without both classes every score is 0.5.
+
+        Features are the n-grams of at least ``support`` training texts whose presence is at least
+        ``sigmas`` from chance, the surest ``features`` of them; None lifts that limit.
+        """
         spark = rows.sparkSession
         prepare(spark)
         rows = stored(rows, "labelled")
         number = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-        slot = np.full(1 << bits, -1, np.int16)
+        slot = np.full(1 << bits, -1, np.int16 if features is not None and features < 1 << 15 else np.int32)
         if not number.get(0) or not number.get(1):
             return cls(slot, np.zeros(0), 0.0, sizes, bits)
         counted = stored(
             rows.mapInArrow(lambda it: _counts(it, sizes, bits), "gram long, toxic long, clean long")
             .groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-            .where(F.col("toxic") + F.col("clean") >= SUPPORT),
+            .where(F.col("toxic") + F.col("clean") >= support),
             "grams",
         )
         whole = counted.agg(F.sum(F.col("toxic") + 1).alias("p"), F.sum(F.col("clean") + 1).alias("q")).first()
         if whole["p"] is None:
             return cls(slot, np.zeros(0), 0.0, sizes, bits)
         ratio = F.log((F.col("toxic") + 1) / F.lit(float(whole["p"]))) - F.log((F.col("clean") + 1) / F.lit(float(whole["q"])))
-        sigmas = _sigmas(F.col("toxic"), F.col("clean"), number[1], number[0])
-        best = (
-            counted.select("gram", ratio.alias("ratio"), sigmas.alias("sigmas"))
-            .where(F.col("sigmas") >= SIGMAS).orderBy(F.desc("sigmas"), "gram").limit(FEATURES).collect()
-        )
+        away = _sigmas(F.col("toxic"), F.col("clean"), number[1], number[0])
+        sure = counted.select("gram", ratio.alias("ratio"), away.alias("sigmas")).where(F.col("sigmas") >= sigmas).orderBy(F.desc("sigmas"), "gram")
+        best = (sure if features is None else sure.limit(features)).collect()
         if not best:
             return cls(slot, np.zeros(0), 0.0, sizes, bits)
         ratios = np.array([r["ratio"] for r in best])
-        slot[[r["gram"] for r in best]] = np.arange(len(best), dtype=np.int16)
+        slot[[r["gram"] for r in best]] = np.arange(len(best), dtype=slot.dtype)
         sent = spark.sparkContext.broadcast(slot)
         found = rows.mapInArrow(lambda it: _present(it, sizes, bits, sent), "toxic int, columns array<long>").collect()
         x = np.zeros((len(found), len(best)))
