@@ -128,3 +128,19 @@ def test_rowwise_steps_on_a_stream(spark, tmp_path):
     assert found == {1: ("***REDACTED***", 0), 2: (None, 1)}
     with pytest.raises(ValueError):
         apply_rowwise(stream, [("remove_duplicates", {})])
+
+
+def test_flags_and_date_parts_on_a_stream(spark, tmp_path):
+    source = str(tmp_path / "moments")
+    spark.createDataFrame([(1, "2024-02-29 10:00:00"), (2, None), (3, "no date")], "i int, at string").write.parquet(source)
+    stream = spark.readStream.schema("i int, at string").parquet(source)
+    steps = [("flag_missing", {"columns": ["at"]}), ("extract_date_parts", {"column": "at"})]
+    running = apply_rowwise(stream, steps).writeStream.format("memory").queryName("moment_parts").start()
+    running.processAllAvailable()
+    running.stop()
+    found = {r["i"]: r for r in spark.table("moment_parts").collect()}
+    assert (found[1]["at_is_missing"], found[1]["at_year"], found[1]["at_weekday"]) == (False, 2024, "Thursday")
+    assert found[2]["at_is_missing"] and found[3]["at_year"] is None
+    for step in (("flag_missing", {}), ("extract_date_parts", {"column": "i"})):
+        with pytest.raises(ValueError):
+            apply_rowwise(stream, [step])

@@ -255,6 +255,26 @@ def _correlated(t, spark):
     return charts.correlated_pairs(t("lineitem"), LINE_NUMBERS)
 
 
+_NET = ("l_extendedprice", "net", "taxed", "left_over", "l_quantity")
+
+
+# prices before and after discount and tax go together, what is left over goes against them
+@query(
+    "correlated_prices",
+    "WITH l AS (SELECT l_extendedprice, l_extendedprice * (1 - l_discount) AS net, l_extendedprice * (1 + l_tax) AS taxed, "
+    "100000 - l_extendedprice AS left_over, l_quantity FROM lineitem), p AS ("
+    + " UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, corr({a}, {b}) AS r FROM l" for a, b in combinations(_NET, 2))
+    + """) SELECT column_a, column_b, round(r, 4) AS r, CASE WHEN abs(r) > 0.7 THEN 'strong' ELSE 'moderate' END AS strength,
+        CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction FROM p WHERE abs(r) > 0.5""",
+)
+def _correlated_prices(t, spark):
+    price = F.col("l_extendedprice")
+    lines = t("lineitem").select(
+        price, (price * (1 - F.col("l_discount"))).alias("net"), (price * (1 + F.col("l_tax"))).alias("taxed"), (100000 - price).alias("left_over"), "l_quantity"
+    )
+    return charts.correlated_pairs(lines)
+
+
 @query(
     "histogram",
     """WITH b AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem),
