@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemill.llm.common import ordered, prepare, running_totals, stored, text_slices
-from tidemill.llm.tokens import added_tokens
+from tidemill.llm.tokens import CACHE, added_tokens
 
 WINDOW = 2048
 #: Tokens that a source is served at a time.
@@ -28,10 +28,10 @@ MOST_QUEUES = 4096
 END = 1
 
 
-def _encode(batches: Iterator[pa.RecordBatch], ranks: str, pattern: str, added: Mapping[str, int] | None, end: int) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], ranks: str, pattern: str, added: Mapping[str, int] | None, end: int, cache: int) -> Iterator[pa.RecordBatch]:
     from tidemill.llm.tokens import encoder
 
-    encode = encoder(ranks, pattern, added).encode
+    encode = encoder(ranks, pattern, added, cache).encode
     last = np.array([end], "<u4").tobytes()
     for batch in batches:
         for piece in text_slices(batch, "text"):
@@ -116,10 +116,12 @@ def pack(
     docs: DataFrame, vocabulary: str, pattern: str, weights: DataFrame | None = None,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     window: int = WINDOW, grain: int = GRAIN, end: int = END, most_queues: int = MOST_QUEUES, added: Mapping[str, int] | None = None,
+    cache: int = CACHE,
 ) -> DataFrame:
     """Pieces of sequences: doc_id, start, length, doc_tokens, sequence_id, offset, ids.
 
-    ``vocabulary`` names a file of token ranks, ``added`` strings that are one id each.  ``weights`` (source, weight) are the target token
+    ``vocabulary`` names a file of token ranks, ``added`` strings that are one id each,
+    and ``cache`` is how many word parts a Python worker keeps encoded.  ``weights`` (source, weight) are the target token
     proportions; by default each source's own share, so that every window mirrors the whole and all
     queues run dry together.  A source with a positive weight earns weight / sum of weights of a
     window per round; when a queue is empty the others fill the windows.  Sequences are full but
@@ -131,7 +133,7 @@ def pack(
     lead = f"doc_id {kinds['doc_id']}, source {kinds['source']}"
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
     encoded = texts.mapInArrow(
-        lambda it: _encode(it, vocabulary, pattern, added, end), f"{lead}, ids binary, doc_tokens long"
+        lambda it: _encode(it, vocabulary, pattern, added, end, cache), f"{lead}, ids binary, doc_tokens long"
     )
     streams = running_totals(encoded, "doc_tokens", "source", "tokens")
     totals = streams.groupBy("source").agg(F.sum("doc_tokens").alias("tokens"))

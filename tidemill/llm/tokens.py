@@ -18,8 +18,8 @@ from collections.abc import Mapping
 import numpy as np
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Cached parts per worker and their longest length.
-CACHE, CACHED_LENGTH = 200_000, 40
+#: Cached parts per worker, unless asked otherwise (some 200 bytes each, kept as long as the worker lives), and their longest length.
+CACHE, CACHED_LENGTH = 500_000, 40
 
 
 class _Irregular(Exception):
@@ -54,9 +54,10 @@ def added_tokens(vocabulary_path: str) -> dict[str, int]:
 class Encoder:
     """``encode(text)`` gives little-endian unsigned 32-bit ids; ``added`` strings are single ids."""
 
-    def __init__(self, ranks_path: str, pattern: str, added: Mapping[str, int] | None = None):
+    def __init__(self, ranks_path: str, pattern: str, added: Mapping[str, int] | None = None, cache: int = CACHE):
         import tiktoken
 
+        self.cache = cache
         self.added = {text: np.array([i], "<u4").tobytes() for text, i in (added or {}).items()}
         longest_first = sorted(self.added, key=len, reverse=True)
         self.split = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")").split if self.added else None
@@ -75,7 +76,7 @@ class Encoder:
         """The ids of a text without added tokens."""
         if not text:
             return b""
-        if len(self.first) + len(self.rest) > CACHE:
+        if len(self.first) + len(self.rest) > self.cache:
             self.first.clear()
             self.rest.clear()
         try:
@@ -89,9 +90,9 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(ranks_path: str, pattern: str, added: Mapping[str, int] | None = None) -> Encoder:
+def encoder(ranks_path: str, pattern: str, added: Mapping[str, int] | None = None, cache: int = CACHE) -> Encoder:
     """The worker's encoder, loaded once."""
-    key = (ranks_path, pattern, *sorted((added or {}).items()))
+    key = (ranks_path, pattern, cache, *sorted((added or {}).items()))
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(ranks_path, pattern, added)
+        _ENCODERS[key] = Encoder(ranks_path, pattern, added, cache)
     return _ENCODERS[key]
