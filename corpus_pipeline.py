@@ -38,8 +38,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences with checksums of their ids."""
-    return packing_digest(pack_documents(docs))
+    """Pieces of training sequences with checksums of their ids.
+
+    Workers live on for other stages, so they keep fewer encoded word parts than packing alone would.
+    """
+    return packing_digest(pack_documents(docs, cache=200_000))
 
 
 STAGES = [
