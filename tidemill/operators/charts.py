@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemill.functions.scalars import correlation
 from tidemill.functions.types import numeric_columns, quoted, ref, require_columns, require_operand
+from tidemill.plans.gram import BUILT_IN_COLUMNS, pair_correlation, pair_moments
 from tidemill.plans.hotkeys import small_side
 from tidemill.plans.quantiles import grouped_quantiles
 
@@ -15,8 +16,13 @@ HISTOGRAM_BINS = 30
 
 
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Pearson r of every unordered column pair, from one aggregation."""
+    """Pearson r of every unordered column pair, from one scan."""
     columns = numeric_columns(df) if columns is None else columns
+    if len(columns) > BUILT_IN_COLUMNS:
+        name = lambda place: F.element_at(F.array(*[F.lit(c) for c in columns]), F.col(place) + 1)
+        return pair_moments(df, [ref(c) for c in columns]).where("i < j").select(
+            "i", "j", name("i").alias("column_a"), name("j").alias("column_b"), pair_correlation().alias("r")
+        )
     cells = [
         F.struct(
             F.lit(i).alias("i"),
@@ -37,6 +43,13 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None, digits:
     columns = numeric_columns(df) if columns is None else columns
     if len(columns) < 2:
         return None
+    if len(columns) > BUILT_IN_COLUMNS:
+        r = F.when(F.col("i") < F.col("j"), F.round(pair_correlation(), digits)).when(F.col("m2_i") > 0, F.lit(1.0))
+        upper = pair_moments(df, [ref(c) for c in columns]).select("i", "j", r.alias("r"))
+        both = upper.select(F.inline(F.array(F.struct("i", "j", "r"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "r"))))
+        rows = both.groupBy("i").agg(*[F.max(F.when(F.col("j") == j, F.col("r"))).alias(c) for j, c in enumerate(columns)])
+        label = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("i") + 1).alias("column")
+        return rows.orderBy("i").select(label, *[ref(c) for c in columns])
     aggs = {(i, i): F.when(F.stddev_pop(ref(c).cast("double")) > 0, F.lit(1.0)) for i, c in enumerate(columns)}
     for (i, a), (j, b) in combinations(enumerate(columns), 2):
         aggs[i, j] = F.round(correlation(ref(a), ref(b)), digits)

@@ -10,6 +10,7 @@ from pyspark.storagelevel import StorageLevel
 
 from tidemill.functions import wording
 from tidemill.functions.types import is_numeric, ref, require_columns
+from tidemill.plans.gram import BUILT_IN_COLUMNS, pair_moments
 from tidemill.plans.kmeans import kmeans
 
 RESTARTS = 10
@@ -30,6 +31,25 @@ def _error(df: DataFrame, text: str) -> dict[str, DataFrame]:
     return {"error": df.sparkSession.createDataFrame([(text,)], "error string")}
 
 
+def _moments(rows: DataFrame, x: list) -> tuple[int, list[float], np.ndarray]:
+    """Rows, means and population covariances of complete rows; as many numbers as column pairs reach the driver."""
+    size = len(x)
+    if size > BUILT_IN_COLUMNS:
+        spread, means, n = np.zeros((size, size)), [None] * size, 0
+        for r in pair_moments(rows, x).collect():
+            i, j, n = r["i"], r["j"], int(r["n"])
+            spread[i, j] = spread[j, i] = np.nan if r["odd"] else r["c"] / n if n else 0.0
+            means[i], means[j] = r["mean_i"], r["mean_j"]
+        return n, means, spread
+    row = rows.agg(
+        F.count("*").alias("n"),
+        *[F.avg(x[i]).alias(f"m{i}") for i in range(size)],
+        *[F.covar_pop(x[i], x[j]).alias(f"s{i}_{j}") for i in range(size) for j in range(i, size)],
+    ).first()
+    spread = [[row[f"s{min(i, j)}_{max(i, j)}"] for j in range(size)] for i in range(size)]
+    return row["n"], [row[f"m{i}"] for i in range(size)], np.array(spread)
+
+
 def run_linear_regression(df: DataFrame, target: str, features: list[str]) -> dict[str, DataFrame]:
     """Least squares with intercept on complete rows: ``coefficients`` and ``summary``.
 
@@ -39,16 +59,9 @@ def run_linear_regression(df: DataFrame, target: str, features: list[str]) -> di
     rows = _complete(df, [*features, target])
     p = len(features)
     x = [F.col(f"c{i}").cast("double") for i in range(p + 1)]
-    row = rows.agg(
-        F.count("*").alias("n"),
-        *[F.avg(x[i]).alias(f"m{i}") for i in range(p + 1)],
-        *[F.covar_pop(x[i], x[j]).alias(f"s{i}_{j}") for i in range(p + 1) for j in range(i, p + 1)],
-    ).first()
-    n = row["n"]
+    n, means, spread = _moments(rows, x)
     if n < p + 2:
         return _error(df, wording.OLS_SMALL)
-    spread = np.array([[row[f"s{min(i, j)}_{max(i, j)}"] for j in range(p + 1)] for i in range(p + 1)])
-    means = [row[f"m{i}"] for i in range(p + 1)]
     # unit scale, so that the rank decision does not depend on the columns' units
     scale = np.sqrt(np.diag(spread)[:p])
     scale[scale == 0] = 1.0

@@ -11,6 +11,7 @@ from tidemill.functions.scalars import number_like, share_pct
 from tidemill.functions.types import grouping_key, numeric_columns, ref, text_columns
 from tidemill.operators.aggregate import value_census
 from tidemill.operators.clean import outlier_rows
+from tidemill.plans.firstcells import first_cells
 from tidemill.plans.quantiles import fences
 
 VERY_LARGE_ROWS = 1_000_000
@@ -105,18 +106,11 @@ def column_profiles(df: DataFrame, samples: int = 5, order_by=None) -> DataFrame
 
 
 def column_samples(df: DataFrame, n: int, order_by=None) -> DataFrame:
-    """The first ``n`` non-null values per column as text; each column is a bounded top-n scan."""
+    """The first ``n`` non-null values per column as text, all columns from one scan."""
     orders = [] if order_by is None else ([order_by] if isinstance(order_by, str) else list(order_by))
-    parts = []
-    for c in df.columns:
-        present = df.where(ref(c).isNotNull())
-        first = present.orderBy(*[ref(o) for o in orders]) if orders else present
-        rank = F.struct(*[ref(o) for o in orders]) if orders else F.lit(0)
-        picked = first.select(F.lit(c).alias("column"), rank.alias("k"), ref(c).cast("string").alias("v")).limit(n)
-        # at most n rows reach this aggregate
-        parts.append(picked.groupBy("column").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("s")))
-    named = [p.select("column", F.transform("s", lambda s: s["v"]).alias("sample_values")) for p in parts]
-    return reduce(lambda a, b: a.unionByName(b), named)
+    # at most n rows per column reach this aggregate
+    ranked = first_cells(df, n, orders).groupBy("column").agg(F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("s"))
+    return ranked.select("column", F.transform("s", lambda s: s["value"]).alias("sample_values"))
 
 
 def quality_report(df: DataFrame) -> DataFrame:
