@@ -382,11 +382,10 @@ def test_fingerprints_with_a_third_of_copies(spark):
 def test_licenses(docs, rows, empty):
     found = {(r["doc_id"], r["license_id"]): r for r in licenses.scan_licenses(docs).collect()}
     assert set(found) == {(12, "Apache-2.0")} and found[12, "Apache-2.0"]["containment"] == 1 and found[12, "Apache-2.0"]["first_word"] == 9
-    for name, text in licenses.TEMPLATES.items():
-        words = len(WORD.findall(text))
-        window = licenses.window_length(words)
-        similarity = math.ceil(0.75 * (words - 4)) / (window - 4 + (words - 4) - math.ceil(0.75 * (words - 4)))
-        assert window >= 2 * words and (1 - similarity) ** licenses.Templates(licenses.TEMPLATES).bands <= 1e-5, name
+    known = licenses.Templates(licenses.TEMPLATES | licenses.FULL_TEXTS)
+    for name, held in zip(known.names, known.sets):
+        half, shared = licenses.half_window(len(held)), math.ceil(0.75 * len(held))
+        assert half >= 1.25 * len(held) and (1 - shared / (2 * half + len(held) - shared)) ** known.bands <= 1e-5, name
     assert licenses.scan_licenses(empty).count() == 0 and licenses.scan_licenses(docs, {}).count() == 0
 
 
@@ -394,7 +393,7 @@ def test_licenses_in_other_punctuation(spark):
     """Short lines, other marks at word edges and comment prefixes, against containment by brute force."""
     rng = random.Random(8)
     strip = lambda w: re.sub("^[^0-9a-z]+|[^0-9a-z]+$", "", w.lower())
-    known = licenses.TEMPLATES | licenses.SHORT_TEMPLATES
+    known = licenses.TEMPLATES | licenses.FULL_TEXTS | licenses.SHORT_TEMPLATES
     data, planted = [], []
     for name, notice in known.items():
         bare = notice.rstrip(".:")
@@ -429,6 +428,43 @@ def test_licenses_in_other_punctuation(spark):
                 assert words[found[doc, name]["first_word"]] == strip(known[name].split()[0])
 
 
+def test_edited_licence_texts(spark):
+    """Whole licence texts with words replaced, added and left out, inside long texts: found by bands as by brute force."""
+    rng = random.Random(15)
+    strip = lambda w: re.sub("^[^0-9a-z]+|[^0-9a-z]+$", "", w.lower())
+    shingles = lambda words: {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    wanted = {n: shingles([strip(w) for w in t.split()]) for n, t in licenses.FULL_TEXTS.items()}
+    data, expected = [], {}
+    for name, text in licenses.FULL_TEXTS.items():
+        for edits in (0, 1, 2, 4, 6, 8, 12, 30):
+            for _ in range(4):
+                words = text.split()
+                for _ in range(edits):
+                    at = rng.randrange(len(words))
+                    words[at : at + rng.randrange(2)] = [f"w{rng.randrange(10**6)}"] * rng.randrange(2)
+                body = f"{_text(rng, rng.randrange(3000))} {' '.join(words)} {_text(rng, rng.randrange(300))}"
+                held = shingles([strip(w) for w in body.split() if strip(w)])
+                for n, known in wanted.items():
+                    if 100 * len(held & known) >= 75 * len(known):
+                        expected[len(data), n] = len(held & known) / len(known)
+                data.append((len(data), body))
+    found = {(r["doc_id"], r["license_id"]): r["containment"] for r in licenses.scan_licenses(spark.createDataFrame(data, "doc_id long, text string"), licenses.FULL_TEXTS).collect()}
+    assert found == pytest.approx(expected)
+    assert len(expected) > 80 and min(expected.values()) < 0.85 and len({d for d, _ in expected}) < len(data)
+
+
+def test_licence_windows_of_many_texts_and_levels():
+    """Windows never span texts, and every level's minima are those of the shingles themselves."""
+    rng = np.random.default_rng(2)
+    bounds = np.append(0, np.cumsum([0, 1, 37, 2, 0, 300, 5]))
+    hashes = rng.integers(0, 2**63, bounds[-1], dtype=np.uint64)
+    least = hashes
+    for half, first, doc, place in licenses._levels(bounds, [2, 64]):
+        least = np.minimum.reduceat(least, place)
+        assert (least == [hashes[f : min(f + half, bounds[d + 1])].min() for f, d in zip(first, doc)]).all()
+    assert half == 64
+
+
 def test_chat(spark):
     rng = random.Random(7)
     data = [(1, 0, "system", "Be brief."), (2, None, "user", None), (2, 0, None, "<|x <\\| \\ <|im_end|>"), (None, 1, "assistant", "a"), (None, 1, "assistant", "a")]

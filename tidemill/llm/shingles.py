@@ -7,6 +7,8 @@ the mixed hashes of its words in order.  Nothing loops over words or characters
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -151,18 +153,23 @@ def distinct_per_document(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.nd
     return hashes, np.searchsorted(owner, np.arange(len(bounds)))
 
 
-def minhash(hashes: np.ndarray, bounds: np.ndarray, count: int, seed: int = 1) -> np.ndarray:
-    """An (n, count) table of 32-bit minima, one column per multiply-add function; empty sets get 2**32 - 1."""
+def minima_columns(hashes: np.ndarray, count: int, seed: int = 1) -> Iterator[np.ndarray]:
+    """The hashes under each of the multiply-add functions of ``minhash``, one function at a time."""
     rng = np.random.default_rng(seed)
     a = rng.integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for k in range(count):
+        yield ((hashes * a[k] + b[k]) >> np.uint64(32)).astype(np.uint32)
+
+
+def minhash(hashes: np.ndarray, bounds: np.ndarray, count: int, seed: int = 1) -> np.ndarray:
+    """An (n, count) table of 32-bit minima, one column per multiply-add function; empty sets get 2**32 - 1."""
     n = len(bounds) - 1
     out = np.full((n, count), 0xFFFFFFFF, np.uint32)
     filled = np.flatnonzero(np.diff(bounds) > 0)
     if not len(filled):
         return out
     at = bounds[filled]
-    for k in range(count):
-        high = ((hashes * a[k] + b[k]) >> np.uint64(32)).astype(np.uint32)
+    for k, high in enumerate(minima_columns(hashes, count, seed)):
         out[filled, k] = np.minimum.reduceat(high, at)
     return out
