@@ -89,8 +89,10 @@ def test_near_dedup(docs, rows, empty):
     for i, r in enumerate(rows):
         ids = [rows[j][0] for j in range(len(rows)) if find(j) == find(i) and rows[j][0] is not None]
         expected[r[0], len(sets[i]), min(ids) if sets[i] and ids else r[0]] += 1
-    found = near_dedup.near_components(docs).collect()
-    assert Counter((f["doc_id"], f["n_shingles"], f["component_id"]) for f in found) == expected
+    # all components named by the broadcast, none, and those above the default share
+    for heavy in (10**6, 0, near_dedup.HEAVY):
+        found = near_dedup.near_components(docs, heavy=heavy).collect()
+        assert Counter((f["doc_id"], f["n_shingles"], f["component_id"]) for f in found) == expected
     kept = near_dedup.drop_near_copies(docs)
     assert kept.columns == docs.columns
     assert kept.count() == len({find(i) for i in range(len(rows)) if sets[i]}) + sum(not s for s in sets)

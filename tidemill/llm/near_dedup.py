@@ -36,6 +36,8 @@ LONGER = 512
 FILTER_BITS = 26
 #: A pair is dropped when its posterior chance of reaching the threshold is below this.
 MISS = 1e-5
+#: Components of more than 1 / HEAVY of all classes are named by a broadcast of their heads, at most HEAVY rows.
+HEAVY = 4096
 #: Members of a block when a bucket's remaining pairs are compared.
 BLOCK = 256
 
@@ -247,11 +249,11 @@ def _compare(
 class Search:
     """The parameters of one run and its steps."""
 
-    def __init__(self, shingle=SHINGLE, percent=PERCENT, bands=BANDS, rows=ROWS, signature=SIGNATURE, batch=BATCH, miss=MISS, block=BLOCK, longer=LONGER):
+    def __init__(self, shingle=SHINGLE, percent=PERCENT, bands=BANDS, rows=ROWS, signature=SIGNATURE, batch=BATCH, miss=MISS, block=BLOCK, longer=LONGER, heavy=HEAVY):
         if bands * rows > signature or signature % batch or longer % batch:
             raise ValueError("bands * rows must fit the signature, and batches must divide it")
         self.shingle, self.percent, self.bands, self.rows = shingle, percent, bands, rows
-        self.signature, self.batch, self.miss, self.block, self.longer = signature, batch, miss, block, longer
+        self.signature, self.batch, self.miss, self.block, self.longer, self.heavy = signature, batch, miss, block, longer, heavy
 
     def features(self, texts: DataFrame) -> DataFrame:
         """uid, doc_id, n_shingles, set digest and signature of rows (uid, doc_id, text)."""
@@ -387,12 +389,26 @@ class Search:
         return self.members(narrow, groups, labels)
 
     def members(self, narrow: DataFrame, groups: DataFrame, labels: DataFrame) -> DataFrame:
-        rooted = groups.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select(
-            "d1", "d2", "first_id", "cid", F.coalesce("root", "cid").alias("root")
+        """Every document with the head of its component; no task gets all classes of a heavy component."""
+        rooted = stored(
+            groups.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("d1", "d2", "first_id", "cid", "root"), "rooted"
         )
         order = F.struct(F.col("first_id").isNull().alias("no_id"), F.col("first_id").alias("id"), F.col("cid").alias("uid"))
-        heads = rooted.groupBy("root").agg(F.min(order).alias("head")).select("root", F.col("head.id").alias("head_id"), F.col("head.uid").alias("head_uid"))
-        named = rooted.join(heads, "root").select("d1", "d2", "head_id", "head_uid")
+        # combined before the shuffle, so a heavy component costs one row per task
+        heads = stored(
+            rooted.where("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("head"), F.count("*").alias("classes"))
+            .select("root", F.col("head.id").alias("head_id"), F.col("head.uid").alias("head_uid"), "classes"),
+            "heads",
+        )
+        is_heavy = F.col("classes") * self.heavy > rooted.count()
+        tagged = rooted.join(F.broadcast(heads.where(is_heavy).drop("classes")), "root", "left")
+        done = F.col("root").isNull() | F.col("head_uid").isNotNull()
+        apart = tagged.where(done).select(
+            "d1", "d2", F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("head_id")).alias("head_id"),
+            F.coalesce("head_uid", "cid").alias("head_uid"),
+        )
+        rest = tagged.where(~done).select("d1", "d2", "root").join(heads.where(~is_heavy).drop("classes"), "root")
+        named = apart.unionByName(rest.select("d1", "d2", "head_id", "head_uid"))
         linked = narrow.where("n_shingles > 0").join(named, ["d1", "d2"]).select(
             "uid", "doc_id", "n_shingles", F.col("head_id").alias("component_id"), (F.col("uid") == F.col("head_uid")).alias("kept")
         )
