@@ -213,6 +213,63 @@ def test_kmeans_finds_a_few_far_rows_among_many(spark, monkeypatch):
     assert run_kmeans_clustering(copies, ["x"], 5)["centers"].count() == 5  # more clusters than distinct rows
 
 
+def test_kmeans_of_a_small_table_takes_few_tasks_a_pass(spark):
+    """The shuffle before dealt the rows over 211 partitions: the passes over them follow their size."""
+    from pyspark.sql import functions as F
+    from tidemill.operators.models import run_kmeans_clustering
+
+    cells = [((F.xxhash64("id", F.lit(i)) % 1000) / 100 + F.col("id") % 3 * 20).alias(f"x{i}") for i in range(3)]
+    settings = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    context = spark.sparkContext
+    context.setJobGroup("few tasks", "k-means of 600 rows")
+    try:
+        found = run_kmeans_clustering(spark.range(600).select(*cells), ["x0", "x1", "x2"], 3)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    tracker = context.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("few tasks")]
+    wide = [j.jobId for j in jobs if sum(tracker.getStageInfo(s).numCompletedTasks for s in j.stageIds) >= 211]
+    assert len(jobs) > 8 and len(wide) <= 2  # at most the shuffles before the first pass, no pass
+    assert sorted(r["count"] for r in found["labels"].groupBy("cluster").count().collect()) == [200, 200, 200]
+
+
+def test_kmeans_merged_by_a_shuffle_equals_the_direct_way(spark, monkeypatch):
+    """Blocks of a few rows, many partitions, equal and odd rows; sums and draws as by plain numpy."""
+    from pyspark.sql import functions as F
+    from tidemill.operators.models import run_kmeans_clustering
+    from tidemill.plans import kmeans
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(m, 1, (150, 5)) for m in (0, 4, 9)] + [np.full((40, 5), 2.5)])
+    columns = [f"a.{i}" for i in range(5)]  # names that need quoting
+    cells = [tuple(map(float, r)) for r in x] + [(None, 1.0, 1.0, 1.0, 1.0), (float("nan"), 1.0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(cells, "struct<" + ", ".join(f"`{c}`: double" for c in columns) + ">")
+    first = run_kmeans_clustering(df, columns, 3)
+    z = (x - x.mean(0)) / x.std(0)
+    member = np.array([r["cluster"] for r in first["labels"].collect()])
+    assert len(member) == len(x) and first["summary"].first()["n_observations"] == len(x)
+    cost = sum(((z[member == c] - z[member == c].mean(0)) ** 2).sum() for c in range(3))
+    assert first["summary"].first()["inertia"] == pytest.approx(cost, rel=1e-6)
+    for name, value in (("DIRECT_ROWS", 0), ("PART", 64), ("PACKED", 32), ("BLOCK", 100)):
+        monkeypatch.setattr(kmeans, name, value)
+    again = run_kmeans_clustering(df.repartition(5), columns, 3)
+    assert first["centers"].collect() == again["centers"].collect()
+    assert again["labels"].where(F.col("`a.0`").isNull()).count() == 0
+
+
+def test_doubles_keep_their_value_as_sql_text(spark):
+    from tidemill.functions.types import double_sql
+
+    values = [0.1, -0.1, 1e-300, -5e-324, 1.7976931348623157e308, 3.0, 123456789.12345679, float("inf"), float("-inf")]
+    row = spark.range(1).selectExpr(*[f"1 * {double_sql(v)} AS c{i}" for i, v in enumerate([*values, float("nan")])]).first()
+    assert list(row)[:-1] == values and row[-1] != row[-1]
+
+
 def test_quantiles_of_large_groups_are_narrowed_by_counts(spark, monkeypatch):
     import pandas as pd
     from tidemill.plans import quantiles

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F, types as T
 
 DATETIME_TYPES = (T.TimestampType, T.TimestampNTZType, T.DateType)
@@ -61,6 +63,12 @@ def ref(name: str):
     return F.col(quoted(name))
 
 
+def double_sql(value: float) -> str:
+    """A double as SQL text, exactly."""
+    value = float(value)
+    return f"({value!r}D)" if math.isfinite(value) else f"double('{value}')"
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Missing values are one concept: float NaN becomes NULL."""
     floats = {f.name for f in df.schema if isinstance(f.dataType, FLOATING_TYPES)}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tidemill.functions import wording
-from tidemill.functions.types import is_numeric, ref, require_columns
+from tidemill.functions.types import double_sql, is_numeric, quoted, ref, require_columns
 from tidemill.plans.gram import BUILT_IN_COLUMNS, pair_moments
 from tidemill.plans.kmeans import kmeans
 
@@ -162,33 +162,29 @@ def run_kmeans_clustering(
     ids = [c for c in id_cols if c not in features]
     require_columns(df, [*features, *ids])
     k = len(features)
-    named = [ref(c).cast("double").alias(f"c{i}") for i, c in enumerate(features)]
+    # as SQL text: a call per column in place of one per operation
+    named = [F.expr(f"CAST({quoted(c)} AS DOUBLE) AS c{i}") for i, c in enumerate(features)]
     rows = df.select(*[ref(c).alias(f"i{i}") for i, c in enumerate(ids)], *named).dropna("any", subset=[f"c{i}" for i in range(k)])
-    stats = rows.agg(
-        F.count("*").alias("n"),
-        *[F.avg(f"c{i}").alias(f"m{i}") for i in range(k)],
-        *[F.stddev_pop(f"c{i}").alias(f"s{i}") for i in range(k)],
+    stats = rows.selectExpr(
+        "count(*) AS n", *[f"avg(c{i}) AS m{i}" for i in range(k)], *[f"stddev_pop(c{i}) AS s{i}" for i in range(k)]
     ).first()
     n = stats["n"]
     if n < n_clusters:
         return _error(df, wording.KMEANS_SMALL.format(k=n_clusters))
     means = [stats[f"m{i}"] for i in range(k)]
     scales = [stats[f"s{i}"] or 1.0 for i in range(k)]
-    z = [(F.col(f"c{i}") - means[i]) / scales[i] for i in range(k)]
+    z = [f"((c{i} - {double_sql(means[i])}) / {double_sql(scales[i])})" for i in range(k)]
     distinct = rows.groupBy(*[f"c{i}" for i in range(k)]).agg(F.count("*").alias("n"))
-    scaled = distinct.select(F.xxhash64(*[f"c{i}" for i in range(k)]).alias("hash"), "n", *[z[i].alias(f"z{i}") for i in range(k)])
-    scaled = scaled.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        best, inertia = kmeans(scaled, k, n_clusters, RESTARTS, seed)
-    finally:
-        scaled.unpersist()
+    scaled = distinct.selectExpr(f"xxhash64({', '.join(f'c{i}' for i in range(k))}) AS hash", "n", *[f"{z[i]} AS z{i}" for i in range(k)])
+    best, inertia = kmeans(scaled, n, k, n_clusters, RESTARTS, seed)
     centers = [(i, *[round(float(v) * s + m, 4) for v, s, m in zip(center, scales, means)]) for i, center in enumerate(best)]
-    distances = F.array(*[sum(((z[i] - float(center[i])) * (z[i] - float(center[i])) for i in range(k)), F.lit(0.0)) for center in best])
+    squares = [[F.expr("({0}) * ({0})".format(f"{z[i]} - {double_sql(center[i])}")) for i in range(k)] for center in best]
+    distances = F.array(*[sum(terms, F.lit(0.0)) for terms in squares])
     cluster = F.array_position(distances, F.array_min(distances)) - 1
     spark = df.sparkSession
     fields = ", ".join(["cluster int"] + [f"f{i} double" for i in range(k)])
     labels = rows.select(
-        *[F.col(f"i{i}").alias(c) for i, c in enumerate(ids)], *[F.col(f"c{i}").alias(c) for i, c in enumerate(features)],
+        *[F.col(f"i{i}").alias(c) for i, c in enumerate(ids)], *[F.expr(f"c{i} AS {quoted(c)}") for i, c in enumerate(features)],
         cluster.cast("int").alias("cluster"),
     )
     return {

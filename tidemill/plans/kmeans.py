@@ -1,4 +1,4 @@
-"""K-means with several starts at once: one aggregation over the data per step.
+"""K-means with several starts at once: one job over the data per step.
 
 Starts are seeded from all rows.  Every round draws, for each start, a few rows with probability
 proportional to their squared distance from what the start has drawn before; the draw is a race
@@ -6,15 +6,21 @@ proportional to their squared distance from what the start has drawn before; the
 a round is one pass and needs no total first.  The candidates, weighted by the rows nearest to them,
 are reduced to k centres on the driver, and Lloyd's iterations follow.  Tasks add up their rows per
 start and cluster, so the driver receives starts x clusters rows whatever the size of the data.
+
+There are some hundred passes, so the rows are packed once: blocks of numbers, kept in as many
+partitions as their size (and the cores) ask for, however many the shuffle before had.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import RDD
+from pyspark.sql import DataFrame
+from pyspark.storagelevel import StorageLevel
 
 from tidemill.plans.session import ship_package
 
@@ -22,22 +28,48 @@ from tidemill.plans.session import ship_package
 ROUNDS, OVERSAMPLING = 4, 2
 #: Distances that a task holds at a time.
 BLOCK = 1 << 21
-#: Sums of tasks come to the driver as they are up to so many rows; beyond, they are added up by a shuffle first.
+#: Numbers of a packed block, and of a partition if there are more of them than cores.
+PACKED, PART = 1 << 18, 1 << 22
+#: Results of tasks come to the driver as they are up to so many rows of 16 numbers; beyond, they are merged by a shuffle first.
 DIRECT_ROWS = 100_000
 
 
-def _points(batches: Iterator[pa.RecordBatch], width: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Hashes, weights and coordinates, in blocks whose distances to ``most`` centres fit BLOCK."""
+def _pack(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows as bytes: their hashes, weights and coordinates."""
+    step = max(1, PACKED // (width + 2))
     for batch in batches:
         hashes, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("hash", "n"))
         x = np.column_stack([batch.column(f"z{i}").to_numpy(zero_copy_only=False) for i in range(width)])
-        step = max(1, BLOCK // max(1, most))
         for at in range(0, len(x), step):
+            some = slice(at, at + step)
+            yield pa.RecordBatch.from_pydict({"block": [hashes[some].tobytes() + n[some].tobytes() + x[some].tobytes()]})
+
+
+def _blocks(rows: DataFrame, width: int, count: int) -> RDD:
+    """The rows (at most ``count``) packed."""
+    context = rows.sparkSession.sparkContext
+    parts = max(context.defaultParallelism, -(-count * (width + 2) // PART))
+    packed = rows.coalesce(parts).mapInArrow(partial(_pack, width=width), "block binary")
+    return packed.rdd.map(lambda r: bytes(r["block"]))
+
+
+def _points(blocks: Iterator[bytes], width: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashes, weights and coordinates, in pieces whose distances to ``most`` centres fit BLOCK."""
+    step = max(1, BLOCK // max(1, most))
+    for block in blocks:
+        size = len(block) // (8 * (width + 2))
+        hashes, n = np.frombuffer(block, np.int64, 2 * size).reshape(2, size)
+        x = np.frombuffer(block, np.float64, size * width, 16 * size).reshape(size, width)
+        for at in range(0, size, step):
             yield hashes[at : at + step], n[at : at + step], x[at : at + step]
 
 
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1)
+
+
 def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    distance = (x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1)
+    distance = _distances(x, centres)
     member = distance.argmin(axis=1)
     return member, np.maximum(distance[np.arange(len(x)), member], 0)
 
@@ -50,64 +82,46 @@ def _uniform(hashes: np.ndarray, salt: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2**53 + 2.0**-54
 
 
-def _rows(width: int, start: np.ndarray, key: np.ndarray, hashes: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(start), pa.array(key), pa.array(hashes), *(pa.array(x[:, i]) for i in range(width))],
-        names=["start", "key", "hash", *(f"z{i}" for i in range(width))],
-    )
+def _winners(one: tuple, other: tuple, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of two lots of keys, hashes and rows the ``count`` with the largest keys, in that order."""
+    key, names, rows = (np.concatenate(both) for both in zip(one, other))
+    first = np.lexsort((names, -key))[:count]
+    return key[first], names[first], rows[first]
 
 
-def _race(batches: Iterator[pa.RecordBatch], width: int, sent, count: int, salt: int) -> Iterator[pa.RecordBatch]:
+def _race(blocks: Iterator[bytes], width: int, chosen: list[np.ndarray], count: int, salt: int) -> Iterator[tuple[int, tuple]]:
     """Of a task's rows the ``count`` with the largest keys, for every start."""
-    chosen = sent.value
     best = [(np.empty(0), np.empty(0, np.int64), np.empty((0, width)))] * len(chosen)
-    for hashes, n, x in _points(batches, width, max(map(len, chosen))):
+    for hashes, n, x in _points(blocks, width, max(map(len, chosen))):
         for s, centres in enumerate(chosen):
             weight = n * (_nearest(x, centres)[1] if len(centres) else 1.0)
             some = np.flatnonzero(weight > 1e-12)
             key = np.log(_uniform(hashes[some], salt * len(chosen) + s)) / weight[some]
-            key, names, rows = (np.concatenate(both) for both in zip(best[s], (key, hashes[some], x[some])))
-            first = np.lexsort((names, -key))[:count]
-            best[s] = key[first], names[first], rows[first]
-    for s, (key, names, rows) in enumerate(best):
-        if len(key):
-            yield _rows(width, np.full(len(key), s), key, names, rows)
+            best[s] = _winners(best[s], (key, hashes[some], x[some]), count)
+    yield from enumerate(best)
 
 
-def _winners(batches: Iterator[pa.RecordBatch], width: int, count: int) -> Iterator[pa.RecordBatch]:
-    """The largest keys of every start among the tasks' winners."""
-    best: dict[int, tuple] = {}
-    for batch in batches:
-        start, key, names = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("start", "key", "hash"))
-        x = np.column_stack([batch.column(f"z{i}").to_numpy(zero_copy_only=False) for i in range(width)])
-        for s in np.unique(start).tolist():
-            mine = start == s
-            parts = [(key[mine], names[mine], x[mine]), *([best[s]] if s in best else [])]
-            k, h, r = (np.concatenate(p) for p in zip(*parts))
-            first = np.lexsort((h, -k))[:count]
-            best[s] = k[first], h[first], r[first]
-    for s, (k, h, r) in best.items():
-        yield _rows(width, np.full(len(k), s), k, h, r)
-
-
-def _sums(batches: Iterator[pa.RecordBatch], width: int, sent) -> Iterator[pa.RecordBatch]:
+def _sums(blocks: Iterator[bytes], width: int, starts: list[np.ndarray]) -> Iterator[tuple[int, tuple]]:
     """Rows, cost and coordinate sums of a task per start and nearest centre."""
-    starts = sent.value
-    sums = [[np.zeros(len(c), np.int64), np.zeros(len(c)), np.zeros((len(c), width))] for c in starts]
-    for _, weight, x in _points(batches, width, max(map(len, starts))):
-        for (n, cost, total), centres in zip(sums, starts):
-            member, distance = _nearest(x, centres)
-            n += np.bincount(member, weight, len(centres)).astype(np.int64)
-            cost += np.bincount(member, distance * weight, len(centres))
-            for i in range(width):
-                total[:, i] += np.bincount(member, x[:, i] * weight, len(centres))
-    for s, (n, cost, total) in enumerate(sums):
-        some = np.flatnonzero(n)
-        if len(some):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(some), s)), pa.array(some), pa.array(n[some]), pa.array(cost[some]), *(pa.array(total[some, i]) for i in range(width))],
-                names=["start", "cluster", "n", "cost", *(f"z{i}" for i in range(width))],
-            )
+    centres, ends = np.concatenate(starts), np.cumsum([len(c) for c in starts]).tolist()
+    spans = [slice(end - len(c), end) for c, end in zip(starts, ends)]
+    n, cost, total = np.zeros(len(centres), np.int64), np.zeros(len(centres)), np.zeros((len(centres), width))
+    for _, weight, x in _points(blocks, width, len(centres)):
+        distance, each = _distances(x, centres), np.arange(len(x))
+        belongs = np.zeros_like(distance)
+        for span in spans:
+            member = distance[:, span].argmin(axis=1)
+            nearest = np.maximum(distance[each, span.start + member], 0)
+            n[span] += np.bincount(member, weight, span.stop - span.start).astype(np.int64)
+            cost[span] += np.bincount(member, nearest * weight, span.stop - span.start)
+            belongs[each, span.start + member] = weight
+        total += belongs.T @ x
+    for s, span in enumerate(spans):
+        yield s, (n[span], cost[span], total[span])
+
+
+def _added(one: tuple, other: tuple) -> tuple:
+    return tuple(a + b for a, b in zip(one, other))
 
 
 def _reduced(candidates: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -136,53 +150,44 @@ def _reduced(candidates: np.ndarray, weight: np.ndarray, k: int, rng: np.random.
 
 
 def kmeans(
-    rows: DataFrame, width: int, k: int, starts: int, seed: int, iterations: int = 300, tolerance: float = 1e-4
+    rows: DataFrame, count: int, width: int, k: int, starts: int, seed: int, iterations: int = 300, tolerance: float = 1e-4
 ) -> tuple[np.ndarray, float]:
-    """Centres (in the order of their coordinates) and cost of the best start over distinct rows (hash, n, z0, z1, ...).
+    """Centres (in the order of their coordinates) and cost of the best start over at most ``count`` distinct rows (hash, n, z0, z1, ...).
 
     ``n`` counts a row's copies.  Draws depend on the hashes of the rows alone, not on their order or
     partitions.  A start rests when its centres together move at most ``tolerance`` (squared), and
     goes when its centres are those of another; a cluster that loses all rows keeps its centre.
     """
-    spark = rows.sparkSession
-    ship_package(spark)
-    columns = [f"z{i}" for i in range(width)]
-    doubles = ", ".join(f"{c} double" for c in columns)
-
-    def passed(task: Callable, value: list[np.ndarray], schema: str, finish: Callable[[DataFrame], DataFrame]) -> list:
-        sent = spark.sparkContext.broadcast(value)
-        found = finish(rows.mapInArrow(lambda it: task(it, sent), schema)).collect()
-        sent.unpersist()
-        return found
+    ship_package(rows.sparkSession)
+    blocks = _blocks(rows, width, count).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _best(blocks, width, k, starts, seed, iterations, tolerance)
+    finally:
+        blocks.unpersist()
+
+
+def _best(blocks: RDD, width: int, k: int, starts: int, seed: int, iterations: int, tolerance: float) -> tuple[np.ndarray, float]:
+    parts = blocks.getNumPartitions()
+
+    def passed(task: Callable, merge: Callable, most: int) -> list[tuple]:
+        """Per start what the tasks found, merged; ``most`` rows come from a task."""
+        found = blocks.mapPartitions(task)
+        if parts * most * width > 16 * DIRECT_ROWS:
+            found = found.reduceByKey(merge, min(starts, 64))
+        by_start: dict[int, list[tuple]] = {}
+        for s, value in found.collect():
+            by_start.setdefault(s, []).append(value)
+        return [reduce(merge, by_start[s]) for s in sorted(by_start)]
 
     def drawn(chosen: list[np.ndarray], count: int, salt: int) -> list[np.ndarray]:
-        schema = f"start long, key double, hash long, {doubles}"
-        found = passed(
-            lambda it, sent: _race(it, width, sent, count, salt), chosen, schema,
-            lambda df: df.repartition(min(starts, 64), "start").mapInArrow(lambda it: _winners(it, width, count), schema),
-        )
+        task = partial(_race, width=width, chosen=chosen, count=count, salt=salt)
         # in the order of the race, so that nothing depends on partitions
-        found.sort(key=lambda r: (r["start"], -r["key"], r["hash"]))
-        listed = [[[r[c] for c in columns] for r in found if r["start"] == s] for s in range(starts)]
-        return [np.vstack([c, np.array(new).reshape(-1, width)]) for c, new in zip(chosen, listed)]
-
-    parts = rows.select(F.spark_partition_id().alias("part")).distinct().count()
+        won = passed(task, partial(_winners, count=count), starts * count)
+        return [np.vstack([c, new]) for c, (_, _, new) in zip(chosen, won)]
 
     def added(centres: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Per start the rows, cost and coordinate sums of its centres."""
-        summed = [F.sum(c).alias(c) for c in ("n", "cost", *columns)]
-        direct = parts * sum(map(len, centres)) <= DIRECT_ROWS
-        found = passed(
-            lambda it, sent: _sums(it, width, sent), centres, f"start long, cluster long, n long, cost double, {doubles}",
-            lambda df: df if direct else df.groupBy("start", "cluster").agg(*summed),
-        )
-        sums = [(np.zeros(len(c), np.int64), np.zeros(len(c)), np.zeros((len(c), width))) for c in centres]
-        for start, cluster, n, cost, *total in found:
-            rows_of, costs, totals = sums[start]
-            rows_of[cluster] += n
-            costs[cluster] += cost
-            totals[cluster] += total
-        return sums
+        return passed(partial(_sums, width=width, starts=centres), _added, sum(map(len, centres)))
 
     candidates = drawn([np.empty((0, width))] * starts, 1, seed)
     for r in range(1, ROUNDS + 1):

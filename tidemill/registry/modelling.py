@@ -129,7 +129,7 @@ def _kmeans_labels(t, spark):
 
 @query("kmeans_embeddings")
 def _kmeans_embeddings(t, spark):
-    df = t("embeddings").select("vec_id", *[F.col("embedding")[i].alias(f"e{i}") for i in range(64)])
+    df = t("embeddings").selectExpr("vec_id", *[f"embedding[{i}] AS e{i}" for i in range(64)])
     return models.run_kmeans_clustering(df, [f"e{i}" for i in range(64)], 3)["summary"]
 
 
